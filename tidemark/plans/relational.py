@@ -129,10 +129,10 @@ query("jn15_start_snapshot", "SELECT commit_id, c.ts, snapshot_index FROM {commi
     lambda v: v.commits.join(v.snapshots, F.to_date("ts") == C("snapshot_date")).select("commit_id", "ts", "snapshot_index"))
 query("jn16_paste", "SELECT a.functions, b.commits FROM (SELECT count(*) AS functions FROM {functions}) a CROSS JOIN (SELECT count(*) AS commits FROM {commits}) b")(
     lambda v: v.functions.agg(F.count(F.lit(1)).alias("functions")).crossJoin(v.commits.agg(F.count(F.lit(1)).alias("commits"))))
-query("jn17_model_lookup", """SELECT s.d, s.i, s.formula, printf('%.3f', s.coef) AS mean, printf('%.3f', m.coef) AS coef FROM (SELECT d, i, formula, avg(coef) AS coef FROM {models} GROUP BY d, i, formula) s
+query("jn17_model_lookup", """SELECT s.d, s.i, s.formula, printf('%.6f', s.coef) AS mean, printf('%.6f', m.coef) AS coef FROM (SELECT d, i, formula, avg(coef) AS coef FROM {models} GROUP BY d, i, formula) s
   JOIN (SELECT d, i, formula, min(coef) AS coef FROM {models} WHERE system = 'Brand#11' GROUP BY d, i, formula) m ON s.d = m.d AND s.i = m.i AND s.formula = m.formula WHERE s.formula = 3""")(
     lambda v: v.models.filter("formula = 3").groupBy("d", "i", "formula").agg(F.avg("coef").alias("mean")).join(v.models.filter("system = 'Brand#11' AND formula = 3").groupBy("d", "i", "formula").agg(F.min("coef").alias("coef")), ["d", "i", "formula"])
-    .select("d", "i", "formula", F.format_string("%.3f", "mean").alias("mean"), F.format_string("%.3f", "coef").alias("coef")))
+    .select("d", "i", "formula", F.format_string("%.6f", "mean").alias("mean"), F.format_string("%.6f", "coef").alias("coef")))
 query("jn18_joined_summaries", "SELECT i, round(avg(coef), 6) AS coef, round(avg(rho), 6) AS rho, count(*) AS n FROM {models} GROUP BY i")(
     lambda v: v.models.groupBy("i").agg(F.round(F.avg("coef"), 6).alias("coef"), F.round(F.avg("rho"), 6).alias("rho"), F.count(F.lit(1)).alias("n")))
 query("jn19_branch_of_first", "SELECT s.project, s.commit_id, c.ord FROM (SELECT project, arg_min(commit_id, ord) AS commit_id FROM {commits} GROUP BY project) s JOIN {commits} c ON s.commit_id = c.commit_id")(
