@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import word_count
+from tidemark.llm.kit import durable, word_count
 
 #: Documents of one bucket of ids, about: rows that one task's prefix sum runs over.
 BUCKET_DOCS = 10_000
@@ -142,13 +142,14 @@ def pack(
     that tie in both are alike. A very long text spans as many windows as it needs. Empty tables: no rows.
     Other columns are ignored, whatever their names.
     """
-    counted = docs.select(
+    # Counting words is most of the work: it is done once, the ids and counts are kept in the shared folder.
+    counted = durable(docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         source_key(F.col(source).cast("string")).alias("skey"),
         F.coalesce(n_tokens if n_tokens is not None else word_count(F.col(text)), F.lit(0)).cast("long").alias("n_tokens"),
         buckets(docs, doc_id).alias("bucket"),
-    ).filter("n_tokens > 0")
+    ).filter("n_tokens > 0"))
     totals = {r["skey"]: r["n"] for r in counted.groupBy("skey").agg(F.sum("n_tokens").alias("n")).collect()}
     if weights is None:
         targets = {k: n**temperature for k, n in totals.items()}
