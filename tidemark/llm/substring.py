@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.kit import U64, by_part, chunked, gram_hashes, mix, owners, packed, sliding_min, text_size, word_hashes
 
 #: Windows of one part of the packed shuffle, about.
-PART_WINDOWS = 1_500_000
+PART_WINDOWS = 1_000_000
 #: Bytes of windows that a task gathers before it sends them off.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 _POSITION = U64((1 << 24) - 1)
 
 
