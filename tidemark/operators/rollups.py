@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.derived import is_mod_or_move, java_round
 
-_MOD = is_mod_or_move(F.col("mod_type"))
+def _mod() -> Column:
+    return is_mod_or_move(F.col("mod_type"))
 
 
 def _sum(c: str | Column) -> Column:
@@ -32,17 +33,17 @@ def commits_to_snapshot(commits: DataFrame) -> DataFrame:
 def window_measures(changes: DataFrame) -> DataFrame:
     """AGG3, AGG4: distinct commits and line sums of MOD and MOVE rows by function and snapshot."""
     return changes.groupBy("uid", "snapshot_index").agg(
-        F.count_distinct(F.when(_MOD, F.col("commit_id"))).alias("commits"),
-        _sum(F.when(_MOD, F.col("added")).otherwise(0)).alias("lines_added"),
-        _sum(F.when(_MOD, F.col("deleted")).otherwise(0)).alias("lines_deleted"),
-        _sum(F.when(_MOD, F.col("added") + F.col("deleted")).otherwise(0)).alias("lines_changed"),
+        F.count_distinct(F.when(_mod(), F.col("commit_id"))).alias("commits"),
+        _sum(F.when(_mod(), F.col("added")).otherwise(0)).alias("lines_added"),
+        _sum(F.when(_mod(), F.col("deleted")).otherwise(0)).alias("lines_deleted"),
+        _sum(F.when(_mod(), F.col("added") + F.col("deleted")).otherwise(0)).alias("lines_changed"),
     )
 
 
 def change_stats(changes: DataFrame) -> DataFrame:
     """AGG5: commits count all rows, line sums skip ADD and DEL."""
     return changes.groupBy("uid").agg(
-        F.count_distinct("commit_id").alias("commits"), _sum(F.when(_MOD, F.col("added") + F.col("deleted")).otherwise(0)).alias("lines_changed")
+        F.count_distinct("commit_id").alias("commits"), _sum(F.when(_mod(), F.col("added") + F.col("deleted")).otherwise(0)).alias("lines_changed")
     )
 
 
@@ -52,7 +53,7 @@ def history_before(changes: DataFrame, starts: DataFrame) -> DataFrame:
     A commit counts from the first snapshot in which it changed the function: so the distinct count before a start is a sum over
     first occurrences, and both sums are running sums over the function's own snapshots.
     """
-    real = changes.filter(_MOD)
+    real = changes.filter(_mod())
     first = real.groupBy("uid", "commit_id").agg(F.min("snapshot_index").alias("at")).groupBy("uid", "at").agg(F.count(F.lit(1)).alias("new"))
     lines = real.groupBy("uid", F.col("snapshot_index").alias("at")).agg(_sum(F.col("added") + F.col("deleted")).alias("lines"))
     events = first.select("uid", "at", "new", F.lit(0).cast("long").alias("lines"), F.lit(False).alias("start")).unionByName(

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -50,7 +51,7 @@ def rho_p_value(rho: float, n: int) -> float:
     return 0.0 if abs(rho) >= 1 else t_p_value(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rho_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([rho_p_value(r, int(m)) for r, m in zip(rho, n)])
 
@@ -95,7 +96,7 @@ def group_differences(rows: DataFrame, value: str, splits: dict[str, Column], by
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal."""
     return pd.Series([math.erfc(abs(x) / math.sqrt(2)) if x is not None and not math.isnan(x) else math.nan for x in z])

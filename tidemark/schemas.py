@@ -3,8 +3,12 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Fields from "name type, name type"; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in text.split(", "))])
 
 
 COMMIT_PARENTS = _struct("COMMIT string, TIMESTAMP string, PARENT string")
