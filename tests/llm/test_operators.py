@@ -344,7 +344,7 @@ def test_chain_features_are_out_of_fold():
     x = rng.integers(0, 2, (300, 40)).astype(np.float32)
     noise = rng.integers(0, 2, 300).astype(float)
     models = toxicity.fit_chain(x, [noise, noise], np.arange(300) % toxicity.FOLDS)
-    assert abs(models[1][40]) < 3  # held-out predictions of noise tell nothing
+    assert models[1][40] < 1  # in-sample predictions of noise would be trusted fully, held-out ones are not
 
 
 def test_quality_on_held_out_labels(spark):
