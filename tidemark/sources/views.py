@@ -56,6 +56,17 @@ SELECT l_orderkey % 200 AS commit_id, l_partkey % 20 AS file, CAST(l_quantity AS
 FROM {lineitem} WHERE l_orderkey % 10 < 3""",
     "spans": """
 SELECT DISTINCT p_partkey % 20 AS file, 'f' || CAST(p_partkey AS STRING) AS signature, p_size * 20 + 1 AS start1, p_size * 20 + 1 + p_partkey % 17 AS end1, 2 AS sig_loc FROM {part} WHERE p_partkey < 400""",
+    "filediffs": """
+SELECT l_orderkey AS commit_id, l_orderkey % 3 AS parent, l_linenumber AS diff_no, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'f' || CAST(l_partkey % 50 AS STRING) || CASE WHEN l_suppkey % 5 = 0 THEN '.h' ELSE '.c' END END AS old_path,
+  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'f' || CAST((l_partkey + CAST(l_partkey % 13 = 0 AS INT)) % 50 AS STRING) || CASE WHEN l_suppkey % 6 = 0 THEN '.h' ELSE '.c' END END AS new_path
+FROM {lineitem} WHERE l_orderkey % 10 < 2""",
+    "numbered": """
+SELECT commit_id, commit_id % 3 AS parent, file, begin_a, end_a, begin_b, end_b, CAST(row_number() OVER (PARTITION BY commit_id, file ORDER BY begin_a, end_a, begin_b, end_b) AS BIGINT) AS edit_no FROM {edits}""",
+    "sides": """
+SELECT commit_id, commit_id % 3 AS parent, file, edit_no, CASE WHEN n = 0 THEN 'A' ELSE 'B' END AS side, 'f' || CAST((begin_a + n * CAST(end_b % 3 = 0 AS INT)) % 40 AS STRING) AS id,
+  'n' || CAST(begin_a % 5 + n * CAST(end_b % 4 = 0 AS INT) AS STRING) AS name, 1 + n + begin_a % 4 AS lines FROM {numbered}, (SELECT 0 AS n UNION ALL SELECT 1 AS n) WHERE n = 0 OR end_b % 5 > 0""",
+    "moves": """
+SELECT commit_id, commit_id % 3 AS parent, hunk, mod_type, 'f' || CAST(uid % 30 AS STRING) AS id, CASE WHEN mod_type = 'MOVE' THEN 'f' || CAST((uid + 1) % 30 AS STRING) END AS new_id, added, deleted FROM {hunks} WHERE commit_id % 5 = 0""",
     "models": """
 SELECT 'dep' || CAST(p_size % 3 AS STRING) AS d, p_type AS i, p_brand AS system, p_partkey % 7 AS formula, CAST((p_retailprice - 1000) / 2000 AS DOUBLE) AS coef,
   CAST(CAST(p_partkey % 100 AS DOUBLE) / CAST(1000 AS DOUBLE) AS DOUBLE) AS p, CASE WHEN p_partkey % 9 = 0 THEN 'algorithm did not converge' WHEN p_partkey % 9 = 1 THEN '' END AS warning, CAST(p_size - 25 AS DOUBLE) / CAST(25 AS DOUBLE) AS rho
