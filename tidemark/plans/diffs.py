@@ -44,3 +44,16 @@ def _classes(v):
     moved = v.hunks.filter("mod_type = 'MOVE' AND uid < 300").select("commit_id", "hunk", "uid")
     pairs = moved.join(moved.select("commit_id", "hunk", C("uid").alias("other")), ["commit_id", "hunk"]).select(C("uid").alias("a"), C("other").alias("b"))
     return equivalence_classes(pairs).select(C("id").alias("uid"), C("class"))
+
+
+def _genealogy(v):
+    from tidemark.operators.dag import degrees
+    from tidemark.operators.genealogy import genealogy
+
+    commits = v.dag.select("project", "commit_id", "ord").join(degrees(v.dag, v.edges).select("commit_id", "parents"), "commit_id")
+    changes = v.moves.select("commit_id", "hunk", "mod_type", "id", "new_id").join(v.dag.select("commit_id", C("first_parent").alias("previous")), "commit_id")
+    return genealogy(commits, changes)
+
+
+query("gr8_genealogy")(_genealogy)
+query("gr9_merged_lines")(lambda v: _genealogy(v).groupBy("project", "uid").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("id").alias("ids")))
