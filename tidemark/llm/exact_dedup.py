@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.kit import U64, mix
@@ -116,6 +116,21 @@ def nonmembers(fresh: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def _winners(rows: DataFrame, total: int) -> DataFrame:
+    """(digest, winner) of all texts, from rows of (doc_id, digest, old): the history's winners, and those of its nonmembers."""
+    shards = max(1, -(-total // SHARD_KEYS))
+    real = rows.filter(F.col("digest").isNotNull())
+    winner = F.min("doc_id").alias("winner")
+    old = real.filter("old").groupBy("digest").agg(winner)
+    new = real.filter("NOT old").groupBy("digest").agg(winner)
+    return old.unionByName(nonmembers(new, build_index(old, shards), shards))
+
+
+def _middle(docs: DataFrame, doc_id: str) -> Column:
+    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
+    return F.col(doc_id) <= F.lit(((low or 0) + (high or 0)) // 2)
+
+
 def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Which documents repeat a text: (doc_id, winner_id, n_rows, is_repeat), one row for each distinct (doc_id, text).
 
@@ -128,8 +143,7 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "d
     came. Empty tables: no rows. Other columns are ignored, whatever their names.
     """
     if history is None:
-        low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-        history = F.col(doc_id) <= F.lit(((low or 0) + (high or 0)) // 2)
+        history = _middle(docs, doc_id)
     rows = (
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"),
@@ -139,13 +153,7 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "d
         .groupBy("doc_id", "digest", "old")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    total = docs.count()
-    shards = max(1, -(-total // SHARD_KEYS))
-    real = rows.filter(F.col("digest").isNotNull())
-    winner = F.min("doc_id").alias("winner")
-    old = real.filter("old").groupBy("digest").agg(winner)
-    new = real.filter("NOT old").groupBy("digest").agg(winner)
-    winners = old.unionByName(nonmembers(new, build_index(old, shards), shards)).withColumnRenamed("digest", "key")
+    winners = _winners(rows, docs.count()).withColumnRenamed("digest", "key")
     joined = rows.join(winners, F.col("digest") == F.col("key"), "left")
     chosen = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("winner"))
     return (
@@ -160,24 +168,15 @@ def _row_key(doc_id: Column, digest: Column) -> Column:
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without exact repeats, all columns kept; of fully repeated rows one stays."""
+    """The documents without exact repeats, all columns kept; of rows with one doc_id and text one stays.
+
+    Winners are those of exact_dedup. Documents without a text all stay.
+    """
     digest = F.unhex(F.sha2(F.col(text), 256))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(F.col(doc_id), digest).alias("key"), digest.alias("digest"))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"))
-    total = docs.count()
-    shards = max(1, -(-total // SHARD_KEYS))
-    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    middle = ((low or 0) + (high or 0)) // 2
-    real = narrow.filter(F.col("digest").isNotNull())
-    is_old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
-    winner = F.min("doc_id").alias("winner")
-    old = real.filter(is_old).groupBy("digest").agg(winner)
-    new = real.filter(~is_old).groupBy("digest").agg(winner)
-    winners = old.unionByName(nonmembers(new, build_index(old, shards), shards))
-    kept = winners.select(_row_key(F.col("winner"), F.col("digest")).alias("key"))
-    nulls = keyed.filter(F.col("digest").isNull())
-    first = keyed.filter(F.col("digest").isNotNull()).join(kept, "key", "left_semi").unionByName(nulls)
-    from pyspark.sql import Window
-
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(_middle(docs, doc_id), F.lit(False)).alias("old"))
+    kept = _winners(narrow, docs.count()).select(_row_key(F.col("winner"), F.col("digest")).alias("key"))
+    first = keyed.filter(F.col("digest").isNotNull()).join(kept, "key", "left_semi")
     one = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    return first.withColumn("n", one).filter("n = 1").select("row.*")
+    found = first.withColumn("n", one).filter("n = 1").select("row")
+    return found.unionByName(keyed.filter(F.col("digest").isNull()).select("row")).select("row.*")
