@@ -341,9 +341,9 @@ def test_toxic_documents_are_found(spark):
 
 def test_chain_features_are_out_of_fold():
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, (300, 40)).astype(np.float32)
+    text, term = np.nonzero(rng.integers(0, 2, (300, 40)))
     noise = rng.integers(0, 2, 300).astype(float)
-    models = toxicity.fit_chain(x, [noise, noise], np.arange(300) % toxicity.FOLDS)
+    models = toxicity.fit_chain(text, term, 40, [noise, noise], np.arange(300) % toxicity.FOLDS)
     assert models[1][40] < 1  # in-sample predictions of noise would be trusted fully, held-out ones are not
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import chunked, owners, word_codes, words
+from tidemark.llm.kit import chunked, durable, owners, word_codes, words
 
 #: Labelled documents that the models are fitted on, at most: those of least hash of doc_id.
 SAMPLE = 12_000
@@ -63,33 +63,37 @@ def text_terms(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.nda
     return pairs[:, 0], pairs[:, 1] - (known is not None)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300, rate: float = 2.0) -> np.ndarray:
-    """Weights (the last is the intercept) by gradient descent with momentum."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float32)
-    w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
-    share = min(max(y.mean(), 1e-4), 1 - 1e-4) if len(y) else 1e-4
+def _logistic(text: np.ndarray, term: np.ndarray, n_terms: int, dense: np.ndarray, y: np.ndarray, use: np.ndarray, penalty: float = 1e-3, steps: int = 300, rate: float = 2.0) -> np.ndarray:
+    """Weights of the terms, the dense columns and the intercept, by gradient descent with momentum over the rows in use.
+
+    (text, term) are the places of the ones among the terms: the design matrix is never laid out.
+    """
+    count = max(1, int(use.sum()))
+    w, v = np.zeros(n_terms + dense.shape[1] + 1), np.zeros(n_terms + dense.shape[1] + 1)
+    share = min(max(float(y[use].mean()) if use.any() else 0.0, 1e-4), 1 - 1e-4)
     w[-1] = np.log(share / (1 - share))
-    for _ in range(steps if 0 < y.sum() < len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y)
+    for _ in range(steps if 0 < y[use].sum() < use.sum() else 0):
+        logit = np.bincount(text, weights=w[term], minlength=len(y)) + dense @ w[n_terms:-1] + w[-1]
+        off = np.where(use, 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y, 0.0) / count
+        g = np.r_[np.bincount(term, weights=off[text], minlength=n_terms), dense.T @ off, off.sum()]
         g[:-1] += penalty * w[:-1]
         v = 0.9 * v - rate * g
         w = w + v * 0.5
-    return w.astype(np.float64)
+    return w
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], fold: np.ndarray) -> list[np.ndarray]:
+def fit_chain(text: np.ndarray, term: np.ndarray, n_terms: int, targets: list[np.ndarray], fold: np.ndarray) -> list[np.ndarray]:
     """A model for each category: weights of the terms, of the earlier categories' probabilities, and the intercept."""
-    models, earlier = [], np.zeros((len(x), 0), np.float32)
+    models, earlier = [], np.zeros((len(fold), 0))
     for y in targets:
-        features = np.c_[x, earlier]
-        models.append(_logistic(features, y))
-        held_out = np.zeros(len(x), np.float32)
+        models.append(_logistic(text, term, n_terms, earlier, y, np.ones(len(fold), bool)))
+        held_out = np.zeros(len(fold))
         for f in range(FOLDS):
             out = fold == f
             if out.any() and not out.all():
-                w = _logistic(features[~out], y[~out])
-                held_out[out] = 1 / (1 + np.exp(-np.clip(features[out] @ w[:-1] + w[-1], -30, 30)))
+                w = _logistic(text, term, n_terms, earlier, y, ~out)
+                logit = np.bincount(text, weights=w[term], minlength=len(fold)) + earlier @ w[n_terms:-1] + w[-1]
+                held_out[out] = (1 / (1 + np.exp(-np.clip(logit, -30, 30))))[out]
         earlier = np.c_[earlier, held_out]
     return models
 
@@ -105,48 +109,57 @@ def predict_chain(models: list[np.ndarray], count: int, text: np.ndarray, term:
     return out
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean texts of a slice hold each term."""
     for batch in batches:
         for piece in chunked(batch, "text"):
             text, term = text_terms(piece.column("text"))
-            edges = np.searchsorted(text, np.arange(piece.num_rows + 1))
-            blobs = [term[a:b].astype(np.int64).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "terms"])
+            found, number = np.unique(term, return_inverse=True)
+            toxic = np.bincount(number, weights=piece.column("label").to_numpy()[text], minlength=len(found))
+            clean = np.bincount(number, minlength=len(found)) - toxic
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(toxic.astype(np.int64)), pa.array(clean.astype(np.int64))], names=["term", "toxic", "clean"])
+
+
+def _gather(known: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunked(batch, "text"):
+                text, term = text_terms(piece.column("text"), known)
+                edges = np.searchsorted(text, np.arange(piece.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(term, pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), lists], names=["doc_id", "label", "terms"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The known terms and the models, from at most `sample` labelled documents."""
+    """The known terms and the models, from at most `sample` labelled documents.
+
+    Terms are counted where the documents are; the driver gets the telling ones, and which of them each sampled document holds.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).dropna()
         .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     # At most `sample` rows of two numbers: the size of what is broadcast is bounded.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_gather, "doc_id long, label int, terms binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    y = np.array([r["label"] for r in rows], float)
-    terms = [np.frombuffer(r["terms"], np.int64) for r in rows]
-    if not len(rows) or not 0 < y.sum() < len(y):
-        return np.zeros(0, np.int64), [np.r_[np.zeros(k), -30.0 if not y.sum() else 30.0] for k in range(len(CATEGORIES))]
-    owner = np.repeat(np.arange(len(rows)), [len(t) for t in terms])
-    flat = np.concatenate(terms)
-    found, number = np.unique(flat, return_inverse=True)
-    toxic = np.bincount(number, weights=y[owner], minlength=len(found))
-    clean = np.bincount(number, minlength=len(found)) - toxic
-    rate, base = (toxic + 0.05) / (y.sum() + 0.1), (clean + 0.5) / (len(y) - y.sum() + 1)
-    telling = np.where(toxic >= 3, toxic * np.log(np.maximum(rate / base, 1)), 0)
-    best = np.argsort(-telling, kind="stable")[:TERMS]
-    best = np.sort(best[telling[best] > 6])
-    known = found[best]
-    to = np.full(len(found), -1)
-    to[best] = np.arange(len(best))
-    column = to[number]
-    x = np.zeros((len(rows), len(best)), np.float32)
-    x[owner[column >= 0], column[column >= 0]] = 1
-    strong = (rate / base)[best] > 20
-    told = x[:, strong].sum(axis=1)
+    rows = durable(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"))
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return np.zeros(0, np.int64), [np.r_[np.zeros(k), 30.0 if toxic else -30.0] for k in range(len(CATEGORIES))]
+    counts = rows.mapInArrow(_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic >= 3")
+    lift = ((F.col("toxic") + 0.05) / (toxic + 0.1)) / ((F.col("clean") + 0.5) / (n - toxic + 1))
+    telling = counts.withColumn("lift", lift).withColumn("weight", F.col("toxic") * F.log("lift")).filter("weight > 6").orderBy(F.desc("weight"), "term").limit(TERMS).collect()
+    telling.sort(key=lambda r: r["term"])
+    known, strong = np.array([r["term"] for r in telling], np.int64), np.array([r["lift"] > 20 for r in telling], bool)
+    found = rows.mapInArrow(_gather(known), "doc_id long, label int, terms array<long>").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["terms"]))
+    y = np.array([r["label"] for r in found], float)
+    text = np.repeat(np.arange(len(found)), [len(r["terms"]) for r in found])
+    term = np.array([t for r in found for t in r["terms"]], np.int64)
+    told = np.bincount(text, weights=strong[term], minlength=len(found)) if len(term) else np.zeros(len(found))
     targets = [y * (told >= 1), y * (told >= ABUSE_TERMS), y]
-    fold = np.array([xxhash.xxh64_intdigest(str(r["doc_id"])) % FOLDS for r in rows])
-    return known, fit_chain(x, targets, fold)
+    fold = np.array([xxhash.xxh64_intdigest(str(r["doc_id"])) % FOLDS for r in found])
+    return known, fit_chain(text, term, len(known), targets, fold)
 
 
 def _predict(known: np.ndarray, models: list[np.ndarray]):
