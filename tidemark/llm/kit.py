@@ -28,14 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def durable(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table's path is added to `held`, for discard once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Delete tables that durable wrote and whose readers have all been written themselves."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in held:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    held.clear()
+
+
 def word_count(text: Column) -> Column:
     """Whitespace-delimited words of a text, JVM-side; NULL and blank texts have none."""
     flat = F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     "))
