@@ -26,6 +26,8 @@ CATEGORIES = ("insult", "abuse", "toxic")
 #: Distinct telling terms in a toxic document from which it counts as abuse, not just as an insult.
 ABUSE_TERMS = 3
 _STEMS = (4, 5, 6, 7)
+#: Words without a known term that a worker remembers at most.
+_SILENT = 1_000_000
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
@@ -42,16 +44,29 @@ def terms_of(distinct: list[str]) -> np.ndarray:
     return out
 
 
-def text_terms(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of every distinct term of each text; of the known (sorted) terms only, then as their numbers."""
+def text_terms(texts: pa.Array, known: np.ndarray | None = None, silent: set[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of every distinct term of each text; of the known (sorted) terms only, then as their numbers.
+
+    silent gathers words that have no known term, so that a worker hashes each of them once.
+    """
     offsets, values = words(texts)
     codes, distinct = word_codes(values)
-    table = terms_of(distinct)
+    if silent is None:
+        table = terms_of(distinct)
+    else:
+        at = [i for i, w in enumerate(distinct) if w not in silent]
+        table = np.zeros((len(distinct), 1 + len(_STEMS)), np.int64)
+        table[at] = terms_of([distinct[i] for i in at])
     if known is not None:
         place = np.searchsorted(known, table)
         place[place == len(known)] = 0
         table = np.where(known[place] == table, place + 1, 0) if len(known) else np.zeros_like(table)
-        some = table.any(axis=1)[codes]
+        told = table.any(axis=1)
+        if silent is not None:
+            if len(silent) > _SILENT:
+                silent.clear()
+            silent.update(distinct[i] for i in at if not told[i])
+        some = told[codes]
         codes, text = codes[some], owners(offsets)[some]
     else:
         text = owners(offsets)
@@ -164,9 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 def _predict(known: np.ndarray, models: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        silent: set[str] = set()
         for batch in batches:
             for piece in chunked(batch, "text"):
-                text, term = text_terms(piece.column("text"), known)
+                text, term = text_terms(piece.column("text"), known, silent)
                 p = predict_chain(models, piece.num_rows, text, term)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", *CATEGORIES])
 
