@@ -12,6 +12,8 @@ from tidemark.llm import curriculum, exact_dedup, fertility, jaccard, packing
 from tidemark.llm.kit import durable
 
 WINDOW_TOKENS = 32_768
+#: The sources' weights over training: source mixing places documents by them, packing fills each window by them.
+SCHEDULE = {"weights": curriculum.WEIGHTS, "default": curriculum.DEFAULT_WEIGHTS, "knots": curriculum.KNOTS}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +33,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in order of their training position under the sources' weight schedules."""
-    return curriculum.mix_sources(docs).select(*docs.columns)
+    return curriculum.mix_sources(docs, **SCHEDULE).select(*docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows filled by deficit round-robin over the sources, at the shares of the curriculum's weights.
+    """Windows filled by deficit round-robin over the sources, each at the schedule's shares over its own tokens.
 
-    A source's queue is in order of doc_id, as is its curriculum: its documents keep their order.
+    A source's queue is in order of doc_id, which is that of its documents' training positions.
     """
-    return packing.pack(docs, WINDOW_TOKENS, weights=curriculum.mean_weights())
+    return packing.pack(docs, WINDOW_TOKENS, weights={**SCHEDULE["weights"], None: SCHEDULE["default"]}, knots=SCHEDULE["knots"])
 
 
 STAGES = [

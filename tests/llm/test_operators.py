@@ -143,6 +143,62 @@ def test_windows_are_full_and_documents_whole(spark):
     assert abs(first["src0"] - 500 * 5 / 12) < 2 and abs(first["src1"] - 500 / 12) < 2
 
 
+def test_windows_follow_a_schedule(spark):
+    weights, knots, window = {"src0": (12, 8, 4), "src1": (1, 6, 12), None: (4, 4, 4)}, (0.0, 0.5, 1.0), 500
+    rng = random.Random(5)
+    rows = [(i, words(rng.randrange(1, 300), i), "en", f"src{rng.randrange(3)}") for i in range(400)]
+    got = packing.pack(frame(spark, rows), window, weights, knots=knots).collect()
+    totals, places, pieces, held = Counter(), defaultdict(list), defaultdict(list), Counter()
+    for i, t, _, source in rows:
+        totals[source] += len(t.split())
+    for r in got:
+        places[r.window_id].append((r.offset, r.offset + r.n_tokens))
+        pieces[r.doc_id].append((r.start_token, r.window_id, r.n_tokens))
+        held[r.window_id, r.source] += r.n_tokens
+    horizon = sum(totals.values())
+    assert sorted(places) == list(range(-(-horizon // window)))
+    for j, spans in places.items():  # every window but the last is full, without gaps or overlaps
+        spans = sorted(spans)
+        assert [a for a, _ in spans] == [0, *[b for _, b in spans[:-1]]] and spans[-1][1] == min(window, horizon - j * window)
+    for i, t, _, _ in rows:  # every document is whole and in order
+        at = 0
+        for start, _, n in sorted(pieces[i]):
+            assert start == at
+            at += n
+        assert at == len(t.split()) and [w for _, w, _ in sorted(pieces[i])] == sorted(w for _, w, _ in pieces[i])
+    share = lambda s, i: weights.get(s, weights[None])[i] / sum(weights.get(q, weights[None])[i] for q in totals)
+    given, checked = Counter(), 0
+    for j in range(len(places)):
+        given.update({s: held[j, s] for s in totals})
+        if any(given[s] == totals[s] for s in totals):
+            break
+        for s in totals:  # the integral of the share, summed numerically
+            steps = [(k + 0.5) * (j + 1) * window / 2000 / horizon * 2 for k in range(2000)]
+            want = sum(share(s, int(u)) + (share(s, int(u) + 1) - share(s, int(u))) * (u - int(u)) for u in steps) * (j + 1) * window / 2000
+            assert abs(given[s] - want) < 2.5
+        checked += 1
+    assert checked > 20
+    assert held[0, "src0"] > 5 * held[0, "src1"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_curved_schedule_gives_all_tokens_once(seed):
+    rng = random.Random(seed)
+    totals = {f"s{i}": rng.randrange(0, 20_000) for i in range(rng.randrange(1, 6))}
+    weights = {k: tuple(rng.choice([0, rng.random() * 9]) for _ in range(4)) for k in totals}
+    given, full = Counter(), Counter()
+    for r in packing.curved_schedule(totals, weights, (0.0, 0.2, 0.7, 1.0), 100):
+        assert r["n0"] == given[r["skey"]]
+        for j in range(r["windows"]):
+            count = lambda m: packing._edge(m, *r["high"]) - packing._edge(m, *r["low"])
+            n = r["fixed"] if r["fixed"] >= 0 else count(j + 1) - count(j)
+            assert n >= 0
+            given[r["skey"]] += n
+            full[r["first"] + j] += n
+    assert +given == +Counter(totals)
+    assert all(n == 100 for w, n in full.items() if w < max(full)) and sorted(full) == list(range(len(full)))
+
+
 # --- 3 substring dedup ----------------------------------------------------------------------------------------------
 
 

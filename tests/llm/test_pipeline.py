@@ -62,6 +62,26 @@ def test_packing_places_all_words(stages):
     assert got == want
 
 
+def test_windows_follow_the_schedule(spark, stages, monkeypatch):
+    docs = spark.createDataFrame(stages[4])
+    monkeypatch.setattr(corpus_pipeline, "WINDOW_TOKENS", 2_000)
+
+    def held(**changes):
+        monkeypatch.setattr(corpus_pipeline, "SCHEDULE", {**corpus_pipeline.SCHEDULE, **changes})
+        df = corpus_pipeline.windows(spark, docs, SF).toPandas()
+        return df.groupby(["window_id", "source"]).n_tokens.sum()
+
+    found = held()
+    sources = sorted(stages[4].source.unique())
+    weights = [corpus_pipeline.curriculum.WEIGHTS.get(s, corpus_pipeline.curriculum.DEFAULT_WEIGHTS) for s in sources]
+    for s, w in zip(sources, weights):  # the first window is at the schedule's start
+        assert found[0][s] / 2_000 == pytest.approx(w[0] / sum(x[0] for x in weights), abs=0.02)
+    turned = held(weights={k: w[::-1] for k, w in corpus_pipeline.curriculum.WEIGHTS.items()})
+    assert found.to_dict() != turned.to_dict()
+    level = held(weights={}, default=(1, 1, 1))
+    assert found.to_dict() != level.to_dict()
+
+
 def test_run_is_the_stages_in_turn(spark, stages):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, stages[-1].values.tolist()))

@@ -23,12 +23,6 @@ WEIGHTS = {"src0": (12, 8, 4), "src1": (2, 4, 8), "src2": (1, 6, 12)}
 LEAST_SHARE = 1e-6
 
 
-def mean_weights(weights: dict = WEIGHTS, default: tuple = DEFAULT_WEIGHTS, knots: tuple = KNOTS) -> dict:
-    """Each named source's weight averaged over the horizon, and the default's under None."""
-    mean = lambda w: sum((w[i] + w[i + 1]) / 2 * (knots[i + 1] - knots[i]) for i in range(len(knots) - 1)) / (knots[-1] - knots[0])
-    return {k: mean(w) for k, w in weights.items()} | {None: mean(default)}
-
-
 def demand_table(sources: list[str], horizon: int, weights: dict[str | None, tuple], default: tuple, knots: tuple) -> list[tuple]:
     """(skey, shares at the knots, cumulative demand at the knots) for each source key."""
     chosen = {k: weights.get(k[1:] if k != "n" else None, default) for k in sources}

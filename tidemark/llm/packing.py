@@ -10,6 +10,8 @@ closed form in its prefix sum: partitions need only their offset, no state is pa
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,21 @@ def _given(j: int, window: int, low: int, high: int, parts: int) -> int:
     return j * window * high // parts - j * window * low // parts
 
 
+def _filled(quanta: dict[str, int], left: dict[str, int], shares: dict[str, int], window: int) -> dict[str, int]:
+    """Tokens that each source gives to one window: what dry queues lack goes to the others by their shares."""
+    give = {k: min(left[k], n) for k, n in quanta.items()}
+    room = window - sum(give.values())
+    while room and (open_ := [k for k in quanta if left[k] > give[k]]):
+        parts_open = sum(shares[k] for k in open_)
+        more = {k: min(left[k] - give[k], room * shares[k] // parts_open) if parts_open else 0 for k in open_}
+        if not any(more.values()):
+            more = {open_[0]: 1}
+        for k, n in more.items():
+            give[k] += n
+        room = window - sum(give.values())
+    return give
+
+
 def schedule(totals: dict[str, int], shares: dict[str, int], window: int) -> list[dict]:
     """Runs of windows in which the same sources are active, from the tokens of each source.
 
@@ -94,16 +111,7 @@ def schedule(totals: dict[str, int], shares: dict[str, int], window: int) -> lis
                 left[k] -= n
                 done[k] += n
             first += low
-        give = {k: min(left[k], _given(low + 1, window, *edges[k], parts) - _given(low, window, *edges[k], parts)) for k in active}
-        room = window - sum(give.values())
-        while room and (open_ := [k for k in active if left[k] > give[k]]):  # what dry queues lack goes to the others
-            parts_open = sum(shares[k] for k in open_)
-            more = {k: min(left[k] - give[k], room * shares[k] // parts_open) for k in open_}
-            if not any(more.values()):
-                more = {open_[0]: 1}
-            for k, n in more.items():
-                give[k] += n
-            room = window - sum(give.values())
+        give = _filled({k: _given(low + 1, window, *edges[k], parts) - _given(low, window, *edges[k], parts) for k in active}, left, shares, window)
         offset = 0
         for k in active:
             if give[k]:
@@ -116,6 +124,106 @@ def schedule(totals: dict[str, int], shares: dict[str, int], window: int) -> lis
     return out
 
 
+def _edge(j: int, base: float, rise: float, bend: float) -> int:
+    """Tokens on the low side of an edge between two sources in the first j windows of a run."""
+    return math.floor(base + j * (rise + bend * j))
+
+
+class Curve:
+    """The schedule of some sources: shares at the knots, linear between them, and the edges of their parts side by side."""
+
+    def __init__(self, weights: dict[str, tuple], knots: tuple, horizon: int, window: int):
+        least = 2.0 / window  # every source gets a token or more in a window
+        shares = []
+        for i in range(len(knots)):
+            total = sum(w[i] for w in weights.values())
+            raw = [max(least, w[i] / total if total else 1.0 / len(weights)) for w in weights.values()]
+            shares.append([x / sum(raw) for x in raw])
+        self.at = [k * horizon for k in knots]
+        self.edges = [[sum(s[:e]) for e in range(len(s))] + [1.0] for s in shares]
+
+    def segment(self, x: float) -> int:
+        """The number of knots that x has passed, 0 before the first."""
+        return sum(x >= a for a in self.at)
+
+    def height(self, e: int, x: float) -> tuple[float, float]:
+        """The share below edge e at x, and its slope there; constant before the first knot and behind the last."""
+        i = self.segment(x)
+        if i in (0, len(self.at)):
+            return self.edges[max(0, i - 1)][e], 0.0
+        slope = (self.edges[i][e] - self.edges[i - 1][e]) / (self.at[i] - self.at[i - 1])
+        return self.edges[i - 1][e] + slope * (x - self.at[i - 1]), slope
+
+    def demand(self, e: int, x: float) -> float:
+        """Tokens below edge e in the first x, the integral of its share."""
+        if e in (0, len(self.edges[0]) - 1):
+            return float(x if e else 0)
+        stops = [0.0, *[a for a in self.at if 0 < a < x], float(x)]
+        out = 0.0
+        for a, b in zip(stops, stops[1:]):
+            share, slope = self.height(e, a)
+            out += (b - a) * (share + slope * (b - a) / 2.0)
+        return out
+
+
+def curved_schedule(totals: dict[str, int], weights: dict[str, tuple], knots: tuple, window: int) -> list[dict]:
+    """Runs of windows as those of schedule, for weights at knots of the horizon (all tokens) and linear between them.
+
+    A window's quantum of a source is the integral of its share over the window's tokens. Behind a queue that ran dry the
+    schedule is that of the sources left. A run ends there and at knots; within it the tokens below each edge
+    of a source in j windows are floor(base + j * (rise + bend * j)).
+    """
+    if 2 * len(weights) > window:
+        raise ValueError("a window must hold at least two tokens for each source")
+    left, done, first, out = dict(totals), dict.fromkeys(totals, 0), 0, []
+    horizon = sum(totals.values())
+    active = sorted(k for k, n in left.items() if n > 0)
+    flat = (0.0, 0.0, 0.0)
+    while active:
+        curve = Curve({k: weights[k] for k in active}, knots, horizon, window)
+        start = first * window
+        lines = []
+        for e in range(len(active) + 1):
+            share, slope = curve.height(e, start)
+            base = curve.demand(e, start)
+            lines.append((base - math.floor(base), share * window, slope * window * window / 2.0))
+        lines[0], lines[-1] = flat, (0.0, float(window), 0.0)
+
+        def given(i: int, j: int) -> int:
+            return _edge(j, *lines[i + 1]) - _edge(j, *lines[i])
+
+        after = curve.segment(start)
+        low, high = 0, sum(left.values()) // window + 1
+        if after < len(knots):
+            high = min(high, int((curve.at[after] - start) // window))
+        while low < high:  # the most windows before the next knot that every active queue can fill
+            half = (low + high + 1) // 2
+            low, high = (half, high) if all(given(i, half) <= left[k] for i, k in enumerate(active)) else (low, half - 1)
+        if low:
+            for i, k in enumerate(active):
+                out.append({"skey": k, "first": first, "windows": low, "n0": done[k], "low": lines[i], "high": lines[i + 1], "fixed": -1, "offset": -1})
+                n = given(i, low)
+                left[k] -= n
+                done[k] += n
+            first += low
+        else:  # a single window in which a knot lies or a queue runs dry
+            edges = [math.floor(curve.demand(e, start + window)) - math.floor(curve.demand(e, start)) for e in range(len(active) + 1)]
+            quanta = {k: edges[i + 1] - edges[i] for i, k in enumerate(active)}
+            give = _filled(quanta, left, quanta, window)
+            offset = 0
+            for k in active:
+                if give[k]:
+                    out.append({"skey": k, "first": first, "windows": 1, "n0": done[k], "low": flat, "high": flat, "fixed": give[k], "offset": offset})
+                    offset += give[k]
+                    left[k] -= give[k]
+                    done[k] += give[k]
+            first += 1
+        active = [k for k in active if left[k] > 0]
+    return out
+
+
+_LINE = "struct<base: double, rise: double, bend: double>"
+_CURVED_RUNS = f"skey string, first long, windows long, n0 long, low {_LINE}, high {_LINE}, fixed long, offset long"
 _RUNS = "skey string, first long, windows long, n0 long, low long, high long, parts long, fixed long, offset long"
 
 
@@ -128,13 +236,15 @@ def pack(
     text: str = "text",
     source: str = "source",
     n_tokens: Column | None = None,
+    knots: tuple | None = None,
 ) -> DataFrame:
     """Pieces of documents in training windows: (window_id, offset, doc_id, source, start_token, n_tokens).
 
     Every window but the last is exactly full, and within each run of windows every source's tokens stay
     within one token of its target. weights: target share of each source; a source that isn't named, or NULL,
     has the share under None, or the least one named. Without weights a source's target is its token total to the power of
-    temperature. A source's queue is in order of doc_id. n_tokens: tokens of a document, whitespace-delimited
+    temperature. knots: parts of the horizon (all tokens) at which weights, then a tuple for each source, hold; between them
+    shares are linear, and a window's are their integral over its tokens. A source's queue is in order of doc_id. n_tokens: tokens of a document, whitespace-delimited
     words by default. Only totals by source come to the driver.
 
     NULL, empty and blank texts hold no tokens and give no piece. NULL source: a source of its own. NULL
@@ -155,12 +265,21 @@ def pack(
         targets = {k: n**temperature for k, n in totals.items()}
     else:
         targets = {k: weights.get(k[1:] if k != "n" else None, weights.get(None, min(weights.values()))) for k in totals}
-    runs_ = schedule(totals, integer_shares(targets, window_tokens), window_tokens) if totals else []
+    if not totals:
+        runs_ = []
+    elif knots:
+        runs_ = curved_schedule(totals, targets, knots, window_tokens)
+    else:
+        runs_ = schedule(totals, integer_shares(targets, window_tokens), window_tokens)
     spark = docs.sparkSession
-    names = [x.split()[0] for x in _RUNS.split(", ")]
-    runs = spark.createDataFrame([tuple(r[k] for k in names) for r in runs_], _RUNS)
+    kind = _CURVED_RUNS if knots else _RUNS
+    names = ["skey", "first", "windows", "n0", "low", "high", *([] if knots else ["parts"]), "fixed", "offset"]
+    runs = spark.createDataFrame([tuple(r[k] for k in names) for r in runs_], kind)
 
-    def cumulative(j: str, side: str) -> str:  # floor(j * window * side / parts) without overflow
+    def cumulative(j: str, side: str) -> str:
+        if knots:
+            return f"CAST(floor({side}.base + CAST({j} AS DOUBLE) * ({side}.rise + {side}.bend * CAST({j} AS DOUBLE))) AS BIGINT)"
+        # floor(j * window * side / parts) without overflow
         return f"((({j}) * {window_tokens}) DIV parts) * {side} + (((({j}) * {window_tokens}) % parts) * {side}) DIV parts"
 
     def given(j: str) -> str:
@@ -175,8 +294,16 @@ def pack(
         .withColumn("b", F.expr("after - n0"))
     )
     step = f"({window_tokens} * (high - low))"
-    first = f"CASE WHEN fixed >= 0 THEN 0L ELSE greatest(0L, ((a - 1) * parts) DIV {step} - 1) END"
-    last = f"CASE WHEN fixed >= 0 THEN 0L ELSE least(windows - 1, ((b + 1) * parts) DIV {step} + 1) END"
+
+    def window_of(n: str) -> str:  # the window in which a source's n-th token of the run lies, about
+        if knots:
+            rise, bend = "(high.rise - low.rise)", "(high.bend - low.bend)"
+            return f"CAST(floor(2.0D * greatest({n}, 0L) / ({rise} + sqrt(greatest({rise} * {rise} + 4.0D * {bend} * greatest({n}, 0L), 0.0D)))) AS BIGINT)"
+        return f"(({n}) * parts) DIV {step}"
+
+    slack = 2 if knots else 1
+    first = f"CASE WHEN fixed >= 0 THEN 0L ELSE greatest(0L, least(windows - 1, {window_of(f'(a - {slack})')} - 1)) END"
+    last = f"CASE WHEN fixed >= 0 THEN 0L ELSE least(windows - 1, {window_of(f'(b + {slack})')} + 1) END"
     pieces = hit.withColumn("j", F.explode(F.expr(f"sequence({first}, {last})")))
     begin = F.expr(f"CASE WHEN fixed >= 0 THEN 0L ELSE {given('j')} END")
     end = F.expr(f"CASE WHEN fixed >= 0 THEN fixed ELSE {given('j + 1')} END")
