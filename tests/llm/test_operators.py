@@ -280,6 +280,16 @@ def test_training_beats_unigrams_on_held_out_text():
     assert pseudo_likelihood.log_probabilities(model, tokens, around).mean() > unigram + 0.3
 
 
+def test_every_token_is_a_training_target(spark):
+    rows = [(i, words(n, i)) for i, n in enumerate([1, 2, 7, 8, 9, 100, 0, 3])]
+    parts = []
+    for r in range(pseudo_likelihood.ROUNDS):
+        keyed = frame(spark, rows).selectExpr("text", f"pmod(xxhash64(doc_id, octet_length(text)), {pseudo_likelihood.STRIDE * pseudo_likelihood.ROUNDS}) AS shift").filter(f"shift % {pseudo_likelihood.ROUNDS} = {r}")
+        run = pseudo_likelihood._train_partition(pseudo_likelihood.flatten(pseudo_likelihood.new_model()), pseudo_likelihood.STRIDE)
+        parts += keyed.mapInArrow(run, "slice int, seen long, weights binary, salt int").filter("slice = 0").collect()
+    assert sum(p.seen for p in parts) == sum(len(t.split()) for _, t in rows)
+
+
 # --- 5 n-gram Jaccard -------------------------------------------------------------------------------------------------
 
 

@@ -22,8 +22,8 @@ from tidemark.llm.kit import U64, chunked, word_hashes
 CLASSES, MEMBERS, HIDDEN = 64, 64, 32
 VOCABULARY = CLASSES * MEMBERS
 PLACES = (-2, -1, 1, 2)
-#: Every STRIDE-th token of every document is a training target.
-STRIDE = 8
+#: Every STRIDE-th token of every document is a training target: at 1 all are.
+STRIDE = 1
 ROUNDS = 2
 _BATCH = 4096
 _SLICES = 16
@@ -223,8 +223,8 @@ def _score(flat: np.ndarray):
 def score_documents(docs: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pseudo-likelihood of every document: (doc_id, n_tokens, log_prob, mean_log_prob), one row each.
 
-    Tokens are words split at white space. stride: every stride-th token of every document is a training target,
-    which one depends on the document; all tokens are scored. Weights depend on how the rows are split into
+    Tokens are words split at white space. stride: every stride-th token of every document is a training target (1: all
+    of them, each in one of the rounds), which one depends on the document; all tokens are scored. Weights depend on how the rows are split into
     partitions, as gradient steps follow their order.
 
     NULL, empty and blank texts: no tokens, log_prob 0 and mean_log_prob NULL. NULL doc_id: scored like any other.
