@@ -355,6 +355,17 @@ def test_measures_are_those_of_word_by_word_tokens():
             assert got["byte_share"][i] == pytest.approx(sum(v.piece.is_byte(p) for p in pieces) / len(pieces))
 
 
+def test_a_text_of_more_words_than_are_remembered_is_measured(monkeypatch):
+    text = words(3000, 1, 100_000)
+    want = fertility.measures(pa.array([text, "a b"]), fertility.Vocabularies(TOKENIZERS))
+    monkeypatch.setattr(fertility, "_REMEMBERED", 100)
+    v = fertility.Vocabularies(TOKENIZERS)
+    for _ in range(2):
+        got = fertility.measures(pa.array([text, "a b"]), v)
+        assert all((got[k] == want[k]).all() for k in want)
+        fertility.measures(pa.array(["c d"]), v)
+
+
 def test_junk_goes_and_text_stays(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     got = fertility.fertility(docs).join(docs.select("doc_id", "quality"), "doc_id").toPandas()

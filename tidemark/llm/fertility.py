@@ -62,10 +62,10 @@ class Vocabularies:
         """Numbers under which the words' tokens are kept; new words are cut, each by itself."""
         new = [w for w in distinct if w not in self.met]
         if len(self.met) + len(new) > len(self.begin):
-            if len(distinct) > len(self.begin):
-                raise ValueError("more distinct words in a slice of text than can be kept")
             self._forget()
             new = distinct
+            if len(new) > len(self.begin):  # one very long text: the arrays grow to hold it
+                self.begin, self.size, self.chars, self.coarse, self.fallback = (np.zeros(len(new), np.int64) for _ in range(5))
         if new:
             pieces = self.piece.encode(new, num_threads=1)
             sizes = np.fromiter(map(len, pieces), np.int64, len(new))
