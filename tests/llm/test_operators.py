@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame, words
 from tidemark.llm import chat, curriculum, exact_dedup, fertility, jaccard, kit, packing, pseudo_likelihood, quality_gam, substring, toxicity
@@ -293,7 +294,7 @@ def test_every_token_is_a_training_target(spark):
 # --- 5 n-gram Jaccard -------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n,threshold", [(1, 0.88), (2, 0.8), (3, 0.7)])
+@pytest.mark.parametrize("n,threshold", [(1, 0.88), (1, 0.8), (2, 0.8), (3, 0.7), (4, 0.7), (5, 0.6)])
 def test_pairs_are_those_of_brute_force(spark, n, threshold):
     rng = random.Random(n)
     rows = []
@@ -318,6 +319,22 @@ def test_pairs_are_those_of_brute_force(spark, n, threshold):
     assert {(r.doc_a, r.doc_b) for r in got} == want and len(want) > 10
 
 
+def test_filter_has_no_false_negatives(spark):
+    keys = spark.range(0, 40_000, 7).select((F.col("id") - 20_000).alias("k"))
+    values = spark.range(-20_000, 20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("v"))
+    got = {r.v for r in values.filter(kit.maybe_in(keys, "k")("v")).collect()}
+    want = {r.k for r in keys.collect()} - {5}
+    assert want <= got and len(got - want) < 400 and None not in got
+    assert values.filter(kit.maybe_in(keys.limit(0), "k")("v")).count() == 0
+
+
+def test_one_of_each_group_stays_by_id_and_text(spark):
+    w = words(100, 1)
+    docs = frame(spark, [(1, w), (2, w + " x"), (2, "a wholly different text"), (3, w), (3, w), (4, words(100, 2)), (4, words(100, 2))])
+    got = sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect())
+    assert got == sorted([(1, w), (2, "a wholly different text"), (4, words(100, 2)), (4, words(100, 2))])
+
+
 def test_sketch_distance_bounds_the_difference():
     rng = random.Random(0)
     for _ in range(50):

@@ -44,7 +44,7 @@ def test_near_copies(stages):
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if len(sets[a] & sets[b]) >= 0.88 * len(sets[a] | sets[b]):
+            if len(sets[a] & sets[b]) >= corpus_pipeline.jaccard.THRESHOLD * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 group[y] = x
     assert set(stages[3].doc_id) == {d for d in ids if root(d) == d} and len(stages[3]) < len(stages[2])

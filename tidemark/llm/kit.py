@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths of all tables that durable writes meanwhile, for discard once the results that read them are written."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        _OPEN.pop()
+
+
 def durable(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -36,8 +50,9 @@ def durable(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if held is not None:
-        held.append(path)
+    for paths in ([] if held is None else [held], _OPEN[-1:]):
+        for x in paths:
+            x.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -172,6 +187,59 @@ def by_part(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int,
         yield int(part[a]), [c[a:b] for c in columns]
 
 
+#: Bits of a filter for each key, and the most that a filter is sent to all workers with; beyond, every key passes it.
+FILTER_BITS, FILTER_LIMIT = 12, 1 << 28
+_ROUNDS = 5
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    a, b = mix(keys ^ _BASE), mix(keys + _BASE) | U64(1)
+    return np.stack([(a + U64(i) * b) % U64(bits) for i in range(_ROUNDS)])
+
+
+def maybe_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """A test of a long column: false only for values that aren't among keys[key]; NULL gives false.
+
+    The keys go into a Bloom filter that is built where they are, in slices; its size is checked before it is sent to the workers. Beyond
+    FILTER_LIMIT bits there is no filter, and the join that it spares work for takes all rows.
+    """
+    spark = keys.sparkSession
+    count = keys.count()
+    if count * FILTER_BITS > FILTER_LIMIT:
+        return lambda name: F.col(name).isNotNull()
+    bits = max(4096, 1 << (count * FILTER_BITS - 1).bit_length()) if count else 4096
+    slices = max(1, bits >> 20)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.unique(_places(b.column(0).drop_null().to_numpy().view(U64), bits)) for b in batches]
+        at = np.unique(np.concatenate(own)).astype(np.int64) if own else np.zeros(0, np.int64)
+        some, parts = [], []
+        for i, (rows,) in by_part(at // (bits // slices), [at % (bits // slices)]):
+            held = np.zeros(bits // slices, bool)
+            held[rows] = True
+            some.append(i)
+            parts.append(np.packbits(held).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()])
+        return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    found = keys.select(key).mapInArrow(fill, "slice int, bits binary").groupBy("slice").applyInArrow(either, "slice int, bits binary").collect()
+    whole = np.zeros((slices, bits // slices // 8), np.uint8)
+    for r in found:
+        whole[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(whole.ravel())
+
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        at = _places(pc.fill_null(values, 0).to_numpy(zero_copy_only=False).view(U64), bits)
+        hit = (sent.value[at >> U64(3)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).all(axis=0)
+        return pa.array(hit & ~values.is_null().to_numpy(zero_copy_only=False))
+
+    return lambda name: test(F.col(name))
+
+
 def text_size(docs: DataFrame, text: str) -> tuple[int, int]:
     """Rows, and bytes of text over all of them; sizes the packed shuffles."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
