@@ -154,6 +154,15 @@ def percent_change(old: Column, new: Column) -> Column:
     return F.try_divide(F.abs(old - new) * 100.0, old.cast("double"))
 
 
+def significant_digits(c: Column, width: int, digits: int) -> Column:
+    """SNK8: %<width>.<digits>g of a number from 0 on, as C prints it: the shorter of fixed and exponent form, without trailing zeros."""
+    exponent = F.when(c > 0, F.floor(F.log10(F.format_string(f"%.{digits - 1}e", c).cast("double")) + 1e-9)).otherwise(0).cast("int")
+    plain = F.format_string(f"%.{digits + 8}f", F.round(c * F.pow(F.lit(10.0), (digits - 1 - exponent).cast("double"))) / F.pow(F.lit(10.0), (digits - 1 - exponent).cast("double")))
+    fixed = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    scientific = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits - 1}e", c), r"(\.[0-9]*?)0+e", "$1e"), r"\.e", "e")
+    return F.lpad(F.when((exponent < -4) | (exponent >= digits), scientific).otherwise(fixed), width, " ")
+
+
 def clean_warning(text: Column) -> Column:
     """FN14: one line, single blanks, no quotes."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"\"", ""), r"\s+", " "))
@@ -175,20 +184,20 @@ def sloc(text: Column) -> Column:
     return F.when((lines == 0) & (F.length(text) > 0), 1).otherwise(lines)
 
 
-#: FLT14: smell predicates on counts of three smells, named; each a text that Spark and other engines read.
+#: FLT14: the 14 smell predicates on a file's counts of annotation bundles, annotation files and large features.
 SMELL_PREDICATES = {
     "ANY": "ab + af + lf > 0",
     "AB": "ab > 0",
     "AF": "af > 0",
     "LF": "lf > 0",
-    "AB_OR_AF": "ab > 0 OR af > 0",
-    "AB_OR_LF": "ab > 0 OR lf > 0",
-    "AF_OR_LF": "af > 0 OR lf > 0",
-    "AB_AND_AF": "ab > 0 AND af > 0",
-    "AB_AND_LF": "ab > 0 AND lf > 0",
-    "AF_AND_LF": "af > 0 AND lf > 0",
-    "ALL": "ab > 0 AND af > 0 AND lf > 0",
-    "TWO": "ab + af + lf >= 2",
-    "TWO_KINDS": "CAST(ab > 0 AS INT) + CAST(af > 0 AS INT) + CAST(lf > 0 AS INT) >= 2",
-    "NONE": "ab + af + lf = 0",
+    "ABorAF": "ab > 0 OR af > 0",
+    "ABandAF": "ab > 0 AND af > 0",
+    "ABorLF": "ab > 0 OR lf > 0",
+    "ABandLF": "ab > 0 AND lf > 0",
+    "AForLF": "af > 0 OR lf > 0",
+    "AFandLF": "af > 0 AND lf > 0",
+    "ANY2": "ab + af + lf >= 2",
+    "ANY2Distinct": "CAST(ab > 0 AS INT) + CAST(af > 0 AS INT) + CAST(lf > 0 AS INT) >= 2",
+    "AB2": "ab >= 2",
+    "LF2": "lf >= 2",
 }

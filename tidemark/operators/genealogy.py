@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Lineage is cut by a table in the folder that spark.checkpoint.dir names; without one, by nothing."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        return df.cache()
-    path = f"{place}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidemark.operators.shared import kept as _kept
 
 
 def equivalence_classes(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.derived import similarity
+from tidemark.operators.rollups import numbered
 
 KEY = ["signature", "file"]
 
@@ -93,6 +94,20 @@ def same_name_moves(deleted: DataFrame, added: DataFrame, key: list[str], name:
     return deleted.select(*key, name, F.col("id").alias("deleted")).join(added.select(*key, name, F.col("id").alias("added")), [*key, name]).select(*key, name, "deleted", "added")
 
 
+def pivoted(rows: DataFrame, key: str, by: str, value: str, order: str, names: tuple[str, ...]) -> DataFrame:
+    """JN7: the first value of each name side by side; a key without one of the names is dropped, but for the last name."""
+    wide = rows.filter(F.col(by).isin(*names)).groupBy(key).pivot(by, list(names)).agg(F.min_by(value, order))
+    return wide.dropna(subset=list(names[:-1]))
+
+
+def rename_candidates(logged: DataFrame) -> DataFrame:
+    """SRT7: distinct logged renames (old, new), those that only just stay within their threshold last; place numbers the order."""
+    distance = F.levenshtein(F.lower("old"), F.lower("new")).cast("long")
+    limit = F.greatest(F.lit(1), F.floor(F.least(F.length("old"), F.length("new")) / 3 + 0.5)).cast("long")
+    rows = logged.distinct().withColumns({"distance": distance, "threshold": limit})
+    return numbered(rows.withColumn("slack", F.col("threshold") - F.col("distance")), ["slack", "old", "new"], "place").drop("slack")
+
+
 def by_basename(files: DataFrame, counts: DataFrame, count: str) -> DataFrame:
     """JN13: counts kept by bare file name, attached to full paths; 0 where there is none."""
     named = files.withColumn("name", F.substring_index("file", "/", -1))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.derived import is_mod_or_move, java_round
+from tidemark.operators.shared import kept as _kept
 
 def _mod() -> Column:
     return is_mod_or_move(F.col("mod_type"))
@@ -175,14 +178,31 @@ def contingency(files: DataFrame, by: str, predicates: dict[str, str]) -> DataFr
     )
 
 
+def numbered(rows: DataFrame, order: list[str | Column], name: str, parts: int | None = None) -> DataFrame:
+    """Rows numbered from 1 in order, without one task that sees them all: ranges are sorted apart, their sizes added up first."""
+    keyed = rows.repartitionByRange(*([parts] if parts else []), *order).withColumn("part_", F.spark_partition_id())
+    within = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    placed = _kept(keyed.withColumn("at_", within))
+    sizes = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    offsets = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "before_")
+    return placed.join(offsets, "part_").withColumn(name, F.col("at_") + F.col("before_")).drop("part_", "at_", "before_")
+
+
+def resized(rows: DataFrame, by: list[str], size: int, order: list[Column]) -> DataFrame:
+    """SMP2: exactly `size` rows of each group: the first ones in order, or, from a smaller group, its rows again and again (copy counts from 0)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    ranked = rows.withColumn("r_", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("n_", n).filter(F.col("r_") < size)
+    times = F.floor((F.lit(size - 1) - F.col("r_")) / F.col("n_")).cast("long")
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times))).drop("r_", "n_")
+
+
 def top_features(features: DataFrame, percents: dict[str, float]) -> DataFrame:
     """TOP1: names among the top percent by any of the given measures; 0 percent takes none. Ties go by name."""
-    everything = Window.partitionBy(F.lit(1))
+    n = features.count()
     taken = None
     for measure, p in percents.items():
-        n = F.count(F.lit(1)).over(everything)
-        order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(measure, "name")) - 1
-        part = features.withColumn("r", order).withColumn("from", java_round(n - n * p / 100)).filter("r >= `from`").select("name")
+        start = math.floor(n - n * p / 100 + 0.5)
+        part = numbered(features.select(measure, "name"), [measure, "name"], "r").filter(F.col("r") > start).select("name")
         taken = part if taken is None else taken.unionByName(part)
     return taken.distinct()
 
@@ -196,6 +216,5 @@ def balanced(rows: DataFrame, flag: Column, order: list[Column]) -> DataFrame:
 
 def folds(rows: DataFrame, size: int, order: list[Column]) -> DataFrame:
     """SMP5: rows dealt to max(1, floor(n / size)) folds in turn."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1
-    return rows.withColumn("fold", F.pmod(rank, F.greatest(F.lit(1), F.floor(n / size))).cast("long"))
+    n = max(1, rows.count() // size)
+    return numbered(rows, order, "fold").withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(n)).cast("long"))

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import derived as D
+from tidemark.operators import joins as J
 from tidemark.operators import stats as S
 from tidemark.plans.registry import query
+from tidemark.plans.smells import SMELLS
+from tidemark.sources import tables as T
 
 C = F.col
 
@@ -30,16 +33,18 @@ derive("prj1_column_functions", "hunks", "upper(mod_type) AS kind, added + delet
 derive("prj2_line_delta", "hunks", "added - deleted AS line_delta", HUNK, lambda: dict(line_delta=D.line_delta("added", "deleted")))
 derive("prj3_lines_changed", "hunks", "added + deleted AS lines_changed", HUNK, lambda: dict(lines_changed=D.lines_changed("added", "deleted")))
 derive("prj4_rounded", "joint", "CAST(round_even(lch / 4.0, 0) AS INT) AS lch4", JOINT, lambda: dict(lch4=D.rounded_int(C("lch") / 4)))
-derive("prj5_aliases", "joint", "lch AS lines_changed, pc AS previous_commits, mrc AS last_edit", JOINT, lambda: dict(lines_changed=C("lch"), previous_commits=C("pc"), last_edit=C("mrc")))
-derive("prj6_ratios", "joint", "round(loac / nullif(loc, 0)::DOUBLE, 6) AS loac_ratio, round(lch / nullif(loc, 0)::DOUBLE, 6) AS lch_ratio", JOINT, lambda: dict(loac_ratio=F.round(D.ratio("loac", "loc"), 6), lch_ratio=F.round(D.ratio("lch", "loc"), 6)))
+derive("prj5_aliases", "joint", "lch AS lines_changed, pc AS previous_commits, mrc AS last_edit, fc AS fc_nondup", JOINT, lambda: dict(lines_changed=C("lch"), previous_commits=C("pc"), last_edit=C("mrc"), fc_nondup=C("fc")))
+derive("prj6_ratios", "joint", "round(loac / nullif(loc, 0)::DOUBLE, 6) AS loac_ratio, round(lofc / nullif(loc, 0)::DOUBLE, 6) AS lofc_ratio, round(commits / nullif(loc, 0)::DOUBLE, 6) AS commits_ratio, round(lch / nullif(loc, 0)::DOUBLE, 6) AS lch_ratio", JOINT, lambda: {f"{c}_ratio": F.round(D.ratio(c, "loc"), 6) for c in ("loac", "lofc", "commits", "lch")})
 derive("prj7_logs", "joint", "round(log2(commits + 1), 6) AS log_commits, round(log2(nullif(loc, 0)), 6) AS log_loc, round(sqrt(lch), 6) AS root_lch", JOINT, lambda: dict(log_commits=F.round(D.log2p("commits"), 6), log_loc=F.round(F.log2("loc"), 6), root_lch=F.round(F.sqrt("lch"), 6)))
 derive("prj8_flags", "joint", "commits > 0 AS changed, fl > 0 AS annotated", JOINT, lambda: dict(changed=C("commits") > 0, annotated=C("fl") > 0))
 query("prj9_churn_prone", """SELECT uid, snapshot_index, lch / loc::DOUBLE > (SELECT median(lch / loc::DOUBLE) FROM {joint} WHERE commits > 0) AS churn_prone FROM {joint}""")(
     lambda v: v.joint.crossJoin(v.joint.filter("commits > 0").agg(F.median(D.ratio("lch", "loc")).alias("m"))).select(*JOINT, (D.ratio("lch", "loc") > C("m")).alias("churn_prone")))
-query("prj10_whole_medians", """SELECT uid, snapshot_index, (SELECT median(commits) FROM {joint} WHERE commits > 0) AS median_commits, (SELECT median(lch) FROM {joint} WHERE commits > 0) AS median_lch FROM {joint}""")(
-    lambda v: v.joint.crossJoin(v.joint.filter("commits > 0").agg(F.median("commits").alias("median_commits"), F.median("lch").alias("median_lch"))).select(*JOINT, "median_commits", "median_lch"))
-derive("prj11_functions_per_snapshot", "joint", "count(*) OVER (PARTITION BY snapshot_index) AS tnf, round(log2(count(*) OVER (PARTITION BY snapshot_index)), 6) AS log_tnf", JOINT,
-       lambda: dict(tnf=F.count("*").over(Window.partitionBy("snapshot_index")), log_tnf=F.round(F.log2(F.count("*").over(Window.partitionBy("snapshot_index"))), 6)))
+query("prj10_whole_medians", """SELECT uid, snapshot_index, median_commits, median_lch, round(median_commits_ratio, 6) AS median_commits_ratio, round(median_lch_ratio, 6) AS median_lch_ratio FROM {joint},
+  (SELECT median(commits) AS median_commits, median(lch) AS median_lch, median(commits / loc::DOUBLE) AS median_commits_ratio, median(lch / loc::DOUBLE) AS median_lch_ratio FROM {joint} WHERE commits > 0)""")(
+    lambda v: v.joint.crossJoin(v.joint.filter("commits > 0").agg(*[F.median(c).alias(f"median_{c}") for c in ("commits", "lch")], *[F.round(F.median(D.ratio(c, "loc")), 6).alias(f"median_{c}_ratio") for c in ("commits", "lch")]))
+    .select(*JOINT, "median_commits", "median_lch", "median_commits_ratio", "median_lch_ratio"))
+derive("prj11_functions_per_snapshot", "joint", "count(*) OVER (PARTITION BY snapshot_index) AS tnf, round(log2(count(*) OVER (PARTITION BY snapshot_index) + 1), 6) AS log_tnf, round(log2(loac / loc::DOUBLE + 1), 6) AS log_loac_ratio", JOINT,
+       lambda: dict(tnf=F.count("*").over(Window.partitionBy("snapshot_index")), log_tnf=F.round(F.log2(F.count("*").over(Window.partitionBy("snapshot_index")) + 1), 6), log_loac_ratio=F.round(F.log2(D.ratio("loac", "loc") + 1), 6)))
 query("prj12_z_scores", """SELECT uid, snapshot_index, round((lch - (SELECT avg(lch) FROM {joint})) / (SELECT stddev_samp(lch) FROM {joint}), 6) AS lch FROM {joint}""")(
     lambda v: S.standardised(v.joint.select(*JOINT, "lch"), ["lch"]).select(*JOINT, F.round("lch", 6).alias("lch")))
 derive("prj13_significance", "models", "CASE WHEN p < 0.0001 THEN '***' WHEN p < 0.001 THEN '**' WHEN p < 0.01 THEN '*' WHEN p < 0.05 THEN '.' ELSE '' END AS code", MODEL, lambda: dict(code=D.significance(C("p"))))
@@ -65,13 +70,14 @@ query("flt5_exists_at_start", "SELECT DISTINCT c.uid, c.commit_id FROM {changes}
 keep("flt6_no_test_code", "part", "NOT (contains(p_name, ' test') OR contains(p_name, 'Test') OR starts_with(p_type, 'test'))", ["p_partkey"], lambda: ~D.is_test_code(C("p_name"), C("p_type")))
 keep("flt7_excluded_files", "functions", "NOT regexp_matches(file, 'Brand#1')", ["signature"], lambda: ~C("file").rlike("Brand#1"))
 keep("flt8_finite", "joint", "age IS NOT NULL AND mrc IS NOT NULL AND pc IS NOT NULL", JOINT, lambda: D.is_finite(C("age")) & D.is_finite(C("mrc")) & D.is_finite(C("pc")))
-query("flt9_zero_filled", "SELECT uid, snapshot_index, coalesce(age, 0) AS age, coalesce(mrc, 0) AS mrc FROM {joint}")(lambda v: v.joint.select(*JOINT, "age", "mrc").fillna(0, ["age", "mrc"]))
+_ALL = ["loc", "loac", "lofc", "fl", "fc", "cnd", "neg", "age", "mrc", "commits", "lch", "pc"]
+query("flt9_zero_filled", f"SELECT uid, snapshot_index, signature, file, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _ALL)} FROM {{joint}}")(lambda v: v.joint.fillna(0).select(*JOINT, "signature", "file", *_ALL))
 keep("flt10_least_sloc", "smells", "sloc >= 500", ["file"], lambda: C("sloc") >= 500)
 keep("flt11_least_score", "smells", "score >= 3", ["file"], lambda: C("score") >= 3)
 keep("flt12_date_range", "commits", "CAST(ts AS DATE) BETWEEN DATE '1993-01-01' AND DATE '1994-06-30'", ["commit_id"], lambda: F.to_date("ts").between("1993-01-01", "1994-06-30"))
 keep("flt13_significant", "models", "p < 0.01 AND (warning IS NULL OR NOT warning LIKE '%lgorithm did not converg%')", MODEL, lambda: (C("p") < 0.01) & (C("warning").isNull() | ~C("warning").like("%lgorithm did not converg%")))
-derive("flt14_smell_predicates", "smells", ", ".join(f"{p} AS {k.lower()}" for k, p in D.SMELL_PREDICATES.items() if k not in ("AB", "AF", "LF", "ANY", "ALL")) + ", ab + af + lf > 0 AS any_smell", ["file"],
-       lambda: dict(**{k.lower(): F.expr(p) for k, p in D.SMELL_PREDICATES.items() if k not in ("AB", "AF", "LF", "ANY", "ALL")}, any_smell=F.expr(D.SMELL_PREDICATES["ANY"])))
+query("flt14_smell_predicates", f"SELECT file, {', '.join(f'{p} AS is_{k.lower()}' for k, p in SMELLS.items())} FROM {{smells}}")(
+    lambda v: v.smells.select("file", *[F.expr(p).alias(f"is_{k.lower()}") for k, p in D.SMELL_PREDICATES.items()]))
 query("flt15_quantile_trim", "SELECT uid, snapshot_index, lch FROM {joint} WHERE lch <= (SELECT quantile_cont(lch, 0.95) FROM {joint})")(
     lambda v: v.joint.crossJoin(v.joint.agg(F.percentile("lch", 0.95).alias("t"))).filter("lch <= t").select(*JOINT, "lch"))
 query("flt16_deleted_before", "SELECT DISTINCT m.commit_id, m.uid, m.hunk FROM {hunks} m WHERE mod_type = 'MOD' AND NOT EXISTS (SELECT 1 FROM {hunks} d WHERE d.mod_type = 'DEL' AND d.commit_id = m.commit_id AND d.uid = m.uid AND d.hunk < m.hunk)")(
@@ -80,7 +86,7 @@ query("flt16_deleted_before", "SELECT DISTINCT m.commit_id, m.uid, m.hunk FROM {
 query("flt17_dropped_snapshots", "SELECT uid, snapshot_index FROM {joint} WHERE snapshot_index NOT IN (SELECT snapshot_index FROM {snapshots} WHERE snapshot_index % 2 = 0)")(
     lambda v: v.joint.join(v.snapshots.filter("snapshot_index % 2 = 0").select("snapshot_index"), "snapshot_index", "left_anti").select(*JOINT))
 query("flt18_overlap_kinds", """SELECT e.commit_id, s.signature, e.begin_a, e.end_a, begin_a <= start1 - 1 AND end_a > end1 - 1 AS covers FROM {edits} e JOIN {spans} s ON e.file = s.file AND begin_a < end1 AND end_a > start1 - 1""")(
-    lambda v: __import__("tidemark.operators.joins", fromlist=["overlaps"]).overlaps(v.edits, v.spans).select("commit_id", "signature", "begin_a", "end_a", "covers"))
+    lambda v: J.overlaps(v.edits, v.spans).select("commit_id", "signature", "begin_a", "end_a", "covers"))
 keep("flt19_upper_limit", "joint", "lch <= 100", JOINT, lambda: C("lch") <= 100)
 keep("flt20_plot_subset", "joint", "fl > 0 AND commits > 0 AND loc > 0", JOINT, lambda: (C("fl") > 0) & (C("commits") > 0) & (C("loc") > 0))
 
@@ -109,11 +115,13 @@ derive("fn17_month_macro", "commits", "CAST(month(ts) AS VARCHAR) || '/' || CAST
 query("fn18_joined_names", "SELECT file, string_agg(signature, ',' ORDER BY signature) AS names FROM {functions} GROUP BY file")(
     lambda v: v.functions.groupBy("file").agg(F.array_sort(F.collect_list(F.concat(F.lit('"'), "signature", F.lit('"')))).alias("n")).select("file", D.unquoted(C("n")).alias("names")))
 query("snk3_no_noop_rows", "SELECT uid, commit_id, hunk FROM {hunks} WHERE added + deleted > 0 OR mod_type = 'MOVE'")(lambda v: v.hunks.filter((C("added") + C("deleted") > 0) | (C("mod_type") == "MOVE")).select(*HUNK))
-derive("snk8_formatted", "models", "printf('%7.4f', rho) AS rho, printf('%.3f', p) AS p", MODEL, lambda: dict(rho=F.format_string("%7.4f", "rho"), p=F.format_string("%.3f", "p")))
+derive("snk8_formatted", "models", "printf('%7.4f', rho) AS rho, CASE WHEN p = 0 THEN '        0' ELSE printf('%9.3g', p) END AS p", MODEL, lambda: dict(rho=F.format_string("%7.4f", "rho"), p=D.significant_digits(C("p"), 9, 3)))
 derive("snk10_tex_rows", "models", "replace(replace(replace(system, '#', '\\#'), '%', '\\%'), '_', '\\_') || ' & ' || d AS tex", MODEL, lambda: dict(tex=F.concat(F.regexp_replace("system", r"([#%_])", r"\\$1"), F.lit(" & "), C("d"))))
 query("src18_commit_ids", "SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS commit_id FROM {conversations}")(
-    lambda v: v.conversations.select("conv_id", "turn", F.explode(F.split("text", r"\s+")).alias("commit_id")).filter("commit_id <> ''"))
-query("src11_markup_scan", "SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links FROM {pages}")(lambda v: v.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))).cast("long").alias("links")))
+    lambda v: T.split_ids(v.conversations, "text").select("conv_id", "turn", "commit_id"))
+query("src11_feature_files", "SELECT DISTINCT source AS feature, lang || '/' || CAST(doc_id % 7 AS VARCHAR) || '.c' AS file FROM {documents}")(
+    lambda v: T.parsed_features(v.documents.groupBy("source").agg(F.array_join(F.collect_list(F.concat(F.lit("<file>"), "lang", F.lit("/"), (C("doc_id") % 7).cast("string"), F.lit(".c</file>"))), "").alias("files"))
+    .select(F.concat(F.lit('<feature name="'), "source", F.lit('">'), "files", F.lit("</feature>")).alias("xml")), "xml"))
 
 
 def _neighbours(v):

@@ -43,9 +43,9 @@ query("win8_last_edit", _HITS + "SELECT uid, start_commit, last_edit FROM g")(la
 query("win9_branch_positions", """WITH k AS (SELECT *, commit_id % 3 AS lane FROM {commits} WHERE is_c), b AS (SELECT project, lane, dense_rank() OVER (PARTITION BY project ORDER BY min(ts), lane) AS branch_number FROM k GROUP BY project, lane)
   SELECT k.commit_id, b.branch_number, row_number() OVER (PARTITION BY k.project, k.lane ORDER BY ord) AS branch_position FROM k JOIN b ON k.project = b.project AND k.lane = b.lane""")(
     lambda v: W.branch_positions(v.commits.withColumn("lane", C("commit_id") % 3), "lane", "ord").select("commit_id", "branch_number", "branch_position"))
-query("win10_spread_days", """WITH f AS (SELECT project, ord, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d, row_number() OVER (PARTITION BY project ORDER BY ord) AS i FROM {commits} WHERE ord <= 500)
+query("win10_spread_days", """WITH f AS (SELECT project, ord, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d, row_number() OVER (PARTITION BY project ORDER BY ord) AS i FROM {commits})
   SELECT project, ord, DATE '1970-01-01' + CAST(max(d - i) OVER (PARTITION BY project ORDER BY i) + i AS INT) AS day FROM f""")(
-    lambda v: W.increasing_days(v.commits.filter("ord <= 500").select("project", "ord", F.to_date("ts").alias("d")), "d", "project", "ord").select("project", "ord", "day"))
+    lambda v: W.increasing_days(v.commits.select("project", "ord", F.to_date("ts").alias("d")), "d", "project", "ord").select("project", "ord", "day"))
 query("srt1_by_time", "SELECT commit_id, row_number() OVER (PARTITION BY project ORDER BY ts, commit_id) AS place FROM {commits}")(lambda v: v.commits.select("commit_id", _place("project", ["ts", "commit_id"])))
 query("srt2_integer_keys", """WITH e AS (SELECT d.project, d.ts, d.commit_id AS child, e.parent FROM {dag} d LEFT JOIN {edges} e ON e.child = d.commit_id), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts, child, parent NULLS FIRST) AS r FROM e),
   a AS (SELECT project, commit_id, min(seen) AS seen FROM (SELECT project, child AS commit_id, r * 2 AS seen FROM r UNION ALL SELECT project, parent, r * 2 + 1 FROM r WHERE parent IS NOT NULL) GROUP BY 1, 2)
@@ -57,7 +57,10 @@ query("srt4_by_file", "SELECT signature, row_number() OVER (PARTITION BY file OR
 query("srt5_by_similarity", "SELECT system, d, i, formula, row_number() OVER (PARTITION BY d ORDER BY rho DESC, system, i, formula, coef, p) AS place FROM {models}")(
     lambda v: v.models.select("system", "d", "i", "formula", _place("d", [C("rho").desc(), "system", "i", "formula", "coef", "p"])))
 query("srt6_by_date_name", "SELECT file, row_number() OVER (PARTITION BY snapshot ORDER BY sloc, file DESC) AS place FROM {smells}")(lambda v: v.smells.select("file", _place("snapshot", ["sloc", C("file").desc()])))
-query("srt7_rename_candidates", "SELECT DISTINCT p_name, length(p_name) - 20 AS slack FROM {part}")(lambda v: v.part.select("p_name", (F.length("p_name") - 20).cast("long").alias("slack")).distinct().orderBy("slack", "p_name"))
+query("srt7_rename_candidates", """WITH l AS (SELECT DISTINCT a.p_name AS old, b.p_name AS new FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1),
+  d AS (SELECT old, new, levenshtein(lower(old), lower(new)) AS distance, greatest(1, floor(least(length(old), length(new)) / 3::DOUBLE + 0.5)) AS threshold FROM l)
+  SELECT old, new, distance::BIGINT AS distance, threshold::BIGINT AS threshold, row_number() OVER (ORDER BY threshold - distance, old, new) AS place FROM d""")(
+    lambda v: J.rename_candidates(v.part.select(C("p_partkey").alias("k"), C("p_name").alias("old")).join(v.part.select((C("p_partkey") - 1).alias("k"), C("p_name").alias("new")), "k").select("old", "new")))
 
 
 def _place(by, order):

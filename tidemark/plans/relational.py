@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import derived as D
 from tidemark.operators import joins as J
 from tidemark.operators import rollups as R
+from tidemark.operators import windows as W
 from tidemark.plans.registry import query
+from tidemark.plans.smells import SMELLS
 
 C = F.col
 KEY = ["signature", "file"]
@@ -47,7 +49,7 @@ query("agg12_tracking_errors", """WITH c AS (SELECT DISTINCT uid, snapshot_index
 query("agg13_request_stats", """SELECT snapshot_index, count(*) AS requests, count(*) FILTER (age IS NULL) AS unknown, CAST(floor(100.0::DOUBLE * count(*) FILTER (age IS NULL) / count(*) + 0.5) AS BIGINT) AS perc_unknown
   FROM {joint} GROUP BY snapshot_index""")(lambda v: v.joint.groupBy("snapshot_index").agg(F.count(F.lit(1)).alias("requests"), F.count_if(C("age").isNull()).alias("unknown"),
     D.java_round(100.0 * F.count_if(C("age").isNull()) / F.count(F.lit(1))).alias("perc_unknown")))
-_METRICS = " UNION ALL ".join(f"SELECT snapshot, '{k}' AS metric, {p} AS s, fixes > 0 AS f, fixes, sloc FROM {{smells}}" for k, p in D.SMELL_PREDICATES.items())
+_METRICS = " UNION ALL ".join(f"SELECT snapshot, '{k}' AS metric, {p} AS s, fixes > 0 AS f, fixes, sloc FROM {{smells}}" for k, p in SMELLS.items())
 AGG14 = f"""SELECT snapshot, metric, count(*) FILTER (s AND f) AS fs, count(*) FILTER (NOT s AND f) AS fns, count(*) FILTER (s AND NOT f) AS nfs, count(*) FILTER (NOT s AND NOT f) AS nfns,
   CAST(coalesce(sum(fixes) FILTER (s), 0) AS BIGINT) AS fixes_smelly, CAST(coalesce(sum(fixes) FILTER (NOT s), 0) AS BIGINT) AS fixes_clean,
   CAST(floor(avg(sloc) FILTER (s) + 0.5) AS BIGINT) AS mean_sloc_smelly, CAST(floor(avg(sloc) FILTER (NOT s) + 0.5) AS BIGINT) AS mean_sloc_clean,
@@ -108,19 +110,21 @@ query("jn5_changed_metric", """SELECT n.snapshot_index, n.signature, n.file, o.l
   WHERE o.lch <> n.lch AND o.commits > 0""")(lambda v: J.changed_metric(v.joint, "lch"))
 query("jn6_averages_to_detail", """SELECT m.system, m.d, m.i, m.formula, round(m.rho - a.mean, 4) AS off FROM {models} m JOIN (SELECT d, i, avg(rho) AS mean FROM {models} GROUP BY d, i) a ON m.d = a.d AND m.i = a.i""")(
     lambda v: v.models.join(v.models.groupBy("d", "i").agg(F.avg("rho").alias("mean")), ["d", "i"]).select("system", "d", "i", "formula", F.round(C("rho") - C("mean"), 4).alias("off")))
-query("jn7_pivot", "SELECT system, " + ", ".join(f"max(coef) FILTER (d = 'dep{k}') AS dep{k}" for k in range(3)) + " FROM {models} GROUP BY system")(
-    lambda v: v.models.groupBy("system").pivot("d", ["dep0", "dep1", "dep2"]).agg(F.max("coef")))
+_KINDS = ("PROMO", "ECONOMY", "STANDARD", "LARGE")
+_FIRST = "(SELECT system, i, arg_min(coef, formula * 1000000 + coef) AS coef FROM {models} GROUP BY system, i)"
+query("jn7_pivot", "SELECT a.system, " + ", ".join(f"t{k}.coef AS c{k}" for k in range(4)) + " FROM (SELECT DISTINCT system FROM {models}) a " + " ".join(f"{'LEFT ' if k == 3 else ''}JOIN {_FIRST} t{k} ON t{k}.system = a.system AND t{k}.i = '{n}'" for k, n in enumerate(_KINDS)))(
+    lambda v: J.pivoted(v.models.withColumn("at", C("formula") * 1000000 + C("coef")), "system", "i", "coef", "at", _KINDS).select("system", *[C(n).alias(f"c{k}") for k, n in enumerate(_KINDS)]))
 query("jn8_left_totals", "SELECT f.file, count(*) AS functions, CAST(coalesce(sum(m.loac), 0) AS BIGINT) AS loac FROM {functions} f LEFT JOIN {metrics} m ON f.signature = m.signature AND f.file = m.file GROUP BY f.file")(
     lambda v: v.functions.join(v.metrics.select(*KEY, "loac"), KEY, "left").groupBy("file").agg(F.count(F.lit(1)).alias("functions"), F.coalesce(F.sum("loac"), F.lit(0)).cast("long").alias("loac")))
 query("jn9_edit_spans", """SELECT e.commit_id, e.file, begin_a, end_a, signature, CAST(CASE WHEN begin_a <= start1 - 1 AND end_a > end1 - 1 THEN end1 - start1 + 1 WHEN begin_a >= start1 - 1 AND end_a <= end1 - 1 THEN end_a - begin_a
   WHEN begin_a > start1 - 1 THEN end1 - 1 - begin_a ELSE end_a - (start1 - 1) END AS BIGINT) AS lines, begin_a <= start1 - 1 AND end_a > end1 - 1 AS covers, begin_a < start1 - 1 + sig_loc AND end_a > start1 - 1 AS touches_signature
   FROM {edits} e JOIN {spans} s ON e.file = s.file AND begin_a < end1 AND end_a > start1 - 1""")(lambda v: J.overlaps(v.edits, v.spans))
-query("jn11_similar_moves", """WITH d AS (SELECT p_partkey % 10 AS commit_id, p_partkey AS id, p_name AS a FROM {part} WHERE p_partkey < 400 AND p_partkey % 20 < 10), x AS (SELECT p_partkey % 10 AS commit_id, p_partkey AS id, p_name AS b FROM {part} WHERE p_partkey < 400 AND p_partkey % 20 >= 10)
+query("jn11_similar_moves", """WITH d AS (SELECT p_partkey - p_partkey % 20 AS commit_id, p_partkey AS id, p_name AS a FROM {part} WHERE p_partkey % 20 < 10), x AS (SELECT p_partkey - p_partkey % 20 AS commit_id, p_partkey AS id, p_name AS b FROM {part} WHERE p_partkey % 20 >= 10)
   SELECT d.commit_id, d.id AS deleted, x.id AS added, (greatest(length(a), length(b), 1) - levenshtein(a, b)) / greatest(length(a), length(b), 1)::DOUBLE AS similarity FROM d JOIN x USING (commit_id)
   WHERE (greatest(length(a), length(b), 1) - levenshtein(a, b)) / greatest(length(a), length(b), 1)::DOUBLE >= 0.6""")(
-    lambda v: J.similar_moves(*[v.part.filter("p_partkey < 400").filter(h).select((C("p_partkey") % 10).alias("commit_id"), C("p_partkey").alias("id"), "p_name") for h in ("p_partkey % 20 < 10", "p_partkey % 20 >= 10")], ["commit_id"], "p_name"))
-query("jn12_same_name_moves", "SELECT a.commit_id, a.file AS name, a.uid AS deleted, b.uid AS added FROM {hunks} a JOIN {hunks} b ON a.commit_id = b.commit_id AND a.file = b.file WHERE a.mod_type = 'DEL' AND b.mod_type = 'ADD'")(
-    lambda v: J.same_name_moves(*[v.hunks.filter(C("mod_type") == m).select("commit_id", C("file").alias("name"), C("uid").alias("id")) for m in ("DEL", "ADD")], ["commit_id"], "name"))
+    lambda v: J.similar_moves(*[v.part.filter(h).select((C("p_partkey") - C("p_partkey") % 20).alias("commit_id"), C("p_partkey").alias("id"), "p_name") for h in ("p_partkey % 20 < 10", "p_partkey % 20 >= 10")], ["commit_id"], "p_name"))
+query("jn12_same_name_moves", "SELECT a.commit_id, a.name, a.id AS deleted, b.id AS added FROM {sides} a JOIN {sides} b ON a.commit_id = b.commit_id AND a.parent = b.parent AND a.name = b.name WHERE a.side = 'A' AND b.side = 'B'")(
+    lambda v: J.same_name_moves(*[v.sides.filter(C("side") == m).select("commit_id", "parent", "name", "id") for m in "AB"], ["commit_id", "parent"], "name").drop("parent"))
 query("jn13_by_basename", """WITH n AS (SELECT (doc_id % 50) || '.c' AS name, count(*) AS fixes FROM {documents} GROUP BY 1) SELECT file, split_part(file, '/', -1) AS name, coalesce(n.fixes, 0) AS fixes FROM {smells} s LEFT JOIN n ON split_part(s.file, '/', -1) = n.name""")(
     lambda v: J.by_basename(v.smells.select("file"), v.documents.groupBy(F.concat((C("doc_id") % 50).cast("string"), F.lit(".c")).alias("name")).agg(F.count(F.lit(1)).alias("fixes")), "fixes"))
 query("jn14_scores_per_smell", "SELECT file, max(score) FILTER (ab > 0) AS ab, max(score) FILTER (af > 0) AS af, max(score) FILTER (lf > 0) AS lf FROM {smells} GROUP BY file")(
@@ -153,8 +157,9 @@ query("set5_union", "SELECT 'functions' AS dataset, signature, loc FROM {functio
     lambda v: v.functions.select(F.lit("functions").alias("dataset"), "signature", "loc").unionByName(v.metrics.select(F.lit("metrics").alias("dataset"), "signature", "loc")))
 query("set6_distinct", "SELECT DISTINCT i, d FROM {models}")(lambda v: v.models.select("i", "d").distinct())
 query("smp1_sample", "SELECT uid, loc FROM {functions} ORDER BY uid * 7919 % 10007, uid LIMIT 100")(lambda v: v.functions.select("uid", "loc").orderBy(C("uid") * 7919 % 10007, "uid").limit(100))
-query("smp2_resize", "SELECT uid % 3 AS grp, uid FROM (SELECT uid, row_number() OVER (PARTITION BY uid % 3 ORDER BY uid * 7919 % 10007, uid) AS r FROM {functions}) WHERE r <= 50")(
-    lambda v: _ranked(v.functions.select((C("uid") % 3).alias("grp"), "uid"), ["grp"], [C("uid") * 7919 % 10007, C("uid")]).filter("r <= 50").drop("r"))
+query("smp2_resize", """WITH f AS (SELECT uid, CASE WHEN uid % 50 = 0 THEN 1 ELSE 0 END AS grp FROM {functions}), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY uid * 7919 % 10007, uid) - 1 AS r, count(*) OVER (PARTITION BY grp) AS n FROM f)
+  SELECT grp, uid, i AS copy FROM (SELECT *, unnest(range(CASE WHEN r < 100 THEN (99 - r) // n + 1 ELSE 0 END)) AS i FROM r)""")(
+    lambda v: R.resized(v.functions.select(F.when(C("uid") % 50 == 0, 1).otherwise(0).alias("grp"), "uid"), ["grp"], 100, [C("uid") * 7919 % 10007, C("uid")]))
 query("smp3_balanced", """WITH r AS (SELECT uid, snapshot_index, fl > 0 AS a, row_number() OVER (PARTITION BY fl > 0 ORDER BY uid * 7919 % 10007, uid, snapshot_index) AS r FROM {joint}), n AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM r GROUP BY a))
   SELECT uid, snapshot_index, a FROM r, n WHERE r <= c""")(lambda v: R.balanced(v.joint.select("uid", "snapshot_index", (C("fl") > 0).alias("a")), C("a"), [C("uid") * 7919 % 10007, C("uid"), C("snapshot_index")]))
 query("smp4_stratified", """SELECT file, a, uid FROM (SELECT file, loc % 4 > 0 AS a, uid, row_number() OVER (PARTITION BY file, loc % 4 > 0 ORDER BY uid) AS r FROM {functions}) WHERE r <= 2""")(
@@ -166,13 +171,16 @@ query("top1_top_features", """WITH f AS (SELECT p_name || p_partkey AS name, p_s
   SELECT name FROM r WHERE a >= floor(n - n * 5.0 / 100 + 0.5) OR b >= floor(n - n * 3.0 / 100 + 0.5) OR c >= n""")(
     lambda v: R.top_features(v.part.select(F.concat("p_name", C("p_partkey").cast("string")).alias("name"), C("p_size").alias("loc"), (C("p_partkey") % 37).alias("occ"), (C("p_partkey") % 11).alias("cu")), {"loc": 5.0, "occ": 3.0, "cu": 0.0}))
 query("top2_newest_snapshot", "SELECT snapshot_index, snapshot_date FROM {snapshots} ORDER BY snapshot_date DESC LIMIT 1")(lambda v: v.snapshots.orderBy(C("snapshot_date").desc()).limit(1))
-query("top3_longest_project", "SELECT project, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM {commits} WHERE project = (SELECT project FROM {commits} ORDER BY ord DESC, project LIMIT 1) GROUP BY project")(
-    lambda v: v.commits.groupBy("project").agg(F.max("ord").alias("n"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day")).orderBy(C("n").desc(), "project").limit(1).drop("n"))
+_BRANCHES = "(SELECT project, commit_id % 3 AS lane, ts, row_number() OVER (PARTITION BY project, commit_id % 3 ORDER BY ord) AS place FROM {commits} WHERE is_c)"
+query("top3_longest_branch", f"""SELECT project, lane, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, max(place) AS commits FROM {_BRANCHES} b
+  WHERE (project, lane) = (SELECT (project, lane) FROM {_BRANCHES} ORDER BY place DESC, project, lane LIMIT 1) GROUP BY project, lane""")(
+    lambda v: W.branch_positions(v.commits.withColumn("lane", C("commit_id") % 3), "lane", "ord").groupBy("project", "lane")
+    .agg(F.max("branch_position").alias("commits"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day")).orderBy(C("commits").desc(), "project", "lane").limit(1))
 query("top4_skip_relevant", "SELECT project, ord FROM (SELECT project, ord, is_c, sum(CAST(is_c AS INT)) OVER (PARTITION BY project ORDER BY ord) AS n FROM {commits}) WHERE is_c AND n = 20")(
     lambda v: _running(v.commits).filter("is_c AND n = 20").select("project", "ord"))
-query("top5_best_partner", """WITH d AS (SELECT p_partkey % 10 AS c, p_partkey AS id, p_name AS a FROM {part} WHERE p_partkey < 400 AND p_partkey % 20 < 10), x AS (SELECT p_partkey % 10 AS c, p_partkey AS id, p_name AS b FROM {part} WHERE p_partkey < 400 AND p_partkey % 20 >= 10)
+query("top5_best_partner", """WITH d AS (SELECT p_partkey - p_partkey % 20 AS c, p_partkey AS id, p_name AS a FROM {part} WHERE p_partkey % 20 < 10), x AS (SELECT p_partkey - p_partkey % 20 AS c, p_partkey AS id, p_name AS b FROM {part} WHERE p_partkey % 20 >= 10)
   SELECT deleted, added FROM (SELECT d.id AS deleted, x.id AS added, row_number() OVER (PARTITION BY d.id ORDER BY (greatest(length(a), length(b), 1) - levenshtein(a, b)) / greatest(length(a), length(b), 1)::DOUBLE DESC, x.id) AS r FROM d JOIN x USING (c)) WHERE r = 1""")(
-    lambda v: J.similar_moves(*[v.part.filter("p_partkey < 400").filter(h).select((C("p_partkey") % 10).alias("c"), C("p_partkey").alias("id"), "p_name") for h in ("p_partkey % 20 < 10", "p_partkey % 20 >= 10")], ["c"], "p_name", 0.0)
+    lambda v: J.similar_moves(*[v.part.filter(h).select((C("p_partkey") - C("p_partkey") % 20).alias("c"), C("p_partkey").alias("id"), "p_name") for h in ("p_partkey % 20 < 10", "p_partkey % 20 >= 10")], ["c"], "p_name", 0.0)
     .groupBy("deleted").agg(F.max_by("added", F.struct("similarity", -C("added"))).alias("added")))
 
 

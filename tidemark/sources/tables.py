@@ -85,6 +85,12 @@ def feature_files(spark: SparkSession, path: str, row_tag: str = "feature") -> D
     return raw.select(F.col("_name").alias("feature"), F.explode("file").alias("file")).distinct()
 
 
+def parsed_features(rows: DataFrame, xml: str) -> DataFrame:
+    """SRC11 on documents in a column: (feature, file)."""
+    parsed = rows.select(F.from_xml(xml, _feature_schema()).alias("f"))
+    return parsed.select(F.col("f._name").alias("feature"), F.explode("f.file").alias("file")).distinct()
+
+
 def _feature_schema() -> T.StructType:
     return T.StructType.fromDDL("_name string, file array<string>")
 
@@ -97,4 +103,9 @@ def c_files(spark: SparkSession, root: str, pattern: str = r"\.[cC]$") -> DataFr
 
 def commit_ids(spark: SparkSession, path: str) -> DataFrame:
     """SRC18: whitespace-separated commit ids of a text file."""
-    return spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("commit_id")).filter("commit_id <> ''")
+    return split_ids(spark.read.text(path), "value").select("commit_id")
+
+
+def split_ids(rows: DataFrame, text: str) -> DataFrame:
+    """SRC18 on texts in a column: a row for each id."""
+    return rows.withColumn("commit_id", F.explode(F.split(text, r"\s+"))).filter("commit_id <> ''")
