@@ -6,10 +6,11 @@ of documents; the last one returns the windows' pieces.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import curriculum, exact_dedup, fertility, jaccard, packing
-from tidemark.llm.kit import durable
+from tidemark.llm.kit import discard, durable, tracked
 
 WINDOW_TOKENS = 32_768
 #: The sources' weights over training: source mixing places documents by them, packing fills each window by them.
@@ -39,9 +40,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows filled by deficit round-robin over the sources, each at the schedule's shares over its own tokens.
 
-    A source's queue is in order of doc_id, which is that of its documents' training positions.
+    A source's queue is in the order that source mixing stored its documents in. Documents that aren't read from files, which
+    have no stored order, queue by doc_id.
     """
-    return packing.pack(docs, WINDOW_TOKENS, weights={**SCHEDULE["weights"], None: SCHEDULE["default"]}, knots=SCHEDULE["knots"])
+    try:
+        docs.select("_metadata.row_index")
+        stored = True
+    except AnalysisException:
+        stored = False
+    return packing.pack(docs, WINDOW_TOKENS, weights={**SCHEDULE["weights"], None: SCHEDULE["default"]}, knots=SCHEDULE["knots"], stored=stored)
 
 
 STAGES = [
@@ -57,10 +64,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; each stage's result is written to the shared folder.
+
+    What a stage and the one before it wrote there for themselves is deleted once the stage's own result is.
+    """
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with tracked() as held:
+            docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = durable(docs)
+            fresh: list[str] = []
+            docs = durable(docs, fresh)
+            discard(spark, held + spent)
+            spent = fresh
     return docs
