@@ -2,9 +2,9 @@
 
 The distinct digests of the historical documents are split into shards; each shard's digests get a
 minimal perfect hash (levels of collision-free bits, the slot is the rank of the key's bit) whose slots
-hold the full SHA-256 digest and the doc_id of the winner. Digests of the other documents are looked up
-in their shard and compared byte by byte with what the slot holds; those that aren't members are
-grouped among themselves. Only digests and ids are shuffled, never texts.
+hold the full SHA-256 digest and the doc_id of the winner. The distinct digests of all documents are looked up
+in their shard and compared byte by byte with what the slot holds; a member's winner is read from its slot, those that
+aren't members are grouped among themselves. Only digests and ids are shuffled, and texts that may have repeats where they are to be dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import U64, mix
+from tidemark.llm.kit import U64, maybe_in, mix
 
 #: Digests of one shard, about: what a worker holds at a time.
 SHARD_KEYS = 200_000
@@ -105,30 +105,32 @@ def _probe(fresh: pa.Table, index: pa.Table) -> pa.Table:
     held = np.frombuffer(row["held"], U64).reshape(-1, 4)
     member = slots >= 0
     member[member] = (held[slots[member]] == keys[member]).all(axis=1)  # the bytes decide
-    return fresh.select(["digest", "winner"]).filter(pa.array(~member))
+    at = slots[member]
+    own = fresh["winner"].combine_chunks()
+    winner, void = own.fill_null(0).to_numpy().copy(), own.is_null().to_numpy(zero_copy_only=False).copy()
+    winner[member] = np.frombuffer(row["locators"], np.int64)[at]
+    void[member] = np.unpackbits(np.frombuffer(row["missing"], np.uint8), count=len(held)).astype(bool)[at]
+    return pa.table({"digest": fresh["digest"], "winner": pa.array(winner, pa.int64(), mask=void)})
 
 
-def nonmembers(fresh: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """The (digest, winner) rows of `fresh` whose digest the index doesn't hold."""
+def looked_up(fresh: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """The distinct (digest, winner) rows of `fresh`, with the winner that the index holds for a member."""
     keyed = fresh.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
-    return (
-        keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "digest binary, winner long")
-    )
+    return keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "digest binary, winner long")
 
 
 def _winners(rows: DataFrame, total: int) -> DataFrame:
     """(digest, winner) of all texts, from rows of (doc_id, digest, old): the history's winners, and those of its nonmembers."""
     shards = max(1, -(-total // SHARD_KEYS))
     real = rows.filter(F.col("digest").isNotNull())
-    winner = F.min("doc_id").alias("winner")
-    old = real.filter("old").groupBy("digest").agg(winner)
-    new = real.filter("NOT old").groupBy("digest").agg(winner)
-    return old.unionByName(nonmembers(new, build_index(old, shards), shards))
+    old = real.filter("old").groupBy("digest").agg(F.min("doc_id").alias("winner"))
+    every = real.groupBy("digest").agg(F.min(F.when(~F.col("old"), F.col("doc_id"))).alias("winner"))
+    return looked_up(every, build_index(old, shards), shards)
 
 
 def _middle(docs: DataFrame, doc_id: str) -> Column:
-    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    return F.col(doc_id) <= F.lit(((low or 0) + (high or 0)) // 2)
+    low, high = docs.agg(F.min(F.col(doc_id).cast("long")), F.max(F.col(doc_id).cast("long"))).first()
+    return F.col(doc_id).cast("long") <= F.lit(((low or 0) + (high or 0)) // 2)
 
 
 def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,20 +165,22 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "d
     )
 
 
-def _row_key(doc_id: Column, digest: Column) -> Column:
-    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("~")), F.coalesce(F.hex(digest), F.lit("~")))
-
-
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without exact repeats, all columns kept; of rows with one doc_id and text one stays.
 
-    Winners are those of exact_dedup. Documents without a text all stay.
+    Winners are those of exact_dedup. Of rows that agree in doc_id and text but not in other columns the one stays whose columns hash
+    lowest. Documents without a text all stay. Only texts that occur more than once (and few others, by chance) are shuffled.
     """
     digest = F.unhex(F.sha2(F.col(text), 256))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(F.col(doc_id), digest).alias("key"), digest.alias("digest"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), digest.alias("digest"),
+        F.when(F.col(text).isNotNull(), F.xxhash64(digest)).alias("short"),
+    )
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(_middle(docs, doc_id), F.lit(False)).alias("old"))
-    kept = _winners(narrow, docs.count()).select(_row_key(F.col("winner"), F.col("digest")).alias("key"))
-    first = keyed.filter(F.col("digest").isNotNull()).join(kept, "key", "left_semi")
-    one = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    found = first.withColumn("n", one).filter("n = 1").select("row")
-    return found.unionByName(keyed.filter(F.col("digest").isNull()).select("row")).select("row.*")
+    often = narrow.filter("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    suspect = maybe_in(often.select(F.xxhash64("digest").alias("short")), "short")("short")
+    kept = _winners(narrow, docs.count()).withColumnRenamed("digest", "key")
+    found = keyed.filter(suspect).join(kept, (F.col("digest") == F.col("key")) & F.col("id").eqNullSafe(F.col("winner")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64("row")))
+    first = found.withColumn("n", one).filter("n = 1").select("row")
+    return keyed.filter(~F.coalesce(suspect, F.lit(False))).select("row.*").unionAll(first.select("row.*"))
