@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import word_count
+from tidemark.llm.kit import durable, word_count
 from tidemark.llm.packing import buckets, source_key, with_prefix
 
 #: Knots as parts of the horizon, and integer weights there; sources that aren't named take the default's.
@@ -71,7 +71,7 @@ def mix_sources(
 
     NULL, empty and blank texts hold no tokens and share the position of the next document of their source. NULL
     source: a source of its own, with the weights of None or the default's. NULL doc_id: first in its source.
-    Repeated rows and ties: each row is placed, ties in order of token count. Empty tables: no rows. Columns
+    Repeated rows and ties: each row is placed, ties in order of token count. doc_ids may lie anywhere in 64 bits. Empty tables: no rows. Columns
     of docs named n_tokens or position give way to the added ones; others are kept, whatever their names.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "position")]
@@ -80,14 +80,16 @@ def mix_sources(
         F.col(doc_id).cast("long").alias("doc_id"),
         source_key(F.col(source).cast("string")).alias("skey"),
         word_count(F.col(text)).alias("n_tokens"),
-        buckets(docs, doc_id).alias("bucket"),
     )
-    totals = {r["skey"]: r["n"] for r in rows.groupBy("skey").agg(F.sum("n_tokens").alias("n")).collect()}
+    # Words are counted once for the sums, which come from a narrow table, and once where the texts are sent off.
+    narrow = durable(rows.select("doc_id", "skey", "n_tokens"))
+    bucket = buckets(narrow, "doc_id")
+    totals = {r["skey"]: r["n"] for r in narrow.groupBy("skey").agg(F.sum("n_tokens").alias("n")).collect()}
     horizon = max(1, sum(totals.values()))
     table = docs.sparkSession.createDataFrame(
         demand_table(list(totals), horizon, weights, default, knots), "skey string, shares array<double>, demand array<double>"
     )
-    placed = with_prefix(rows, ["doc_id", "n_tokens"]).join(table, "skey")
+    placed = with_prefix(rows.withColumn("bucket", bucket), ["doc_id", "n_tokens"], narrow.withColumn("bucket", bucket)).join(table, "skey")
     return (
         placed.select("row", "n_tokens", F.expr(f"CAST(floor({_position(horizon, knots)}) AS BIGINT)").alias("position"), "skey", "before")
         .repartitionByRange("position", "skey", "before")

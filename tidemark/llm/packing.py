@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +22,36 @@ from tidemark.llm.kit import durable, word_count
 
 #: Documents of one bucket of ids, about: rows that one task's prefix sum runs over.
 BUCKET_DOCS = 10_000
+#: Quantiles of the ids that come to the driver, at most; between two of them buckets are of equal width.
+QUANTILES = 2_000
 #: Shares are integers in parts of this.
-_PARTS = 100_000
+_PARTS = 1_000_000_000
+#: A source with a smaller share than one in so many shares a queue with the other small ones.
+POOL = 256
 
 
 def buckets(docs: DataFrame, doc_id: str) -> Column:
-    """Bucket number by range of doc_id, -1 for NULL ids; ranges hold BUCKET_DOCS rows if ids are spread evenly."""
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min(doc_id), F.max(doc_id)).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, -(-n // BUCKET_DOCS))))
-    return F.coalesce(F.floor((F.col(doc_id).cast("long") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
+    """Bucket number by range of doc_id, -1 for NULL ids; about BUCKET_DOCS rows each, wherever the ids lie."""
+    place = F.col(doc_id).cast("long")
+    n = docs.count()
+    coarse = min(QUANTILES, max(1, -(-n // BUCKET_DOCS)))
+    fine = max(1, -(-n // (BUCKET_DOCS * coarse)))
+    low, high, cuts = docs.agg(F.min(place), F.max(place), F.percentile_approx(place, [i / coarse for i in range(1, coarse)] or [0.5], 10 * coarse + 100)).first()
+    if n == 0 or low is None or coarse == 1:
+        return F.when(place.isNull(), F.lit(-1)).otherwise(0).cast("long")
+    edges = sorted({low, *cuts})
+    widths = np.array([(b - a) // fine + 1 for a, b in zip(edges, [*edges[1:], high + 1])], np.uint64)
+    starts = np.array(edges, np.int64)
+
+    @F.arrow_udf("long")
+    def number(ids: pa.Array) -> pa.Array:
+        x = pc.fill_null(ids, low).to_numpy(zero_copy_only=False)
+        at = np.maximum(np.searchsorted(starts, x, side="right") - 1, 0)
+        within = (x.view(np.uint64) - starts[at].view(np.uint64)) // widths[at]  # differences of longs, without overflow
+        out = at * (fine + 1) + within.astype(np.int64)
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, out))
+
+    return number(place)
 
 
 def source_key(source: Column) -> Column:
@@ -36,12 +59,12 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def with_prefix(rows: DataFrame, order: list[str]) -> DataFrame:
+def with_prefix(rows: DataFrame, order: list[str], narrow: DataFrame | None = None) -> DataFrame:
     """Adds `before`, the tokens of a source's earlier documents, to rows of (skey, bucket, n_tokens, ...).
 
-    Two levels: sums of (source, bucket) are added up first, then each bucket's rows on top of its offset.
+    Two levels: sums of (source, bucket) are added up first (from narrow, if given), then each bucket's rows on top of its offset.
     """
-    sums = rows.groupBy("skey", "bucket").agg(F.sum("n_tokens").alias("sum"))
+    sums = (rows if narrow is None else narrow).groupBy("skey", "bucket").agg(F.sum("n_tokens").alias("sum"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("skey", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("skey", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -53,12 +76,28 @@ def with_prefix(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def integer_shares(weights: dict[str, float], window: int) -> dict[str, int]:
-    """Shares in parts of about _PARTS; every source gets at least one token in a window."""
-    if 2 * len(weights) > window:
-        raise ValueError("a window must hold at least two tokens for each source")
+    """Shares in parts of about _PARTS; every source gets at least a token in a window, for which pooled sees that the weights suffice."""
     total = sum(weights.values())
-    least = -(-2 * _PARTS // window)
-    return {k: max(least, round(_PARTS * w / total)) for k, w in weights.items()}
+    least = min(_PARTS, -(-2 * _PARTS // window))
+    return {k: max(least, round(_PARTS * w / total) if total else 1) for k, w in weights.items()}
+
+
+def pooled(targets: dict[str, tuple], window: int) -> dict[str, float]:
+    """The sources that share a queue, with their mean shares: those of less than one part in POOL or four tokens of a window.
+
+    If these together have less than that, the next larger ones join them.
+    """
+    sums = [sum(w[i] for w in targets.values()) or 1.0 for i in range(len(next(iter(targets.values()))))] if targets else []
+    shares = {k: [w / s for w, s in zip(ws, sums)] for k, ws in targets.items()}
+    limit = max(1.0 / POOL, 4.0 / window)
+    out: dict[str, float] = {}
+    most = 0.0
+    for k in sorted(shares, key=lambda k: (max(shares[k]), k)):
+        if max(shares[k]) >= limit and not 0 < most < limit:
+            break
+        out[k] = max(sum(shares[k]) / len(sums), 1e-12)
+        most = max(sum(shares[x][i] for x in out) for i in range(len(sums))) or 1e-12
+    return out if len(out) > 1 else {}
 
 
 def _given(j: int, window: int, low: int, high: int, parts: int) -> int:
@@ -133,7 +172,7 @@ class Curve:
     """The schedule of some sources: shares at the knots, linear between them, and the edges of their parts side by side."""
 
     def __init__(self, weights: dict[str, tuple], knots: tuple, horizon: int, window: int):
-        least = 2.0 / window  # every source gets a token or more in a window
+        least = min(1.0, 2.0 / window)  # every source gets a token or more in a window
         shares = []
         for i in range(len(knots)):
             total = sum(w[i] for w in weights.values())
@@ -173,8 +212,6 @@ def curved_schedule(totals: dict[str, int], weights: dict[str, tuple], knots: tu
     schedule is that of the sources left. A run ends there and at knots; within it the tokens below each edge
     of a source in j windows are floor(base + j * (rise + bend * j)).
     """
-    if 2 * len(weights) > window:
-        raise ValueError("a window must hold at least two tokens for each source")
     left, done, first, out = dict(totals), dict.fromkeys(totals, 0), 0, []
     horizon = sum(totals.values())
     active = sorted(k for k, n in left.items() if n > 0)
@@ -237,6 +274,7 @@ def pack(
     source: str = "source",
     n_tokens: Column | None = None,
     knots: tuple | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Pieces of documents in training windows: (window_id, offset, doc_id, source, start_token, n_tokens).
 
@@ -244,27 +282,53 @@ def pack(
     within one token of its target. weights: target share of each source; a source that isn't named, or NULL,
     has the share under None, or the least one named. Without weights a source's target is its token total to the power of
     temperature. knots: parts of the horizon (all tokens) at which weights, then a tuple for each source, hold; between them
-    shares are linear, and a window's are their integral over its tokens. A source's queue is in order of doc_id. n_tokens: tokens of a document, whitespace-delimited
+    shares are linear, and a window's are their integral over its tokens (at least two tokens a source). A source's queue is in order of
+    doc_id, or with stored (docs must be a scan of files) in the order of the rows in the files. n_tokens: tokens of a document, whitespace-delimited
     words by default. Only totals by source come to the driver.
 
+    Any number of sources: those with less than one part in POOL, or four tokens of a window, share one queue with the sum of their
+    shares, in which documents are in order of their source's earlier tokens over its share, so that each gets its share over
+    several windows, to within a document.
+
     NULL, empty and blank texts hold no tokens and give no piece. NULL source: a source of its own. NULL
     doc_id: first in its queue. Repeated rows and ties: each row is packed, ties in order of token count; rows
-    that tie in both are alike. A very long text spans as many windows as it needs. Empty tables: no rows.
+    that tie in both are alike. doc_ids may lie anywhere in 64 bits. A very long text spans as many windows as it needs. Empty tables: no rows.
     Other columns are ignored, whatever their names.
     """
     # Counting words is most of the work: it is done once, the ids and counts are kept in the shared folder.
+    file = F.col("_metadata.file_name") if stored else F.lit(None).cast("string")
     counted = durable(docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         source_key(F.col(source).cast("string")).alias("skey"),
         F.coalesce(n_tokens if n_tokens is not None else word_count(F.col(text)), F.lit(0)).cast("long").alias("n_tokens"),
-        buckets(docs, doc_id).alias("bucket"),
+        file.alias("file"),
+        (F.col("_metadata.row_index") if stored else F.col(doc_id).cast("long")).alias("place"),
     ).filter("n_tokens > 0"))
+    written = F.coalesce(F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long"), F.lit(-1))
+    counted = counted.withColumn("bucket", written if stored else buckets(counted, "place"))
+    order = ["file", "place", "n_tokens"]
     totals = {r["skey"]: r["n"] for r in counted.groupBy("skey").agg(F.sum("n_tokens").alias("n")).collect()}
     if weights is None:
         targets = {k: n**temperature for k, n in totals.items()}
     else:
         targets = {k: weights.get(k[1:] if k != "n" else None, weights.get(None, min(weights.values()))) for k in totals}
+    small = pooled(targets if knots else {k: (w,) for k, w in targets.items()}, window_tokens)
+    if small:
+        queue = docs.sparkSession.createDataFrame(list(small.items()), "skey string, share double")
+        own = with_prefix(counted.join(queue, "skey", "left_semi"), order).join(queue, "skey")
+        timed = durable(own.select("doc_id", "source", "n_tokens", "file", "place", (F.col("before") / F.col("share")).alias("time"), F.col("skey").alias("own")))
+        rows, end = timed.agg(F.count(F.lit(1)), F.max("time")).first()
+        bucket = F.floor(F.col("time") / F.lit(max(end or 0.0, 1.0)) * F.lit(-(-rows // BUCKET_DOCS)))
+        pool = with_prefix(timed.withColumns({"skey": F.lit("p"), "bucket": bucket.cast("long")}), ["time", "own", *order])
+        rest = with_prefix(counted.join(queue, "skey", "left_anti"), order)
+        kept = ["skey", "doc_id", "source", "n_tokens", "before"]
+        placed = rest.select(*kept).unionByName(pool.select(*kept))
+        totals["p"] = sum(totals.pop(k) for k in small)
+        gone = [targets.pop(k) for k in small]
+        targets["p"] = tuple(map(sum, zip(*gone))) if knots else sum(gone)
+    else:
+        placed = with_prefix(counted, order)
     if not totals:
         runs_ = []
     elif knots:
@@ -285,7 +349,7 @@ def pack(
     def given(j: str) -> str:
         return f"({cumulative(j, 'high')} - ({cumulative(j, 'low')}))"
 
-    placed = with_prefix(counted, ["doc_id", "n_tokens"]).withColumn("after", F.expr("before + n_tokens"))
+    placed = placed.withColumn("after", F.expr("before + n_tokens"))
     taken = F.expr(f"CASE WHEN fixed >= 0 THEN fixed ELSE {given('windows')} END")
     hit = (
         placed.join(runs, "skey")
