@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.kit import chunked, owners, word_codes, words
 
 TOKENIZERS = "/opt/tokenizers"
-#: Least and most characters per piece token, least and most per byte-level token, most byte-fallback share, least entropy in
-#: bits. Languages that aren't listed take the band of their script. They hold for texts of LEAST_TOKENS and more:
-#: a shorter text says too little about its kind, and is rejected only if it holds no token.
+#: Least and most characters per piece token, least and most per byte-level token, most byte-fallback share, and the least entropy as a
+#: part of what the number of tokens allows. Upper bounds leave room for plain prose, of which the vocabularies hold whole words; the
+#: lower ones for prose of rare words. Languages that aren't listed take the band of their script.
 BANDS = {
-    "en": (1.80, 2.60, 2.07, 2.60, 0.05, 4.9),
-    "de": (1.80, 2.55, 1.84, 2.32, 0.05, 4.9),
-    "fr": (1.62, 2.40, 1.70, 2.20, 0.05, 4.9),
-    "es": (1.60, 2.30, 1.58, 2.15, 0.05, 4.9),
+    "en": (1.90, 6.5, 2.07, 6.5, 0.05, 0.8),
+    "de": (1.90, 6.5, 1.84, 6.5, 0.05, 0.8),
+    "fr": (1.75, 6.5, 1.68, 6.5, 0.05, 0.8),
+    "es": (1.70, 6.5, 1.60, 6.5, 0.05, 0.8),
 }
-SCRIPT_BANDS = {"latin": (1.4, 6.0, 1.3, 6.5, 0.1, 4.0), "other": (0.2, 6.0, 0.2, 6.5, 1.0, 3.0)}
-LEAST_TOKENS = 60
+SCRIPT_BANDS = {"latin": (1.4, 7.0, 1.3, 7.0, 0.1, 0.7), "other": (0.2, 7.0, 0.2, 7.0, 1.0, 0.5)}
+#: Bits from which on a text's entropy isn't asked to grow with its tokens.
+MOST_BITS = 7.5
 #: Words whose tokens a worker remembers at most; then it starts anew. Bounds its memory only.
 _REMEMBERED = 1_000_000
 
@@ -127,17 +128,23 @@ def _latin(texts: pa.Array) -> np.ndarray:
 
 
 def verdicts(bands: list[str], found: dict[str, np.ndarray], table: dict[str, tuple]) -> list[str | None]:
-    """The first rule that each text breaks, None for a text that stays."""
+    """The first rule that each text breaks, None for a text that stays.
+
+    The fewer tokens n a text has, the wider its bands: by 2 / sqrt(n) of each bound, and entropy is held against log2(n), up to MOST_BITS.
+    """
     low, high, least, most, share, entropy = (np.array([table[b][i] for b in bands], float) for i in range(6))
-    long = found["n_tokens"] >= LEAST_TOKENS
+    n = np.maximum(found["n_tokens"], 1).astype(float)
+    slack = 2 / np.sqrt(n)
+    room = np.maximum(0.0, 1 - slack)
+    told = entropy * np.minimum(np.log2(n), MOST_BITS) * np.maximum(0.0, 1 - slack / 4)
     rules = [
         ("empty", found["n_tokens"] == 0),
-        ("few characters per piece token", long & (found["chars_per_token"] < low)),
-        ("many characters per piece token", long & (found["chars_per_token"] > high)),
-        ("few characters per byte-level token", long & (found["byte_chars_per_token"] < least)),
-        ("many characters per byte-level token", long & (found["byte_chars_per_token"] > most)),
-        ("byte fallback", long & (found["byte_share"] > share)),
-        ("low token entropy", long & (found["entropy"] < entropy)),
+        ("few characters per piece token", found["chars_per_token"] < low * room),
+        ("many characters per piece token", found["chars_per_token"] > high * (1 + slack)),
+        ("few characters per byte-level token", found["byte_chars_per_token"] < least * room),
+        ("many characters per byte-level token", found["byte_chars_per_token"] > most * (1 + slack)),
+        ("byte fallback", found["byte_share"] > share + slack),
+        ("low token entropy", found["entropy"] < told - 1e-9),
     ]
     out = np.full(len(bands), None, object)
     for name, broken in reversed(rules):
@@ -176,7 +183,7 @@ def fertility(docs: DataFrame, tokenizers: str = TOKENIZERS, bands: dict[str, tu
     same on every machine. bands: by language; scripts: for other languages and NULL, by whether most characters take
     at most two bytes.
 
-    NULL, empty and blank texts: no tokens, rejected as "empty". NULL doc_id: measured like any other. Repeated
+    Short texts are judged too, by wider bands (see verdicts). NULL, empty and blank texts: no tokens, rejected as "empty". NULL doc_id: measured like any other. Repeated
     rows: one result row each. Very long texts are measured whole. Empty tables: no rows. Other columns
     are ignored, whatever their names.
     """
