@@ -2,9 +2,9 @@
 
 Every token is predicted from the two tokens before it and the two behind it, never from itself: their embeddings
 (one table for each place) add up to a hidden layer, which predicts the token's class and then the token
-within its class. Tokens are words hashed into a fixed vocabulary, so that the network's size doesn't depend on the
-corpus. Training runs over all documents: in each round every partition makes stochastic gradient steps of
-its own from the common weights (numpy), and the results are averaged, weighted by targets. A document's score
+within its class. The vocabulary comes from the words' counts over the whole corpus and grows with it: frequent words have codes of
+their own, in order of frequency, rare ones share the last codes. Training runs over all tokens of all documents: in each round every partition makes
+stochastic gradient steps of its own from the common weights (numpy), and the results are averaged, weighted by targets. A document's score
 is the sum of its tokens' conditional log-probabilities.
 """
 
@@ -17,56 +17,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import U64, chunked, word_hashes
+from tidemark.llm.kit import U64, chunked, durable, word_hashes
 
-CLASSES, MEMBERS, HIDDEN = 64, 64, 32
-VOCABULARY = CLASSES * MEMBERS
+MEMBERS, HIDDEN = 64, 31
 PLACES = (-2, -1, 1, 2)
-#: Every STRIDE-th token of every document is a training target: at 1 all are.
-STRIDE = 1
 ROUNDS = 2
-_BATCH = 4096
+#: Cells of the table in which words are counted; its size doesn't depend on the corpus.
+CELLS = 1 << 18
+#: The vocabulary has this many codes for the cube root of the corpus' tokens; one code in SHARED is for rare words.
+GROWTH, SHARED = 9, 8
+_BATCH = 8192
 _SLICES = 16
-_SHAPES = {
-    "embed": (len(PLACES), VOCABULARY + 1, HIDDEN),
-    "bias": (HIDDEN,),
-    "to_class": (HIDDEN + 1, CLASSES),
-    "to_member": (CLASSES, HIDDEN + 1, MEMBERS),
-}
 
 
-def new_model(seed: int = 0) -> dict[str, np.ndarray]:
+def classes(tokens: int) -> int:
+    """Classes of MEMBERS codes each for a corpus of so many tokens."""
+    return max(2, round(GROWTH * tokens ** (1 / 3) / MEMBERS))
+
+
+def vocabulary(counts: np.ndarray) -> np.ndarray:
+    """The code of each cell: the fullest cells have their own, by falling count, the others share the last ones."""
+    size = classes(int(counts.sum())) * MEMBERS
+    own = min(size - size // SHARED, int((counts > 0).sum()))
+    codes = own + np.arange(CELLS) % (size - own)
+    codes[np.lexsort((np.arange(CELLS), -counts))[:own]] = np.arange(own)
+    return codes.astype(np.int32)
+
+
+def shapes(n_classes: int) -> dict[str, tuple]:
+    return {
+        "embed": (len(PLACES), n_classes * MEMBERS + 1, HIDDEN),
+        "bias": (HIDDEN,),
+        "to_class": (HIDDEN + 1, n_classes),
+        "to_member": (n_classes, HIDDEN + 1, MEMBERS),
+    }
+
+
+def new_model(n_classes: int, seed: int = 0) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    model = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
-    model["embed"][:] = rng.normal(0, 0.1, _SHAPES["embed"])
+    model = {k: np.zeros(s, np.float32) for k, s in shapes(n_classes).items()}
+    model["embed"][:] = rng.normal(0, 0.1, model["embed"].shape)
     return model
 
 
 def flatten(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in _SHAPES])
+    return np.concatenate([x.ravel() for x in model.values()])
 
 
-def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unflatten(flat: np.ndarray, n_classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in shapes(n_classes).items():
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def contexts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the texts, their tokens, and the tokens around each (VOCABULARY outside the text)."""
+def cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the texts and the cell of every token."""
     offsets, hashes = word_hashes(texts)
-    tokens = (hashes % U64(VOCABULARY)).astype(np.int64)
+    return offsets, (hashes % U64(CELLS)).astype(np.int32)
+
+
+def contexts(offsets: np.ndarray, tokens: np.ndarray, outside: int) -> np.ndarray:
+    """The tokens around each (`outside` beyond the text)."""
     count = np.diff(offsets)
     start, end = np.repeat(offsets[:-1], count), np.repeat(offsets[1:], count)
     at = np.arange(len(tokens))
-    around = np.full((len(PLACES), len(tokens)), VOCABULARY, np.int64)
+    around = np.full((len(PLACES), len(tokens)), outside, np.int64)
     for j, p in enumerate(PLACES):
         ok = (at + p >= start) & (at + p < end)
         around[j, ok] = tokens[at[ok] + p]
-    return offsets, tokens, around
+    return around
 
 
 def _hidden(model: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
@@ -91,7 +113,7 @@ def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, around:
     out = np.empty(len(tokens), np.float64)
     for a in range(0, len(tokens), step):
         t = tokens[a : a + step]
-        order = np.argsort((t // MEMBERS).astype(np.uint8), kind="stable")
+        order = np.argsort((t // MEMBERS).astype(np.uint16), kind="stable")
         t = t[order]
         h = _hidden(model, around[:, a : a + step][:, order])
         group, member = t // MEMBERS, t % MEMBERS
@@ -99,39 +121,40 @@ def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, around:
         logits = h @ model["to_class"]
         score = logits[row, group].copy()
         score -= _log_norm(logits)
-        edges = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(group, np.arange(len(model["to_member"]) + 1))
+        for c in np.flatnonzero(np.diff(edges)):
             x, y = edges[c], edges[c + 1]
-            if x < y:
-                inner = h[x:y] @ model["to_member"][c]
-                picked = inner[row[: y - x], member[x:y]].copy()
-                score[x:y] += picked - _log_norm(inner)
+            inner = h[x:y] @ model["to_member"][c]
+            picked = inner[row[: y - x], member[x:y]].copy()
+            score[x:y] += picked - _log_norm(inner)
         out[a + order] = score
     return out
 
 
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """In place; logits beyond 60 don't occur unless training has gone astray."""
+    np.exp(np.clip(logits, -60, 60, out=logits), out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
 def train_step(model: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One gradient step on the mean negative log-probability of a batch sorted by class, in place."""
-    n = len(tokens)
+    n, n_classes = len(tokens), len(model["to_member"])
     h = _hidden(model, around)
     group, member = tokens // MEMBERS, tokens % MEMBERS
-    logits = h @ model["to_class"]
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = _softmax(h @ model["to_class"])
     p[np.arange(n), group] -= 1
     back = p @ model["to_class"].T
     to_class = h.T @ p
-    edges = np.searchsorted(group, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    edges = np.searchsorted(group, np.arange(n_classes + 1))
+    for c in np.flatnonzero(np.diff(edges)):
         x, y = edges[c], edges[c + 1]
-        if x < y:
-            w = model["to_member"][c]
-            q = h[x:y] @ w
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(y - x), member[x:y]] -= 1
-            back[x:y] += q @ w.T
-            w -= rate * CLASSES**0.5 / n * (h[x:y].T @ q)
+        w = model["to_member"][c]
+        q = _softmax(h[x:y] @ w)
+        q[np.arange(y - x), member[x:y]] -= 1
+        back[x:y] += q @ w.T
+        w -= rate / (n * (y - x)) ** 0.5 * (h[x:y].T @ q)  # small classes get longer steps
     model["to_class"] -= rate / n * to_class
     inner = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
     model["bias"] -= rate / n * inner.sum(axis=0)
@@ -156,19 +179,55 @@ def train(model: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.n
     return seen
 
 
-def _train_partition(flat: np.ndarray, stride: int):
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of each document's tokens; a task's counts, in slices, come last with kind 1."""
+    seen = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for piece in chunked(batch, "text"):
+            offsets, found = cells(piece.column("text"))
+            seen += np.bincount(found, minlength=CELLS)
+            blobs = [found[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(piece.num_rows, np.int32)), piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(blobs, pa.binary())], names=["kind", "doc_id", "n_tokens", "cells"]
+            )
+    parts = seen.reshape(_SLICES, -1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.ones(_SLICES, np.int32)), pa.array(range(_SLICES), pa.int64()), pa.array(parts.sum(axis=1)), pa.array([x.tobytes() for x in parts], pa.binary())],
+        names=["kind", "doc_id", "n_tokens", "cells"],
+    )
+
+
+def _count(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(b, np.int64) for b in table["cells"].to_pylist()], axis=0)
+    return pa.table({"doc_id": table["doc_id"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+
+def encoded(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_tokens, cells) of all documents in the shared folder, so that texts are cut once; and the words' counts by cell."""
+    table = durable(docs.mapInArrow(_encode, "kind int, doc_id long, n_tokens long, cells binary"))
+    counts = table.filter("kind = 1").select("doc_id", "cells", F.pmod(F.xxhash64("cells"), F.lit(64)).alias("salt"))
+    added = counts.groupBy("doc_id", "salt").applyInArrow(lambda t: _count(t.select(["doc_id", "cells"])), "doc_id long, cells binary")
+    slices = sorted(added.groupBy("doc_id").applyInArrow(_count, "doc_id long, cells binary").collect(), key=lambda r: r["doc_id"])
+    return table.filter("kind = 0").drop("kind"), np.concatenate([np.frombuffer(r["cells"], np.int64) for r in slices] or [np.zeros(CELLS, np.int64)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], codes: np.ndarray, outside: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the batches with their texts' offsets, tokens and the tokens around."""
+    for batch in batches:
+        for piece in chunked(batch, "cells", 1 << 21):
+            offsets = np.r_[0, np.cumsum(piece.column("n_tokens").to_numpy())]
+            tokens = codes[np.frombuffer(b"".join(piece.column("cells").to_pylist()), np.int32)].astype(np.int64)
+            yield piece, offsets, tokens, contexts(offsets, tokens, outside)
+
+
+def _train_partition(flat: np.ndarray, codes: np.ndarray, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = unflatten(flat)
+        model = unflatten(flat, n_classes)
 
         def targets():
-            for batch in batches:
-                for piece in chunked(batch, "text"):
-                    offsets, tokens, around = contexts(piece.column("text"))
-                    place = np.arange(len(tokens)) - np.repeat(offsets[:-1], np.diff(offsets))
-                    shift = piece.column("shift").to_numpy()[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))]
-                    pick = np.flatnonzero((place + shift) % stride == 0)
-                    pick = pick[np.random.default_rng(len(pick)).permutation(len(pick))]
-                    yield tokens[pick], around[:, pick]
+            for _, _, tokens, around in _pieces(batches, codes, n_classes * MEMBERS):
+                mixed = np.random.default_rng(len(tokens)).permutation(len(tokens))
+                yield tokens[mixed], around[:, mixed]
 
         seen = train(model, targets())
         if seen:
@@ -193,45 +252,41 @@ def _add(table: pa.Table) -> pa.Table:
     )
 
 
-def fit(rows: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights trained on (doc_id, text): each round takes its share of the documents, all rounds take all."""
-    flat = flatten(new_model())
-    keyed = rows.select("text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(stride * rounds)).cast("long").alias("shift"))
+def fit(table: DataFrame, codes: np.ndarray, n_classes: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights trained on (doc_id, n_tokens, cells): each round takes its share of the documents, all rounds take all."""
+    flat = flatten(new_model(n_classes))
+    keyed = table.select("n_tokens", "cells", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(rounds)).alias("round"))
     out = "slice int, seen long, weights binary"
     for r in range(rounds):
-        trained = keyed.filter(F.col("shift") % rounds == r).mapInArrow(_train_partition(flat, stride), out + ", salt int")
+        trained = keyed.filter(F.col("round") == r).drop("round").mapInArrow(_train_partition(flat, codes, n_classes), out + ", salt int")
         summed = trained.groupBy("slice", "salt").applyInArrow(_add, out).groupBy("slice").applyInArrow(_add, out).collect()
         if summed:
             flat = np.concatenate([np.frombuffer(s["weights"], np.float32) / s["seen"] for s in sorted(summed, key=lambda s: s["slice"])])
     return flat
 
 
-def _score(flat: np.ndarray):
+def _score(flat: np.ndarray, codes: np.ndarray, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = unflatten(flat)
-        for batch in batches:
-            for piece in chunked(batch, "text"):
-                offsets, tokens, around = contexts(piece.column("text"))
-                total = np.r_[0.0, np.cumsum(log_probabilities(model, tokens, around))]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["doc_id", "n_tokens", "log_prob"]
-                )
+        model = unflatten(flat, n_classes)
+        for piece, offsets, tokens, around in _pieces(batches, codes, n_classes * MEMBERS):
+            total = np.r_[0.0, np.cumsum(log_probabilities(model, tokens, around))]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("n_tokens"), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["doc_id", "n_tokens", "log_prob"])
 
     return run
 
 
-def score_documents(docs: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pseudo-likelihood of every document: (doc_id, n_tokens, log_prob, mean_log_prob), one row each.
 
-    Tokens are words split at white space. stride: every stride-th token of every document is a training target (1: all
-    of them, each in one of the rounds), which one depends on the document; all tokens are scored. Weights depend on how the rows are split into
-    partitions, as gradient steps follow their order.
+    Tokens are words split at white space. Every token of every document is a training target, in one of the rounds, and is scored.
+    The vocabulary grows with the cube root of the corpus. Weights depend on how the rows are split into partitions, as gradient steps follow their order.
 
     NULL, empty and blank texts: no tokens, log_prob 0 and mean_log_prob NULL. NULL doc_id: scored like any other.
     Repeated rows: one result row each. Very long texts are scored whole. Empty tables: no rows. Other columns
     are ignored, whatever their names.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    flat = fit(rows, stride, rounds)
-    scored = rows.mapInArrow(_score(flat), "doc_id long, n_tokens long, log_prob double")
+    table, counts = encoded(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    codes, n_classes = vocabulary(counts), classes(int(counts.sum()))
+    flat = fit(table, codes, n_classes, rounds)
+    scored = table.mapInArrow(_score(flat, codes, n_classes), "doc_id long, n_tokens long, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
