@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kit import chunked, owners, word_codes, words
+from tidemark.llm.toxicity import sample_of, sampled
 
 #: Labelled documents that the model is fitted on, at most: those of least hash of doc_id.
 SAMPLE = 12_000
@@ -198,13 +199,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from at most `sample` labelled documents."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
-        .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    # At most `sample` rows of two numbers: the size of what is broadcast is bounded.
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = found.mapInArrow(_gather, "doc_id long, label int, " + ", ".join(f"{c} double" for c in _COLUMNS)).toPandas().sort_values(["doc_id", *_COLUMNS])
+    chosen = sample_of(labels, [F.col("quality")], sample)
+    found = sampled(docs, chosen).select("doc_id", F.col("labels")[0].alias("label"), "text")
+    rows = found.mapInArrow(_gather, "doc_id long, label int, " + ", ".join(f"{c} double" for c in _COLUMNS)).toPandas().sort_values("doc_id")
     return fit_model(rows[_COLUMNS].to_numpy(), rows["label"].to_numpy(float))
 
 
@@ -225,7 +222,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     the threshold. sample bounds the labelled documents that the model is fitted on; every document is scored.
 
     Labels that are all alike or missing: every document gets the base rate. NULL labels are left out; of several
-    labels of a document the highest holds. NULL, empty and blank texts: all features 0. NULL doc_id: scored like any other.
+    labels of a document the highest holds; of several texts of a labelled doc_id the least is learnt from. NULL, empty and blank texts: all features 0. NULL doc_id: scored like any other.
     Repeated rows: one result row each. Very long texts are scored whole. Empty tables: no rows. Other columns are
     ignored, whatever their names.
     """
