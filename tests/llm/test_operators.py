@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 TOKENIZERS = "/opt/tokenizers"
 
 
-# --- kit --------------------------------------------------------------------------------------------------------
+# --- kit ---
 
 
 def test_words_are_those_of_python():
@@ -44,7 +44,7 @@ def test_sliding_min(width):
     assert kit.sliding_min(x, width).tolist() == [x[i : i + width].min() for i in range(200 - width + 1)]
 
 
-# --- 1 exact dedup ------------------------------------------------------------------------------------------------
+# --- 1 exact dedup ---
 
 
 def test_minimal_perfect_hash():
@@ -63,7 +63,27 @@ def test_history_wins(spark):
     assert got == {1: 9, 2: 9, 9: 9, 3: 3, 4: 3, 7: 7, 8: 7}
 
 
-# --- 2 packing ----------------------------------------------------------------------------------------------------
+def test_winners_come_from_the_slots(spark):
+    import hashlib
+
+    digests = {t: hashlib.sha256(t.encode()).digest() for t in "abcd"}
+    old = spark.createDataFrame([(bytearray(digests["a"]), 9), (bytearray(digests["b"]), None)], "digest binary, winner long")
+    fresh = spark.createDataFrame([(bytearray(digests[t]), i) for i, t in enumerate("abc")], "digest binary, winner long")
+    index = exact_dedup.build_index(old, 3)
+    got = {bytes(r.digest): r.winner for r in exact_dedup.looked_up(fresh, index, 3).collect()}
+    assert got == {digests["a"]: 9, digests["b"]: None, digests["c"]: 2}
+    wrong = index.withColumn("locators", F.expr("unhex(repeat('01', length(locators)))"))
+    got = {bytes(r.digest): r.winner for r in exact_dedup.looked_up(fresh, wrong, 3).collect()}
+    assert got[digests["a"]] == 0x0101010101010101 and got[digests["c"]] == 2
+
+
+def test_ties_between_repeated_rows_are_settled(spark):
+    rows = [(1, "t", "en", f"s{i}") for i in range(20)] + [(2, "t", "en", "z"), (3, "u", "en", "z")]
+    got = {tuple(sorted((r.doc_id, r.source) for r in exact_dedup.drop_repeats(frame(spark, rows).repartition(n, "source")).collect())) for n in (1, 3)}
+    assert len(got) == 1 and [d for d, _ in got.pop()] == [1, 3]
+
+
+# --- 2 packing ---
 
 
 def simulate(queues, shares, window):
@@ -200,7 +220,74 @@ def test_curved_schedule_gives_all_tokens_once(seed):
     assert all(n == 100 for w, n in full.items() if w < max(full)) and sorted(full) == list(range(len(full)))
 
 
-# --- 3 substring dedup ----------------------------------------------------------------------------------------------
+WIDE = [-(2**63), 2**63 - 1, -9 * 10**18, 9 * 10**18, 0, 1, 2, 3]
+
+
+def packed_whole(spark, docs, window, **options):
+    """The pieces, after checking that windows are full and documents whole."""
+    got = packing.pack(docs, window, **options).collect()
+    spans, held = defaultdict(list), Counter()
+    for r in got:
+        spans[r.window_id].append((r.offset, r.n_tokens))
+        held[r.doc_id] += r.n_tokens
+    for w, pieces in spans.items():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at == window or w == max(spans)
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id] += len((r.text or "").split())
+    assert held == +want
+    return got
+
+
+@pytest.mark.parametrize("docs_in_bucket", [2, 10_000])
+def test_ids_anywhere(spark, monkeypatch, docs_in_bucket):
+    monkeypatch.setattr(packing, "BUCKET_DOCS", docs_in_bucket)
+    docs = frame(spark, [(i, words(20, k), "en", f"s{k % 2}") for k, i in enumerate(WIDE + list(range(100, 140)))])
+    packed_whole(spark, docs, 64)
+    rows = curriculum.mix_sources(docs).collect()
+    assert len(rows) == 48 and [r.position for r in rows] == sorted(r.position for r in rows)
+    for s in ("s0", "s1"):
+        assert [r.doc_id for r in rows if r.source == s] == sorted(r.doc_id for r in rows if r.source == s)
+
+
+def test_an_outlier_doesnt_fill_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_DOCS", 100)
+    docs = spark.range(5000).unionAll(spark.createDataFrame([(9 * 10**18,)], "id long"))
+    sizes = docs.groupBy(packing.buckets(docs, "id").alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < 400 and len(sizes) > 20
+
+
+def test_more_sources_than_a_window_has_room_for(spark):
+    docs = frame(spark, [(i, words(3 + i % 5, i), "en", f"s{i % 200}") for i in range(600)])
+    packed_whole(spark, docs, 256)
+    packed_whole(spark, docs, 3)
+    curve = {f"s{i}": (1, 2, 3) for i in range(3)} | {None: (0, 1, 0)}
+    packed_whole(spark, docs, 256, weights=curve, knots=(0.0, 0.5, 1.0))
+
+
+def test_small_sources_get_their_shares_over_several_windows(spark):
+    docs = frame(spark, [(i, words(10, i), "en", "big") for i in range(1000)] + [(2000 + i, words(10, i), "en", f"t{i % 4}") for i in range(400)])
+    weights = {"big": 400, "t0": 1, "t1": 2, "t2": 3, "t3": 4}
+    got = packed_whole(spark, docs, 1000, weights=weights)
+    assert set(packing.pooled({k: (w,) for k, w in weights.items()}, 1000)) == {"t0", "t1", "t2", "t3"}
+    early = Counter()
+    for r in sorted((r for r in got if r.source != "big"), key=lambda r: (r.window_id, r.offset))[:150]:
+        early[r.source] += r.n_tokens
+    assert early["t3"] > 1.5 * early["t1"] > 1.5 * early["t0"]
+
+
+def test_stored_order_is_the_queue(spark, tmp_path):
+    rows = [(i, words(30, i), "en", "a") for i in range(40)]
+    frame(spark, rows).orderBy(F.col("doc_id").desc()).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    got = packing.pack(spark.read.parquet(str(tmp_path / "docs")), 64, stored=True).collect()
+    assert [d for d, _ in itertools.groupby(r.doc_id for r in sorted(got, key=lambda r: (r.window_id, r.offset)))] == list(range(39, -1, -1))
+
+
+# --- 3 substring dedup ---
 
 
 def test_repeats_are_those_of_brute_force(spark):
@@ -236,34 +323,73 @@ def test_copies_within_a_flush_are_all_listed(spark):
     assert sorted(r.doc_id for r in got) == list(range(50)) and {r.n_words for r in got} == {81}
 
 
-# --- 4 language model -------------------------------------------------------------------------------------------------
+# --- 4 language model ---
+
 
+def coded(texts, n_classes=8):
+    offsets, found = pseudo_likelihood.cells(pa.array(texts))
+    tokens = (found % (n_classes * pseudo_likelihood.MEMBERS)).astype(np.int64)
+    return offsets, tokens, pseudo_likelihood.contexts(offsets, tokens, n_classes * pseudo_likelihood.MEMBERS)
 
-def test_scores_are_those_of_a_plain_loop():
-    model = pseudo_likelihood.new_model(1)
+
+def plain_gradient(model, tokens, around):
+    """Log-probability of each token, and the gradient of their sum by all weights, token by token."""
+    grads, scores = {k: np.zeros(v.shape) for k, v in model.items()}, []
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i, t in enumerate(tokens):
+        h = np.tanh(model["bias"].astype(float) + sum(model["embed"][j][around[j, i]] for j in range(len(pseudo_likelihood.PLACES))))
+        x = np.r_[h, 1]
+        c, m = divmod(int(t), pseudo_likelihood.MEMBERS)
+        p, q = soft(x @ model["to_class"]), soft(x @ model["to_member"][c])
+        scores.append(math.log(p[c]) + math.log(q[m]))
+        p[c] -= 1
+        q[m] -= 1
+        grads["to_class"] -= np.outer(x, p)
+        grads["to_member"][c] -= np.outer(x, q)
+        back = -(model["to_class"] @ p + model["to_member"][c] @ q)[:-1] * (1 - h**2)
+        grads["bias"] += back
+        for j in range(len(pseudo_likelihood.PLACES)):
+            grads["embed"][j][around[j, i]] += back
+    return scores, grads
+
+
+def test_scores_and_steps_are_those_of_a_plain_loop():
+    model = pseudo_likelihood.new_model(8, 1)
     rng = np.random.default_rng(2)
     for k in ("bias", "to_class", "to_member"):
         model[k][:] = rng.normal(0, 0.3, model[k].shape)
-    offsets, tokens, around = pseudo_likelihood.contexts(pa.array(["a b c d e a b", "x", "", "b c"]))
-    got = pseudo_likelihood.log_probabilities(model, tokens, around)
-    text = np.repeat(np.arange(4), np.diff(offsets))
-    for i, t in enumerate(tokens):
-        h = model["bias"].astype(float).copy()
-        for j, p in enumerate(pseudo_likelihood.PLACES):
-            q = i + p
-            h += model["embed"][j][tokens[q] if 0 <= q < len(tokens) and text[q] == text[i] else pseudo_likelihood.VOCABULARY]
-        h = np.r_[np.tanh(h), 1]
-        soft = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
-        c, m = divmod(int(t), pseudo_likelihood.MEMBERS)
-        want = soft(h @ model["to_class"])[c] + soft(h @ model["to_member"][c])[m]
-        assert got[i] == pytest.approx(want, abs=1e-4)
+    offsets, tokens, around = coded(["a b c d e a b", "x", "", "b c"])
+    assert around[0, 2] == tokens[0] and around[3, 2] == tokens[4] and around[1, 7] == around[2, 7] == 8 * pseudo_likelihood.MEMBERS
+    want, grads = plain_gradient(model, tokens, around)
+    assert pseudo_likelihood.log_probabilities(model, tokens, around) == pytest.approx(want, abs=1e-4)
+    order = np.argsort(tokens, kind="stable")
+    new = {k: v.copy() for k, v in model.items()}
+    pseudo_likelihood.train_step(new, tokens[order], around[:, order], 0.1)
+    n = len(tokens)
+    assert new["to_class"] - model["to_class"] == pytest.approx(0.1 * grads["to_class"] / n, abs=1e-5)
+    assert new["bias"] - model["bias"] == pytest.approx(0.1 * grads["bias"] / n, abs=1e-5)
+    for c, times in Counter((tokens // pseudo_likelihood.MEMBERS).tolist()).items():
+        assert new["to_member"][c] - model["to_member"][c] == pytest.approx(0.1 * grads["to_member"][c] / math.sqrt(n * times), abs=1e-5)
+    for j in range(len(pseudo_likelihood.PLACES)):
+        for t, times in Counter(around[j].tolist()).items():
+            assert new["embed"][j][t] - model["embed"][j][t] == pytest.approx(0.1 * grads["embed"][j][t] / math.sqrt(n * times), abs=1e-5)
 
 
 def test_a_token_is_never_its_own_context():
-    _, tokens, around = pseudo_likelihood.contexts(pa.array(["q r s t u v w"]))
+    _, tokens, around = coded(["q r s t u v w"])
     assert not (around == tokens).any()
 
 
+def test_frequent_words_have_codes_of_their_own_and_the_vocabulary_grows():
+    counts = np.zeros(pseudo_likelihood.CELLS, np.int64)
+    counts[:5000] = np.arange(5000, 0, -1)
+    codes = pseudo_likelihood.vocabulary(counts)
+    size = pseudo_likelihood.classes(int(counts.sum())) * pseudo_likelihood.MEMBERS
+    own = size - size // pseudo_likelihood.SHARED
+    assert codes[:own].tolist() == list(range(own)) and codes[own:].min() == own and codes.max() == size - 1
+    assert pseudo_likelihood.classes(10**9) > 5 * pseudo_likelihood.classes(10**6)
+
+
 def test_training_beats_unigrams_on_held_out_text():
     rng = np.random.default_rng(0)
 
@@ -273,28 +399,48 @@ def test_training_beats_unigrams_on_held_out_text():
             out += [f"h{rng.integers(20)}"] + [["m", "k", "z"][len(out) % 3], "tail"]
         return " ".join(out)
 
-    model = pseudo_likelihood.new_model()
-    pseudo_likelihood.train(model, (pseudo_likelihood.contexts(pa.array([text(20_000)]))[1:] for _ in range(8)))
-    _, tokens, around = pseudo_likelihood.contexts(pa.array([text(5_000)]))
-    share = np.bincount(tokens, minlength=pseudo_likelihood.VOCABULARY) / len(tokens)
+    model = pseudo_likelihood.new_model(8)
+    pseudo_likelihood.train(model, (coded([text(20_000)])[1:] for _ in range(8)))
+    _, tokens, around = coded([text(5_000)])
+    share = np.bincount(tokens, minlength=8 * pseudo_likelihood.MEMBERS) / len(tokens)
     unigram = float((np.log(share[tokens])).mean())
     assert pseudo_likelihood.log_probabilities(model, tokens, around).mean() > unigram + 0.3
 
 
-def test_every_token_is_a_training_target(spark):
+def test_every_token_is_counted_and_a_training_target(spark):
     rows = [(i, words(n, i)) for i, n in enumerate([1, 2, 7, 8, 9, 100, 0, 3])]
-    parts = []
-    for r in range(pseudo_likelihood.ROUNDS):
-        keyed = frame(spark, rows).selectExpr("text", f"pmod(xxhash64(doc_id, octet_length(text)), {pseudo_likelihood.STRIDE * pseudo_likelihood.ROUNDS}) AS shift").filter(f"shift % {pseudo_likelihood.ROUNDS} = {r}")
-        run = pseudo_likelihood._train_partition(pseudo_likelihood.flatten(pseudo_likelihood.new_model()), pseudo_likelihood.STRIDE)
-        parts += keyed.mapInArrow(run, "slice int, seen long, weights binary, salt int").filter("slice = 0").collect()
-    assert sum(p.seen for p in parts) == sum(len(t.split()) for _, t in rows)
-
-
-# --- 5 n-gram Jaccard -------------------------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("n,threshold", [(1, 0.88), (1, 0.8), (2, 0.8), (3, 0.7), (4, 0.7), (5, 0.6)])
+    table, counts = pseudo_likelihood.encoded(frame(spark, rows).select("doc_id", "text"))
+    total = sum(len(t.split()) for _, t in rows)
+    assert counts.sum() == total and table.count() == len(rows)
+    codes, k = pseudo_likelihood.vocabulary(counts), pseudo_likelihood.classes(total)
+    flat = pseudo_likelihood.flatten(pseudo_likelihood.new_model(k))
+    run = pseudo_likelihood._train_partition(flat, codes, k)
+    parts = [p for r in range(3) for p in table.filter(f"pmod(xxhash64(doc_id, n_tokens), 3) = {r}").select("n_tokens", "cells").mapInArrow(run, "slice int, seen long, weights binary, salt int").filter("slice = 0").collect()]
+    assert sum(p.seen for p in parts) == total
+
+
+def test_rounds_average_the_partitions_by_their_targets(spark):
+    rows = [(i, words(50 + 30 * i, i, 50)) for i in range(6)]
+    table, counts = pseudo_likelihood.encoded(frame(spark, rows).repartition(3, "doc_id").select("doc_id", "text"))
+    codes, k = pseudo_likelihood.vocabulary(counts), pseudo_likelihood.classes(int(counts.sum()))
+    got = pseudo_likelihood.fit(table, codes, k, 1)
+    start, total, seen = pseudo_likelihood.flatten(pseudo_likelihood.new_model(k)), 0.0, 0
+    for part in table.select("n_tokens", "cells").rdd.mapPartitions(lambda rows: [[(r.n_tokens, bytes(r.cells)) for r in rows]]).collect():
+        model = pseudo_likelihood.unflatten(start, k)
+        if part:
+            tokens = codes[np.frombuffer(b"".join(b for _, b in part), np.int32)].astype(np.int64)
+            offsets = np.r_[0, np.cumsum([n for n, _ in part])]
+            mixed = np.random.default_rng(len(tokens)).permutation(len(tokens))
+            around = pseudo_likelihood.contexts(offsets, tokens, k * pseudo_likelihood.MEMBERS)
+            n = pseudo_likelihood.train(model, iter([(tokens[mixed], around[:, mixed])]))
+            total, seen = total + pseudo_likelihood.flatten(model).astype(float) * n, seen + n
+    assert got == pytest.approx(total / seen, abs=1e-4)
+
+
+# --- 5 n-gram Jaccard ---
+
+
+@pytest.mark.parametrize("n,threshold", [(1, 0.8), (3, 0.7), (5, 0.6)])
 def test_pairs_are_those_of_brute_force(spark, n, threshold):
     rng = random.Random(n)
     rows = []
@@ -341,11 +487,24 @@ def test_sketch_distance_bounds_the_difference():
         a = [f"x{rng.randrange(400)}" for _ in range(100)]
         b = [w if rng.random() > 0.05 else "y" + w for w in a]
         edges, grams = jaccard.gram_sets(pa.array([" ".join(a), " ".join(b)]), 1)
-        key, text, _, _ = jaccard.block_rows(edges, grams, 0.88)
+        key, text, *_ = jaccard.block_rows(edges, grams, 0.88)
         if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.88:
             assert set(key[text == 0]) & set(key[text == 1])
 
 
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(0)
+    sets = [rng.choice(4000, n, replace=False) for n in (40, 300, 900, 1500)]
+    texts = pa.array([" ".join(f"w{x}" for x in s) for s in sets])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), texts], names=["tid", "text"])
+    rows = [r for b in jaccard._profile(1)(iter([batch])) for r in b.to_pylist() if r["tid"]]
+    for x, y in itertools.combinations(range(4), 2):
+        low = min(len(rows[x]["long"]), len(rows[y]["long"])) * 8
+        a, b = (jaccard.folded(np.frombuffer(rows[i]["long"], np.uint8)[None], low) for i in (x, y))
+        far, differ = int(np.bitwise_count(a ^ b).sum()), len(set(sets[x]) ^ set(sets[y]))
+        assert far <= differ and far % 2 == differ % 2 and far > 0.1 * min(differ, low)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 1)]
     pairs = spark.createDataFrame(edges + [(20 + i, 21 + i) for i in range(30)], "doc_a long, doc_b long")
@@ -353,7 +512,7 @@ def test_components(spark):
     assert {d for d, g in got.items() if g == 1} == {1, 2, 3, 6, 7, 8, 9} and got[5] == 4 and {got[20 + i] for i in range(31)} == {20}
 
 
-# --- 6 fertility ------------------------------------------------------------------------------------------------------
+# --- 6 fertility ---
 
 
 @pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabularies here")
@@ -390,7 +549,42 @@ def test_junk_goes_and_text_stays(spark):
     assert got[(got.quality == 0)].reason.notna().mean() > 0.4
 
 
-# --- 7 chat -----------------------------------------------------------------------------------------------------------
+PROSE = {
+    "en": "The committee met on Thursday to discuss the new budget, and after a long debate about the cost of repairing the old bridge it was decided to put the question to a vote. Several members complained that the figures they had been given were out of date, while others pointed out that waiting another year would only make the work more expensive. In the end the proposal was accepted by a narrow majority.",
+    "de": "Am Donnerstag kam der Ausschuss zusammen, um über den neuen Haushalt zu sprechen, und nach einer langen Debatte wurde beschlossen, die Frage zur Abstimmung zu stellen. Mehrere Mitglieder beklagten sich, dass die Zahlen veraltet seien, während andere darauf hinwiesen, dass ein weiteres Jahr des Wartens die Arbeiten nur verteuern würde.",
+    "fr": "Le comité s'est réuni jeudi pour discuter du nouveau budget, et après un long débat sur le coût de la réparation du vieux pont, il a été décidé de mettre la question aux voix. Plusieurs membres se sont plaints que les chiffres n'étaient plus à jour, tandis que d'autres ont fait remarquer qu'attendre ne ferait que rendre les travaux plus chers.",
+    "es": "El comité se reunió el jueves para discutir el nuevo presupuesto y, después de un largo debate sobre el costo de la reparación del viejo puente, se decidió someter la cuestión a votación. Varios miembros se quejaron de que las cifras estaban desactualizadas, mientras que otros señalaron que esperar solo encarecería las obras.",
+}
+
+
+def test_real_prose_stays_and_junk_goes_at_any_length(spark):
+    rows = [(i, " ".join(PROSE[lang].split()[:n]), lang, "a") for i, (lang, n) in enumerate(itertools.product(PROSE, (3, 8, 20, 500)))]
+    kept = fertility.fertility(frame(spark, rows)).filter("reason IS NULL").count()
+    assert kept == len(rows)
+    junk = ["la " * 40, "la " * 400, "$$ %% ## @@ !! " * 60, "kJx9Qz7+/Wq0Zp3rT8vY2nB5mC1sD4fG6hL " * 30, "\u0f3a\u0f3b\u0f3c\u0f3d" * 20]
+    got = fertility.fertility(frame(spark, [(i, t, "en", "a") for i, t in enumerate(junk)])).filter("reason IS NOT NULL")
+    assert got.count() == len(junk)
+
+
+def test_rules_are_those_of_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    v = fertility.Vocabularies(TOKENIZERS)
+    kept = {r.doc_id for r in fertility.keep_natural(docs).collect()}
+    for r in docs.collect():
+        w = r.text.split()
+        pieces, coarse = [p for x in w for p in v.piece.encode(x)], sum(len(v.bytes.encode_ordinary(" " + x)) for x in w)
+        n, chars = len(pieces), sum(map(len, w))
+        low, high, least, most, share, entropy = fertility.BANDS.get(r.lang) or fertility.SCRIPT_BANDS["latin" if len(r.text.encode()) <= 1.6 * len(r.text) else "other"]
+        good = n > 0
+        if good:
+            wide, counts = 2 / math.sqrt(n), Counter(pieces)
+            bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+            good = max(0, 1 - wide) * low <= chars / n <= high * (1 + wide) and max(0, 1 - wide) * least <= chars / coarse <= most * (1 + wide)
+            good &= sum(v.piece.is_byte(p) for p in pieces) / n <= share + wide and bits >= entropy * min(math.log2(n), 7.5) * max(0, 1 - wide / 4) - 1e-9
+        assert good == (r.doc_id in kept)
+
+
+# --- 7 chat ---
 
 
 def test_every_turn_is_new_once_and_windows_fit(spark):
@@ -414,7 +608,7 @@ def test_every_turn_is_new_once_and_windows_fit(spark):
     assert set(aims) == {(c, x) for (c, _), (r, x) in texts.items() if r == "assistant"}
 
 
-# --- 8 toxicity, 10 quality ----------------------------------------------------------------------------------------------
+# --- 8 toxicity, 10 quality ---
 
 
 def test_toxic_documents_are_found(spark):
@@ -437,10 +631,34 @@ def test_chain_features_are_out_of_fold():
     rng = np.random.default_rng(0)
     text, term = np.nonzero(rng.integers(0, 2, (300, 40)))
     noise = rng.integers(0, 2, 300).astype(float)
-    models = toxicity.fit_chain(text, term, 40, [noise, noise], np.arange(300) % toxicity.FOLDS)
+    models = toxicity.fit_chain(text, term, 40, [noise, noise.copy()], np.arange(300) % toxicity.FOLDS)
     assert models[1][40] < 1  # in-sample predictions of noise would be trusted fully, held-out ones are not
 
 
+def test_logistic_fit_is_that_of_plain_gradient_descent():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (200, 6))
+    y = (x[:, 0] + x[:, 1] + rng.random(200) > 1.6).astype(float)
+    use = np.arange(200) % 5 > 0
+    text, term = np.nonzero(x)
+    got = toxicity._logistic(text, term, 6, np.zeros((200, 0)), y, use)
+    a, b = x[use & (y > 0)].sum(axis=0), x[use & (y == 0)].sum(axis=0)
+    n, m = (use & (y > 0)).sum(), (use & (y == 0)).sum()
+    scale = np.log((a + 0.5) / (n + 1) * (m + 1) / (b + 0.5))
+    z, w, c = x * scale, np.zeros(6), 0.0
+    for _ in range(20_000):
+        off = (1 / (1 + np.exp(-(z @ w + c))) - y) * use / use.sum()
+        w, c = w - 0.5 * (z.T @ off + 1e-3 * w), c - 0.5 * off.sum()
+    assert np.abs(got - np.r_[w * scale, c]).max() < 0.05
+
+
+def test_a_labelled_document_of_many_rows_is_one_row_of_the_sample(spark):
+    docs = frame(spark, [(1, "a b")] * 50 + [(1, "a a")] + [(2, "c")])
+    chosen = toxicity.sample_of(spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int"), [F.col("quality"), F.col("toxic")], 9)
+    got = sorted((r.doc_id, r.labels, r.text) for r in toxicity.sampled(docs.select("doc_id", "text"), chosen).collect())
+    assert got == [(1, [1, 1], "a a"), (2, [1, 0], "c")]
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
@@ -460,7 +678,7 @@ def test_score_is_a_sum_of_table_entries():
     assert model.score(x)[7] == pytest.approx(want)
 
 
-# --- 9 mixing ----------------------------------------------------------------------------------------------------------
+# --- 9 mixing ---
 
 
 def test_positions_meet_the_integrated_demand(spark):
