@@ -69,7 +69,7 @@ def _place(by, order):
     return F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long").alias("place")
 
 
-# --- graphs ---------------------------------------------------------------------------------------------------
+# --- graphs ---
 
 query("gr1_closure", f"WITH RECURSIVE {REACH} SELECT descendant, ancestor FROM r")(lambda v: G.closure(v.dag, v.edges).select("descendant", "ancestor"))
 query("gr2_related", f"""WITH RECURSIVE {REACH}, p AS (SELECT x.commit_id AS a, y.commit_id AS b FROM {{dag}} x JOIN {{dag}} y ON x.project = y.project AND y.ord = x.ord + 2), q AS (SELECT a, b, EXISTS (SELECT 1 FROM r WHERE descendant = a AND ancestor = b) AS descends,
@@ -98,7 +98,7 @@ query("jn3_snapshot_changes", """WITH p AS (SELECT coalesce(o.snapshot_index, n.
   round(median(CASE WHEN ol > 0 THEN abs(ol - nl) * 100.0::DOUBLE / ol END), 2) AS median_perc_change FROM p GROUP BY older) SELECT *, (func_added + func_removed) * 100 // func_before AS perc_add_rem FROM c WHERE func_before > 0 AND func_now > 0""")(
     lambda v: J.snapshot_changes(v.joint.select("snapshot_index", "signature", "file", "lch")))
 
-# --- statistics -----------------------------------------------------------------------------------------------
+# --- statistics ---
 
 _VARS = ["fl", "fc", "cnd", "loac", "age"]
 

@@ -97,7 +97,7 @@ query("agg35_bubbles", "SELECT CAST(round_even(loc / 12.0, 0) * 12 AS BIGINT) AS
 query("agg36_smell_share_boxes", f"WITH s AS (SELECT metric, (fs + nfs) / (fs + fns + nfs + nfns)::DOUBLE AS share FROM ({AGG14})) SELECT metric, count(share) AS n, " + ", ".join(f"round(quantile_cont(share, {q}), 6) AS {k}" for q, k in ((0, "low"), (0.25, "q1"), (0.5, "mid"), (0.75, "q3"), (1, "high"))) + " FROM s GROUP BY metric")(
     lambda v: R.box_stats(R.contingency(v.smells, "snapshot", D.SMELL_PREDICATES).withColumn("share", (C("fs") + C("nfs")) / (C("fs") + C("fns") + C("nfs") + C("nfns"))), "share", ["metric"]))
 
-# --- joins ----------------------------------------------------------------------------------------------------
+# --- joins ---
 
 query("jn1_lookup_commit", "SELECT commit_id, hunk, uid, ord FROM {hunks} JOIN {commits} USING (commit_id)")(lambda v: J.lookup_or_fail(v.hunks, v.commits).select("commit_id", "hunk", "uid", "ord"))
 query("jn2_full_coverage", """SELECT f.signature, f.file, coalesce(m.loc, f.loc) AS loc, coalesce(nofl, 0) AS nofl, coalesce(loac, 0) AS loac FROM {functions} f LEFT JOIN {metrics} m ON f.signature = m.signature AND f.file = m.file""")(
@@ -142,7 +142,7 @@ query("jn18_joined_summaries", "SELECT i, round(avg(coef), 6) AS coef, round(avg
 query("jn19_branch_of_first", "SELECT s.project, s.commit_id, c.ord FROM (SELECT project, arg_min(commit_id, ord) AS commit_id FROM {commits} GROUP BY project) s JOIN {commits} c ON s.commit_id = c.commit_id")(
     lambda v: v.commits.groupBy("project").agg(F.min_by("commit_id", "ord").alias("commit_id")).join(v.commits.select("commit_id", "ord"), "commit_id"))
 
-# --- sets, samples, top ---------------------------------------------------------------------------------------
+# --- sets, samples, top ---
 
 query("set1_leftover_commits", "SELECT commit_id, DATE '1970-01-01' AS snapshot_date FROM {commits} WHERE commit_id NOT IN (SELECT commit_id FROM {hunks})")(
     lambda v: J.without(v.commits, v.hunks.select("commit_id"), ["commit_id"]).select("commit_id", F.lit("1970-01-01").cast("date").alias("snapshot_date")))
