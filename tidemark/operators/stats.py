@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.derived import rho_magnitude
+from tidemark.operators.shared import kept
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function."""
@@ -56,43 +60,69 @@ def rho_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([rho_p_value(r, int(m)) for r, m in zip(rho, n)])
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties at their average."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+def ranks(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """(by, variable, value, rank): the average rank of each distinct value of each variable, NULLs left out.
+
+    Equal values are counted first, so that the running sums go over distinct values and never over rows.
+    """
+    long = rows.select(*by, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(by, values, "variable", "value").filter("value IS NOT NULL")
+    counts = long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("ties"))
+    before = F.coalesce(F.sum("ties").over(Window.partitionBy(*by, "variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("rank", before + (F.col("ties") + 1) / 2.0)
+
+
+def ranked(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """Rows with each variable's average rank in its place, by group."""
+    table = ranks(rows, values, by)
+    out = rows.select(*by, *[F.col(v).cast("double").alias(v) for v in values])
+    for v in values:
+        own = table.filter(F.col("variable") == v).select(*[F.col(g).alias(f"{g}_") for g in by], F.col("value").alias("value_"), F.col("rank").alias("rank_"))
+        on = F.col(v) == F.col("value_")
+        for g in by:
+            on = on & F.col(g).eqNullSafe(F.col(f"{g}_"))
+        out = out.join(own, on, "left").withColumn(v, F.col("rank_")).drop("value_", "rank_", *[f"{g}_" for g in by])
+    return out
+
+
+def complete(rows: DataFrame, columns: tuple[str, ...] = ("age", "mrc", "pc")) -> DataFrame:
+    """FLT8: rows whose age, last edit and earlier commits are known and finite."""
+    return rows.filter(" AND ".join(f"{c} IS NOT NULL AND abs(CAST({c} AS DOUBLE)) < double('infinity')" for c in columns))
 
 
 def spearman(rows: DataFrame, dependents: list[str], independents: list[str], by: list[str] | None = None) -> DataFrame:
-    """ST1: rank correlation of each pair of variables and its n, by group.
+    """ST1 to ST3: rank correlation of each pair of different variables, its n, p (t approximation) and size class, by group.
 
-    Rows are unpivoted once by variable, so that ranks of all variables are windows partitioned by group and variable.
+    Rows are ranked once a variable; all correlations are taken in one aggregation. Rows with a NULL in any of the variables are left out first.
     """
     by = by or []
-    out = None
-    for d in dependents:
-        long = rows.select(*by, F.col(d).cast("double").alias("y"), *[F.col(i).cast("double").alias(i) for i in independents]).unpivot([*by, "y"], independents, "i", "x").filter("x IS NOT NULL AND y IS NOT NULL")
-        ranked = long.withColumn("rx", average_rank("x", [*by, "i"])).withColumn("ry", average_rank("y", [*by, "i"]))
-        part = ranked.groupBy(*by, "i").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n")).withColumn("d", F.lit(d))
-        out = part if out is None else out.unionByName(part)
-    return out.select(*by, "d", "i", "n", F.round("rho", 6).alias("rho"))
+    used = list(dict.fromkeys([*dependents, *independents]))
+    pairs = [(d, i) for d in dependents for i in independents if d != i]
+    rank = ranked(rows.dropna(subset=used), used, by)
+    wide = rank.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.corr(d, i).alias(f"r{k}") for k, (d, i) in enumerate(pairs)])
+    each = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.col(f"r{k}").alias("rho")) for k, (d, i) in enumerate(pairs)])
+    long = wide.select(*by, "n", F.explode(each).alias("x")).select(*by, "x.d", "x.i", "n", "x.rho")
+    return long.select(*by, "d", "i", "n", F.round("rho", 6).alias("rho"), F.round(rho_p("rho", "n"), 6).alias("p"), rho_magnitude(F.col("rho")).alias("magnitude"))
 
 
 def group_differences(rows: DataFrame, value: str, splits: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """ST4, ST5: Mann-Whitney U, its z (tie and continuity corrected) and Cliff's delta between the halves of each split."""
+    """ST4, ST5: Mann-Whitney U, its z (tie and continuity corrected) and p, and Cliff's delta between the halves of each split."""
     by = by or []
     marks = F.array(*[F.struct(F.lit(k).alias("split"), c.alias("treated")) for k, c in splits.items()])
     long = rows.withColumn("m", F.explode(marks)).select(*by, "m.split", "m.treated", F.col(value).cast("double").alias("v")).filter("treated IS NOT NULL AND v IS NOT NULL")
-    ranked = long.withColumn("r", average_rank("v", [*by, "split"]))
-    ties = long.groupBy(*by, "split", "v").agg(F.count(F.lit(1)).alias("t")).groupBy(*by, "split").agg(F.sum(F.expr("CAST(t AS DOUBLE) * t * t - t")).alias("ties"))
-    sums = ranked.groupBy(*by, "split").agg(F.count_if("treated").alias("n_trt"), F.count_if(~F.col("treated")).alias("n_ctrl"), F.sum(F.when(F.col("treated"), F.col("r"))).alias("ranks"))
+    # Equal values are one row from here on; ranks, ties and sums follow from their counts.
+    cells = long.groupBy(*by, "split", "v").agg(F.count_if("treated").alias("yes"), F.count(F.lit(1)).alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by, "split").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cells.withColumn("r", before + (F.col("t") + 1) / 2.0).groupBy(*by, "split").agg(
+        F.sum("yes").alias("n_trt"), F.sum(F.col("t") - F.col("yes")).alias("n_ctrl"), F.sum(F.col("yes") * F.col("r")).alias("ranks"), F.sum(F.expr("CAST(t AS DOUBLE) * t * t - t")).alias("ties")
+    )
     a, b = F.col("n_trt").cast("double"), F.col("n_ctrl").cast("double")
     u = F.col("ranks") - a * (a + 1) / 2
-    sd = F.sqrt(a * b / 12 * ((a + b + 1) - F.col("ties") / ((a + b) * (a + b - 1))))
+    sd = F.sqrt(a * b / 12 * ((a + b + 1) - F.try_divide(F.col("ties"), (a + b) * (a + b - 1))))
     centred = u - a * b / 2
     z = F.try_divide(centred - F.signum(centred) * 0.5, sd)
     return (
-        sums.join(ties, [*by, "split"]).filter("n_trt > 0 AND n_ctrl > 0")
-        .select(*by, "split", "n_trt", "n_ctrl", u.alias("u"), F.round(z, 6).alias("z"), F.round(2 * u / (a * b) - 1, 6).alias("delta"))
+        sums.filter("n_trt > 0 AND n_ctrl > 0").withColumn("z", z)
+        .select(*by, "split", "n_trt", "n_ctrl", u.alias("u"), F.round("z", 6).alias("z"), F.round(normal_p("z"), 6).alias("p"), F.round(2 * u / (a * b) - 1, 6).alias("delta"))
     )
 
 
@@ -139,18 +169,26 @@ def fisher_table(tables: DataFrame, columns: tuple[str, str, str, str], keys: li
     return tables.withColumn("t", test(*columns)).select(*keys, *columns, F.round("t.p", 6).alias("p"), F.round("t.odds_ratio", 5).alias("odds_ratio"))
 
 
-#: ST10: regressors by formula number.
+_CONTROLS = ["log2loc", "log2mrc", "log2pc", "log2age"]
+#: ST10: regressors by formula number: the controls alone, then annotation metrics as they are, then log-scaled, with the controls.
 FORMULAS = {
-    0: ["log2loc"],
-    1: ["fl"],
-    2: ["fl", "fc", "cnd", "neg"],
-    3: ["log2loc", "fl"],
-    4: ["log2loc", "fl", "fc", "cnd", "neg"],
-    5: ["log2loc", "age", "mrc", "pc"],
-    6: ["log2loc", "age", "mrc", "pc", "fl", "fc", "cnd", "neg"],
+    0: _CONTROLS,
+    1: ["cnd", "fc", "neg", "loacratio", *_CONTROLS],
+    2: ["cnd", "fl", "neg", "loacratio", *_CONTROLS],
+    3: ["cnd", "fc", "fl", "neg", "loacratio", *_CONTROLS],
+    4: ["log2cnd", "log2fc", "log2neg", "loacratio", *_CONTROLS],
+    5: ["log2cnd", "log2fl", "log2neg", "loacratio", *_CONTROLS],
+    6: ["log2cnd", "log2fc", "log2fl", "log2neg", "loacratio", *_CONTROLS],
 }
 
 
+def regressors(rows: DataFrame, *kept: str) -> DataFrame:
+    """The variables of all formulas, and the columns named."""
+    plain = ["cnd", "fc", "fl", "neg"]
+    logs = [F.log2(F.col(c) + 1.0).alias(f"log2{c}") for c in [*plain, "mrc", "pc", "age"]]
+    return rows.select(*kept, *[F.col(c).cast("double").alias(c) for c in plain], *logs, F.log2(F.col("loc").cast("double")).alias("log2loc"), (F.col("loac") / F.col("loc")).alias("loacratio"))
+
+
 def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     """PRJ12: z-scores with the sample sd; a constant column gives NULL."""
     agg = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
@@ -158,42 +196,140 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*[c for c in rows.columns if c not in columns], *[F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")).alias(c) for c in columns])
 
 
-def _gram(rows: DataFrame, x: list[str], weight: Column, response: Column, extra: list[Column]) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """X'WX, X'Wz and further sums in one aggregation: a Newton step needs a single pass and a few numbers."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
-    k = len(cols)
-    sums = [F.sum(weight * cols[i] * cols[j]) for i in range(k) for j in range(i, k)] + [F.sum(response * c) for c in cols] + [F.sum(e) for e in extra]
-    got = [float(v) if v is not None else 0.0 for v in rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    gram, at = np.zeros((k, k)), 0
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = got[at]
-            at += 1
-    return gram, np.array(got[at : at + k]), got[at + k :]
-
-
-def _eta(x: list[str], beta: np.ndarray) -> Column:
-    out = F.lit(float(beta[0]))
-    for c, b in zip(x, beta[1:]):
-        out = out + F.lit(float(b)) * F.col(c).cast("double")
-    return out
+def _gamma_sums(y: np.ndarray, theta: float) -> tuple[float, float, float]:
+    """Over whole numbers y: sums of log gamma(y + theta) - log y!, and of the first two derivatives by theta."""
+    values, times = np.unique(y, return_counts=True)
+    x = values + theta
+    shift = [(x + k) for k in range(10)]
+    z = x + 10
+    i = 1 / (z * z)
+    first = np.log(z) - 0.5 / z - i * (1 / 12 - i * (1 / 120 - i / 252)) - sum(1 / v for v in shift)
+    second = 1 / z + i / 2 + i / z * (1 / 6 - i * (1 / 30 - i / 42)) + sum(1 / v**2 for v in shift)
+    log = np.array([math.lgamma(v) - math.lgamma(w + 1) for v, w in zip(x, values)])
+    return float(times @ log), float(times @ first), float(times @ second)
+
+
+class Fit:
+    """A model under way: outcome, terms, coefficients and what the last pass over the rows said."""
+
+    def __init__(self, family: str, outcome: str, terms: list[str]):
+        self.family, self.outcome, self.terms = family, outcome, terms
+        self.beta = np.zeros(len(terms) + 1)
+        self.theta, self.last, self.done, self.steps, self.gram = 1.0, None, False, 0, None
+        self.sums = np.zeros(8)
+
+    def size(self) -> int:
+        k = len(self.beta)
+        return k * k + k + 8
+
+    def partial(self, rows: pd.DataFrame) -> np.ndarray:
+        """Cross products, scores and further sums over some rows, for one Newton step."""
+        x = np.column_stack([np.ones(len(rows)), *(rows[t].to_numpy(float) for t in self.terms)])
+        y = rows[self.outcome].to_numpy(float)
+        eta = x @ self.beta
+        if self.family == "logit":
+            p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            w, r = p * (1 - p), y - p
+            fit = np.where(y > 0, np.log(np.maximum(p, 1e-300)), np.log(np.maximum(1 - p, 1e-300))).sum()
+            more = [fit, len(y), y.sum(), float(((p < 1e-15) | (p > 1 - 1e-15)).sum()), 0, 0, 0, 0]
+        else:
+            t, mu = self.theta, np.exp(np.minimum(eta, 30.0))
+            w, r = mu / (1 + mu / t), (y - mu) / (1 + mu / t)
+            g, g1, g2 = _gamma_sums(y, t)
+            fit = (y * np.log(mu / (mu + t)) + t * np.log(t / (mu + t))).sum() + g
+            first = g1 + (np.log(t / (mu + t)) + 1 - (y + t) / (mu + t)).sum()
+            second = g2 + (1 / t - 2 / (mu + t) + (y + t) / (mu + t) ** 2).sum()
+            more = [fit, len(y), y.sum(), 0, first, second, ((y - mu) ** 2 / (mu + mu * mu / t)).sum(), 0]
+        return np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ r, np.array(more, float)])
+
+    def step(self, total: np.ndarray) -> None:
+        k = len(self.beta)
+        gram, score, self.sums = total[: k * k].reshape(k, k), total[k * k : k * k + k], total[k * k + k :]
+        self.gram, n = gram, self.sums[1]
+        if not n:
+            self.done = True
+            return
+        if not self.steps and self.family != "logit" and not self.beta.any():
+            self.beta[0] = math.log(max(self.sums[2] / n, 1e-6))  # from the mean on
+            self.steps = 1
+            return
+        fit = self.sums[0] if self.family == "logit" else self.sums[0] + n * (-math.lgamma(self.theta))
+        change = np.linalg.lstsq(gram, score, rcond=None)[0]
+        if self.family != "logit":
+            first, second = self.sums[4] - n * _digamma(self.theta), self.sums[5] - n * _trigamma(self.theta)
+            move = -first / second if second < 0 else self.theta  # uphill
+            theta = min(max(self.theta + move, self.theta / 3), self.theta * 3, 1e7)
+            still = abs(theta - self.theta) < 1e-7 * self.theta
+        else:
+            theta, still = self.theta, True
+        settled = self.last is not None and abs(fit - self.last) < 1e-9 * (abs(fit) + 1) and still
+        self.fit, self.last, self.done = fit, fit, settled or np.abs(change).max() < 1e-9 and still
+        self.steps += 1
+        if not self.done:
+            self.beta, self.theta = self.beta + change, theta
+
+    def report(self, null: float | None) -> list[dict]:
+        n, ones = self.sums[1], self.sums[2]
+        if self.family == "logit":
+            share = ones / n if n else 0.5
+            null = n * (share * math.log(share) + (1 - share) * math.log(1 - share)) if 0 < share < 1 else 0.0
+        said = [] if self.done else ["algorithm did not converge"]
+        if self.family == "logit" and self.sums[3]:
+            said.append("fitted probabilities numerically 0 or 1 occurred")
+        whole = {"aic": 2 * (len(self.beta) + (self.family != "logit")) - 2 * self.fit, "mcfadden": 1 - self.fit / null if null else math.nan}
+        whole |= {"warnings": len(said), "warning_messages": ";".join(said)} | ({} if self.family == "logit" else {"theta": self.theta, "chisq": self.sums[6]})
+        return _terms(self.terms, self.beta, np.linalg.pinv(self.gram), whole)
+
+
+def _passes(rows: DataFrame, fits: list[Fit], most: int) -> None:
+    """Newton steps for all models at once: each is one pass over the rows, of which only sums come to the driver."""
+    used = list(dict.fromkeys(c for f in fits for c in (f.outcome, *f.terms)))
+    table = kept(rows.select(*used).dropna())
+    for _ in range(most):
+        if not (open_ := [f for f in fits if not f.done]):
+            break
 
+        def sums(batches: Iterator[pd.DataFrame], models: list[Fit] = open_) -> Iterator[pd.DataFrame]:
+            total = None
+            for b in batches:
+                part = np.concatenate([m.partial(b) for m in models])
+                total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"k": np.arange(len(total), dtype=np.int32), "v": total})
+
+        got = table.mapInPandas(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(sum(f.size() for f in open_))
+        for r in got:
+            flat[r["k"]] = r["v"]
+        at = 0
+        for f in open_:
+            f.step(flat[at : at + f.size()])
+            at += f.size()
 
-def logit(rows: DataFrame, outcome: str, x: list[str], steps: int = 25) -> list[dict]:
-    """ST8: logistic regression by Newton steps: coef, odds ratio, z, p of each term, with AIC and McFadden."""
-    y, beta, last = F.col(outcome).cast("double"), np.zeros(len(x) + 1), None
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-_eta(x, beta)))
-        gram, score, (fit, n, ones) = _gram(rows, x, p * (1 - p), y - p, [y * F.log(F.greatest(p, F.lit(1e-300))) + (1 - y) * F.log(F.greatest(1 - p, F.lit(1e-300))), F.lit(1.0), y])
-        step = np.linalg.lstsq(gram, score, rcond=None)[0]
-        beta = beta + step
-        if last is not None and abs(fit - last) < 1e-9 * (abs(fit) + 1):
-            break
-        last = fit
-    cov = np.linalg.pinv(gram)
-    share = ones / n if n else 0.5
-    null = n * (share * math.log(share) + (1 - share) * math.log(1 - share)) if 0 < share < 1 else 0.0
-    return _terms(x, beta, cov, {"aic": 2 * (len(x) + 1) - 2 * fit, "mcfadden": 1 - fit / null if null else math.nan})
+
+def logit_models(rows: DataFrame, outcome: str, formulas: dict[int, list[str]]) -> list[dict]:
+    """ST8: logistic regressions: coef, odds ratio, z, p of each term, with AIC, McFadden and warnings of its formula."""
+    fits = {k: Fit("logit", outcome, x) for k, x in formulas.items()}
+    _passes(rows, list(fits.values()), 26)
+    return [{"formula": k, **t} for k, f in fits.items() for t in f.report(None)]
+
+
+def nb_models(rows: DataFrame, outcomes: list[str], formulas: dict[int, list[str]]) -> list[dict]:
+    """ST9: negative-binomial regressions, coefficients and theta in turn; McFadden is against the model of the mean alone."""
+    null = {d: Fit("nb", d, []) for d in outcomes}
+    fits = {(d, k): Fit("nb", d, x) for d in outcomes for k, x in formulas.items()}
+    _passes(rows, [*null.values(), *fits.values()], 100)
+    return [{"d": d, "formula": k, **t} for (d, k), f in fits.items() for t in f.report(null[d].fit)]
+
+
+def logit(rows: DataFrame, outcome: str, x: list[str]) -> list[dict]:
+    """One logistic regression."""
+    return logit_models(rows, outcome, {0: x})
+
+
+def negative_binomial(rows: DataFrame, outcome: str, x: list[str]) -> list[dict]:
+    """One negative-binomial regression."""
+    return nb_models(rows, [outcome], {0: x})
 
 
 def _terms(x: list[str], beta: np.ndarray, cov: np.ndarray, whole: dict) -> list[dict]:
@@ -204,36 +340,6 @@ def _terms(x: list[str], beta: np.ndarray, cov: np.ndarray, whole: dict) -> list
     return out
 
 
-def negative_binomial(rows: DataFrame, outcome: str, x: list[str], rounds: int = 30) -> list[dict]:
-    """ST9: negative-binomial regression: weighted least squares for the coefficients and Newton steps for theta, in turn.
-
-    Each step is one aggregation; digamma and trigamma sums over theta + y are taken over the counts' histogram.
-    """
-    y = F.col(outcome).cast("double")
-    mean, n = rows.agg(F.avg(y), F.count(y)).first()
-    beta, theta = np.r_[math.log(max(mean or 1e-6, 1e-6)), np.zeros(len(x))], 1.0
-    hist = [(float(r[0]), int(r[1])) for r in rows.groupBy(y.alias("y")).count().collect()]
-    for _ in range(rounds):
-        mu = F.exp(F.least(_eta(x, beta), F.lit(30.0)))
-        w = mu / (1 + mu / theta)
-        gram, score, (s1, s2) = _gram(rows, x, w, (y - mu) / (1 + mu / theta), [F.log(mu + theta) + (y + theta) / (mu + theta), 1 / (mu + theta) * 2 - (y + theta) / ((mu + theta) * (mu + theta))])
-        step = np.linalg.lstsq(gram, score, rcond=None)[0]
-        beta = beta + step
-        first = sum(c * _digamma(v + theta) for v, c in hist) - n * _digamma(theta) + n * math.log(theta) + n - s1
-        second = sum(c * _trigamma(v + theta) for v, c in hist) - n * _trigamma(theta) + n / theta - s2
-        change = first / second if second else 0.0
-        new = theta - change if theta - change > 0 else theta / 2
-        new = min(new, 1e7)
-        if np.abs(step).max() < 1e-8 and abs(new - theta) < 1e-6 * theta:
-            theta = new
-            break
-        theta = new
-    mu = F.exp(F.least(_eta(x, beta), F.lit(30.0)))
-    _, _, (chi, fit) = _gram(rows, x, F.lit(0.0), F.lit(0.0), [(y - mu) * (y - mu) / (mu + mu * mu / theta), y * F.log(mu / (mu + theta)) + theta * F.log(theta / (mu + theta))])
-    fit += sum(c * (math.lgamma(v + theta) - math.lgamma(theta) - math.lgamma(v + 1)) for v, c in hist)
-    return _terms(x, beta, np.linalg.pinv(gram), {"theta": theta, "aic": 2 * (len(x) + 2) - 2 * fit, "chisq": chi})
-
-
 def _digamma(x: float) -> float:
     out = 0.0
     while x < 10:

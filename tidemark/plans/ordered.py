@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
+from tidemark.functions import derived as D
 from tidemark.operators import dag as G
 from tidemark.operators import joins as J
+from tidemark.operators import rollups as R
 from tidemark.operators import stats as S
 from tidemark.operators import windows as W
 from tidemark.plans.registry import query
@@ -100,26 +104,79 @@ query("jn3_snapshot_changes", """WITH p AS (SELECT coalesce(o.snapshot_index, n.
 
 # --- statistics ---
 
-_VARS = ["fl", "fc", "cnd", "loac", "age"]
+_VARS = ["fc", "fl", "cnd", "neg", "loac", "loacratio", "loc", "age", "mrc", "pc"]
+_KNOWN = "(SELECT *, loac / loc::DOUBLE AS loacratio, commits / loc::DOUBLE AS commitsratio, lch / loc::DOUBLE AS lchratio, lofc / loc::DOUBLE AS lofcratio FROM {joint} WHERE age IS NOT NULL AND mrc IS NOT NULL AND pc IS NOT NULL)"
+#: As many annotated functions as others: SMP3 over complete rows.
+_EVEN = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fl > 0 ORDER BY uid * 7919 % 10007, uid, snapshot_index) AS r_ FROM {_KNOWN}),
+  (SELECT min(c) AS c_ FROM (SELECT count(*) AS c FROM {_KNOWN} GROUP BY fl > 0)) WHERE r_ <= c_)"""
+_SIZES = "CASE WHEN abs(rho) < 0.2 THEN 'very weak' WHEN abs(rho) < 0.4 THEN 'weak' WHEN abs(rho) < 0.6 THEN 'moderate' WHEN abs(rho) < 0.8 THEN 'strong' ELSE 'very strong' END"
+
+
+def _tail(density: str, x: str) -> str:
+    """Two-sided tail of a density in t beyond x, by Simpson's rule over 400 steps."""
+    return f"greatest(0, 1 - 2 * ({x}) / 1200 * list_sum(list_transform(range(0, 401), lambda k: (CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('@', f'(k * ({x}) / 400)')})))"
+
+
+_NORMAL = "exp(-@ * @ / 2) / sqrt(2 * pi())"
+_STUDENT = "exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt((n - 2) * pi()) * pow(1 + @ * @ / (n - 2), -(n - 1) / 2.0::DOUBLE)"
+
+
+def _rho(d: str, i: str, rows: str, head: str = "", where: str = "true") -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+    return f"SELECT {head}'{d}' AS d, '{i}' AS i, count(*) AS n, corr(x, y) AS rho FROM (SELECT {rank(i)} AS x, {rank(d)} AS y FROM {rows} WHERE {where})"
+
+
+def _rhos(parts: list[str], head: str = "") -> str:
+    t = "least(abs(rho * sqrt((n - 2) / (1 - rho * rho))), 40)"
+    return f"SELECT {head}d, i, n, round(rho, 6) AS rho, round({_tail(_STUDENT, 'tt')}, 6) + 0.0 AS p, {_SIZES} AS magnitude FROM (SELECT *, {t} AS tt FROM ({' UNION ALL '.join(parts)}))"
+
 
+def _joint(v):
+    ratio = lambda c: (C(c) / C("loc")).alias(f"{c}ratio")
+    return v.joint.select("*", ratio("loac"), ratio("commits"), ratio("lch"), ratio("lofc"))
 
-def _rho(d: str, i: str, by: str = "") -> str:
-    part = f"PARTITION BY {by}" if by else ""
-    key, head = (f"{by}, ", f"{by}, ") if by else ("", "")
-    rank = lambda c: f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {key}{c}) - 1) / 2.0::DOUBLE"
-    return f"SELECT {head}'{d}' AS d, '{i}' AS i, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT {head}{rank(i)} AS x, {rank(d)} AS y FROM {{joint}} WHERE {i} IS NOT NULL AND {d} IS NOT NULL) {'GROUP BY ' + by if by else ''}"
 
+def _st1(v):
+    rows = S.complete(_joint(v))
+    even = R.balanced(rows, C("fl") > 0, [C("uid") * 7919 % 10007, C("uid"), C("snapshot_index")])
+    parts = [S.spearman(x, ["loc", "commits", "lch"], _VARS).withColumn("balanced", F.lit(b)) for x, b in ((rows, "F"), (even, "T"))]
+    return parts[0].unionByName(parts[1])
 
-query("st1_spearman", " UNION ALL ".join(_rho(d, i) for d in ("loc", "commits", "lch") for i in _VARS))(lambda v: S.spearman(v.joint, ["loc", "commits", "lch"], _VARS))
-query("st2_spearman_by_snapshot", " UNION ALL ".join(_rho("lch", i, "snapshot_index") for i in _VARS[:3]))(lambda v: S.spearman(v.joint, ["lch"], _VARS[:3], ["snapshot_index"]))
-query("st3_spearman_ratios", _rho("lch", "loac").replace("{joint}", "(SELECT lch / loc::DOUBLE AS lch, loac / loc::DOUBLE AS loac FROM {joint})"))(
-    lambda v: S.spearman(v.joint.select((C("lch") / C("loc")).alias("lch"), (C("loac") / C("loc")).alias("loac")), ["lch"], ["loac"]))
+
+_ST1 = [_rho(d, i, rows, f"'{b}' AS balanced, ") for rows, b in ((_KNOWN, "F"), (_EVEN, "T")) for d in ("loc", "commits", "lch") for i in _VARS if i != d]
+query("st1_spearman", _rhos(_ST1, "balanced, "))(_st1)
+_EXT = ["cnd", "fc", "fl", "loac", "loc", "neg"]
+_SUBSETS = [(0, 0, "true"), (0, 1, "fl > 0"), (1, 0, "commits > 0"), (1, 1, "commits > 0 AND fl > 0")]
+
+
+def _st2(v):
+    rows = v.joint.fillna(0)
+    out = [S.spearman(rows.filter(w), ["commits", "lch"], _EXT).select(F.lit(a).alias("changed_only"), F.lit(b).alias("annotated_only"), "d", "i", "n", "rho") for a, b, w in _SUBSETS]
+    return functools.reduce(lambda x, y: x.unionByName(y), out)
+
+
+query("st2_spearman_subsets", "SELECT changed_only, annotated_only, d, i, n, round(rho, 6) AS rho FROM (" + " UNION ALL ".join(_rho(d, i, "{joint}", f"{a} AS changed_only, {b} AS annotated_only, ", w) for a, b, w in _SUBSETS for d in ("commits", "lch") for i in _EXT) + ")")(_st2)
+_LEGACY = ["loc", "fl", "fc", "cnd", "neg", "loac", "lofc", "loacratio", "lofcratio"]
+query("st3_spearman_ratios", _rhos([_rho(d, i, _KNOWN) for d in ("commits", "lch", "commitsratio", "lchratio") for i in _LEGACY]))(
+    lambda v: S.spearman(S.complete(_joint(v)), ["commits", "lch", "commitsratio", "lchratio"], _LEGACY))
 _SPLITS = {"fl": "fl > 0", "fc": "fc > 1", "cnd": "cnd > 0", "neg": "neg > 0"}
-_DIFF = " UNION ALL ".join(f"""SELECT '{k}' AS split, n_trt, n_ctrl, u, round((u - n_trt * n_ctrl / 2::DOUBLE - sign(u - n_trt * n_ctrl / 2::DOUBLE) * 0.5) / sqrt(n_trt::DOUBLE * n_ctrl / 12 * ((n_trt + n_ctrl + 1) - t / ((n_trt + n_ctrl)::DOUBLE * (n_trt + n_ctrl - 1)))), 6) AS z,
+
+
+def _diff(rows: str, head: str = "") -> str:
+    one = lambda k, c: f"""SELECT {head}'{k}' AS split, n_trt, n_ctrl, u, (u - n_trt * n_ctrl / 2::DOUBLE - sign(u - n_trt * n_ctrl / 2::DOUBLE) * 0.5) / sqrt(n_trt::DOUBLE * n_ctrl / 12 * ((n_trt + n_ctrl + 1) - t / ((n_trt + n_ctrl)::DOUBLE * (n_trt + n_ctrl - 1)))) AS z,
   round(2 * u / (n_trt::DOUBLE * n_ctrl) - 1, 6) AS delta FROM (SELECT count(*) FILTER ({c}) AS n_trt, count(*) FILTER (NOT ({c})) AS n_ctrl, sum(r) FILTER ({c}) - count(*) FILTER ({c}) * (count(*) FILTER ({c}) + 1) / 2::DOUBLE AS u
-  FROM (SELECT *, rank() OVER (ORDER BY lch) + (count(*) OVER (PARTITION BY lch) - 1) / 2.0::DOUBLE AS r FROM {{joint}})), (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*)::DOUBLE AS c FROM {{joint}} GROUP BY lch))""" for k, c in _SPLITS.items())
-query("st4_mann_whitney", f"SELECT split, n_trt, n_ctrl, u, z FROM ({_DIFF})")(lambda v: S.group_differences(v.joint, "lch", {k: F.expr(c) for k, c in _SPLITS.items()}).drop("delta"))
-query("st5_cliffs_delta", f"SELECT split, delta FROM ({_DIFF})")(lambda v: S.group_differences(v.joint, "lch", {k: F.expr(c) for k, c in _SPLITS.items()}).select("split", "delta"))
+  FROM (SELECT *, rank() OVER (ORDER BY lch) + (count(*) OVER (PARTITION BY lch) - 1) / 2.0::DOUBLE AS r FROM {rows})), (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*)::DOUBLE AS c FROM {rows} GROUP BY lch))"""
+    return " UNION ALL ".join(one(k, c) for k, c in _SPLITS.items())
+
+
+query("st4_mann_whitney", f"SELECT split, n_trt, n_ctrl, u, round(z, 6) AS z, round({_tail(_NORMAL, 'least(abs(z), 12)')}, 6) + 0.0 AS p FROM ({_diff('{joint}')})")(
+    lambda v: S.group_differences(v.joint, "lch", {k: F.expr(c) for k, c in _SPLITS.items()}).drop("delta"))
+query("st5_cliffs_delta", f"SELECT split, delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM ({_diff('{joint}')})")(
+    lambda v: S.group_differences(v.joint, "lch", {k: F.expr(c) for k, c in _SPLITS.items()}).select("split", "delta", D.delta_magnitude(C("delta")).alias("magnitude")))
+_FOLDS = 4
+query("st5_cliffs_delta_folds", "SELECT split, count(*) AS folds, round(avg(delta), 5) AS delta, round(stddev_samp(delta), 5) AS sd_delta FROM (" + " UNION ALL ".join(f"({_diff(f'(SELECT * FROM {{joint}} WHERE uid * 7919 % 10007 % {_FOLDS} = {k})')})" for k in range(_FOLDS)) + ") GROUP BY split")(
+    lambda v: S.group_differences(v.joint.withColumn("fold", C("uid") * 7919 % 10007 % _FOLDS), "lch", {k: F.expr(c) for k, c in _SPLITS.items()}, ["fold"])
+    .groupBy("split").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("delta"), 5).alias("delta"), F.round(F.stddev_samp("delta"), 5).alias("sd_delta")))
 
 
 def _tables(v):
@@ -129,28 +186,29 @@ def _tables(v):
 query("st6_fisher_exact")(lambda v: S.fisher_table(_tables(v), ("a", "b", "c", "d"), ["snapshot_index"]))
 query("st7_group_splits", "SELECT count(*) FILTER (fl > 0) AS fl, count(*) FILTER (fc > 1) AS fc, count(*) FILTER (cnd > 0) AS cnd, count(*) FILTER (neg > 0) AS neg, count(*) FILTER (loc > (SELECT median(loc) FROM {joint})) AS loc FROM {joint}")(
     lambda v: v.joint.crossJoin(v.joint.agg(F.median("loc").alias("m"))).agg(*[F.count_if(c).alias(k) for k, c in (("fl", C("fl") > 0), ("fc", C("fc") > 1), ("cnd", C("cnd") > 0), ("neg", C("neg") > 0), ("loc", C("loc") > C("m")))]))
-_TERM = "term string, coef double, odds_ratio double, z double, p double, aic double, mcfadden double"
+_TERM = "formula int, term string, coef double, odds_ratio double, z double, p double, aic double, mcfadden double, warnings int, warning_messages string"
 
 
-def _plain(x):
-    return float(x) if isinstance(x, float) else x
+def _report(v, rows: list[dict], schema: str):
+    names = [c.split()[0] for c in schema.split(", ")]
+    return v.spark.createDataFrame([tuple(float(r[c]) if isinstance(r[c], float) else r[c] for c in names) for r in rows], schema)
 
 
 def _logit(v):
-    rows = v.joint.select((C("lch") > 40).cast("int").alias("y"), F.log2("loc").alias("log2loc"), "fl", "fc", "cnd", "neg")
-    out = [{"formula": k, **t} for k in (1, 3) for t in S.logit(rows, "y", S.FORMULAS[k])]
-    return v.spark.createDataFrame([tuple(_plain(o[c]) for c in ("formula", "term", "coef", "odds_ratio", "z", "p", "aic", "mcfadden")) for o in out], "formula int, " + _TERM)
+    rows = S.regressors(S.complete(v.joint).withColumn("changed", (C("commits") > 0).cast("int")), "changed")
+    return _report(v, S.logit_models(rows, "changed", S.FORMULAS), _TERM)
 
 
 def _nb(v):
-    rows = v.joint.select("lch", "fl", F.log2("loc").alias("log2loc"))
-    out = S.negative_binomial(rows, "lch", S.FORMULAS[1])
-    return v.spark.createDataFrame([tuple(_plain(o[c]) for c in ("term", "coef", "z", "p", "theta", "aic", "chisq")) for o in out], "term string, coef double, z double, p double, theta double, aic double, chisq double")
+    rows = S.regressors(S.complete(v.joint), "commits", "lch")
+    return _report(v, S.nb_models(rows, ["commits", "lch"], S.FORMULAS), "d string, " + _TERM + ", theta double, chisq double")
 
 
 query("st8_logit")(_logit)
 query("st9_negative_binomial")(_nb)
-query("st10_formulas", "SELECT * FROM (VALUES (1, 'fl'), (3, 'log2loc + fl')) t(formula, terms)")(lambda v: v.spark.createDataFrame([(k, " + ".join(S.FORMULAS[k])) for k in (1, 3)], "formula int, terms string"))
+_C = "log2loc + log2mrc + log2pc + log2age"
+query("st10_formulas", f"SELECT * FROM (VALUES (0, '{_C}'), (1, 'cnd + fc + neg + loacratio + {_C}'), (2, 'cnd + fl + neg + loacratio + {_C}'), (3, 'cnd + fc + fl + neg + loacratio + {_C}'), (4, 'log2cnd + log2fc + log2neg + loacratio + {_C}'), (5, 'log2cnd + log2fl + log2neg + loacratio + {_C}'), (6, 'log2cnd + log2fc + log2fl + log2neg + loacratio + {_C}')) t(formula, terms)")(
+    lambda v: v.spark.createDataFrame([(k, " + ".join(x)) for k, x in S.FORMULAS.items()], "formula int, terms string"))
 query("st11_effect_summaries", "SELECT d, i, round(min(abs(rho)), 4) AS absmin, round(median(rho), 4) AS median, round(max(abs(rho)), 4) AS absmax FROM {models} GROUP BY d, i")(
     lambda v: v.models.groupBy("d", "i").agg(F.round(F.min(F.abs("rho")), 4).alias("absmin"), F.round(F.median("rho"), 4).alias("median"), F.round(F.max(F.abs("rho")), 4).alias("absmax")))
 query("st12_plot_inputs", "SELECT CAST(floor(log2(loc + 1)) AS BIGINT) AS x, CAST(floor(log2(lch + 1)) AS BIGINT) AS y, count(*) AS n FROM {joint} GROUP BY 1, 2")(
