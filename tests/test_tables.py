@@ -54,3 +54,22 @@ def test_features_from_xml(spark, tmp_path):
 def test_rounding(spark):
     r = spark.range(1).select(D.rounded_int(F.lit(2.5)).alias("even"), D.java_round(F.lit(-2.5)).alias("java")).first()
     assert (r.even, r.java) == (2, -2)
+
+
+def test_sinks(spark, tmp_path):
+    import pytest
+
+    from tidemark.sources import sinks
+
+    rows = spark.createDataFrame([(0, "2020-01-01", 5), (1, "2020-02-01", None)], "snapshot_index int, snapshot_date string, n int")
+    commits = spark.createDataFrame([(0, "a"), (1, "b")], "snapshot_index int, commit_id string")
+    sinks.write_snapshots(rows, commits, str(tmp_path / "overview"), str(tmp_path / "bridge"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write(rows, str(tmp_path / "overview"))
+    sinks.write(rows.limit(1), str(tmp_path / "overview"), force=True)
+    assert sinks.read_back(spark, str(tmp_path / "overview"), rows).count() == 1
+    sinks.append(rows, str(tmp_path / "overview"))
+    assert sinks.read_back(spark, str(tmp_path / "overview"), rows).count() == 3
+    sinks.write_by_snapshot(rows, str(tmp_path / "by"))
+    sinks.write_by_snapshot(rows.filter("snapshot_index = 1").withColumn("n", rows.snapshot_index + 8), str(tmp_path / "by"))
+    assert sorted(r.n for r in spark.read.option("header", True).schema("snapshot_index int, n int, snapshot_date string").csv(str(tmp_path / "by")).collect()) == [5, 9]

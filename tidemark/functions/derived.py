@@ -113,6 +113,19 @@ def rename_distance(a: Column, b: Column) -> Column:
     return F.when(d <= limit, d / limit).otherwise(F.lit(float("inf")))
 
 
+def common_lines(old: Column, new: Column) -> Column:
+    """FN3: the part of both texts' lines that they share, white space aside; lines are counted, their order isn't.
+
+    (total - deleted - added) / total, where total is the lines of both texts.
+    """
+    lines = lambda t: F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != "")
+    a, b = lines(old), lines(new)
+    times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
+    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
+
+
 def keywords_found(message: Column, keywords: list[str]) -> Column:
     """FN4: the keywords that a message contains, in order, joined by blanks."""
     low = F.lower(message)
