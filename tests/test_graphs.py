@@ -62,3 +62,16 @@ def test_days_always_grow(spark):
     rows = spark.createDataFrame([(0, i, d) for i, d in enumerate(["2020-01-05", "2020-01-05", "2020-01-04", "2020-01-09", "2020-01-08"])], "project int, i int, d string")
     days = [str(r.day) for r in W.increasing_days(rows.selectExpr("project", "i", "to_date(d) AS d"), "d", "project", "i").orderBy("i").collect()]
     assert days == ["2020-01-05", "2020-01-06", "2020-01-07", "2020-01-09", "2020-01-10"]
+
+
+def test_moves_by_name_then_by_source(spark):
+    from tidemark.operators.diffmap import moves_merged
+
+    rows = [
+        (1, 0, 0, "DEL", "a/f", "f", "a.c", 0, 9, 3, "int f() { return 1; }"), (1, 0, 1, "ADD", "b/f", "f", "b.c", 7, 0, 8, "something else"),
+        (1, 0, 2, "DEL", "a/g", "g", "a.c", 0, 5, 20, "int g(int x) { return x + 1; }"), (1, 0, 3, "ADD", "a/h", "h", "a.c", 6, 0, 20, "int h(int x) { return x + 1; }"),
+        (1, 0, 4, "DEL", "a/k", "k", "a.c", 0, 5, 40, "zzzzzzzz"), (1, 0, 5, "MOD", "a/m", "m", "a.c", 1, 1, 60, None), (2, 0, 0, "DEL", "a/f", "f", "a.c", 0, 9, 3, None),
+    ]
+    schema = "commit_id long, parent long, hunk int, mod_type string, id string, name string, file string, added int, deleted int, start int, source string"
+    got = sorted((r.commit_id, r.mod_type, r.id, r.new_id, r.added, r.deleted) for r in moves_merged(spark.createDataFrame(rows, schema)).fillna("-").collect())
+    assert got == [(1, "DEL", "a/k", "-", 0, 5), (1, "MOD", "a/m", "-", 1, 1), (1, "MOVE", "a/f", "b/f", 7, 9), (1, "MOVE", "a/g", "a/h", 6, 5), (2, "DEL", "a/f", "-", 0, 9)]

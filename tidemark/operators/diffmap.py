@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import similar_moves
+
 COMMIT = ["commit_id", "parent"]
 HUNK = "commit_id long, parent long, hunk int, mod_type string, id string, name string, file string, added int, deleted int, new_id string, new_file string"
 
@@ -58,23 +60,11 @@ def merged_mods(changes: DataFrame) -> DataFrame:
     return changes.filter("mod_type <> 'MOD'").select(*key, "added", "deleted", "mod_type").unionByName(mods)
 
 
-def _similarity(a: str, b: str, least: float) -> float:
-    longest = max(len(a), len(b), 1)
-    if min(len(a), len(b)) < least * longest:
-        return 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return (longest - row[-1]) / longest
-
-
-def match_moves(pdf: pd.DataFrame, least: float = 0.6) -> list[tuple[int, int]]:
+def match_moves(pdf: pd.DataFrame, similar: dict[tuple[str, str], float]) -> list[tuple[int, int]]:
     """GR13: pairs (row of a DEL, row of an ADD) of one commit and parent that are moves.
 
     Functions of one name first: within a file the ADD that starts where the DEL was, then the first one there, then what is left in
-    order. Then functions of other names whose sources are similar, the most similar first; a name is used once. Ties go by file
+    order. Then functions of other names whose sources are similar (by the ids of a DEL and an ADD), the most similar first; a name is used once. Ties go by file
     and id.
     """
     gone, came = pdf[pdf.mod_type == "DEL"], pdf[pdf.mod_type == "ADD"]
@@ -94,7 +84,7 @@ def match_moves(pdf: pd.DataFrame, least: float = 0.6) -> list[tuple[int, int]]:
     fuzzy = [
         (-s, d.file, d.id, a.file, a.id, d, a)
         for d in order(gone).itertuples() if d.Index not in taken
-        for a in order(came).itertuples() if a.Index not in used and (s := _similarity(d.source or "", a.source or "", least)) >= least
+        for a in order(came).itertuples() if a.Index not in used and (s := similar.get((d.id, a.id))) is not None
     ]
     names: set[tuple[str, str]] = set()
     for *_, d, a in sorted(fuzzy, key=lambda x: x[:5]):
@@ -107,9 +97,9 @@ def match_moves(pdf: pd.DataFrame, least: float = 0.6) -> list[tuple[int, int]]:
     return pairs
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge(pdf: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.reset_index(drop=True)
-    pairs = match_moves(pdf)
+    pairs = match_moves(pdf, dict(zip(zip(scored["deleted"], scored["added"]), scored["similarity"])))
     gone = {i for p in pairs for i in p}
     out = pdf[~pdf.index.isin(gone)].assign(new_id=None, new_file=None)
     moves = [
@@ -123,9 +113,16 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 def moves_merged(changes: DataFrame) -> DataFrame:
     """GR13: change rows in which matching ADD and DEL rows of a commit and parent have become one MOVE.
 
-    changes: HUNK's columns up to deleted, with start and source. Greedy matching is sequential, so each (commit, parent) is a group.
+    changes: HUNK's columns up to deleted, with start and source. Similar sources are found by a join and scored before; only greedy matching
+    is sequential, and only commits with a DEL and an ADD go through it, each (commit, parent) as a group.
     """
-    return changes.groupBy(*COMMIT).applyInPandas(_merge, HUNK)
+    both = changes.groupBy(*COMMIT).agg(F.max((F.col("mod_type") == "DEL").cast("int")).alias("d_"), F.max((F.col("mod_type") == "ADD").cast("int")).alias("a_")).filter("d_ + a_ = 2").select(*COMMIT)
+    plain = changes.join(both, COMMIT, "left_anti").select(*[c.split()[0] for c in HUNK.split(", ")[:-2]], F.lit(None).cast("string").alias("new_id"), F.lit(None).cast("string").alias("new_file"))
+    some = changes.join(both, COMMIT, "left_semi")
+    source = lambda m: some.filter(F.col("mod_type") == m).select(*COMMIT, "id", F.coalesce("source", F.lit("")).alias("source")).distinct()
+    scored = similar_moves(source("DEL"), source("ADD"), COMMIT, "source").groupBy(*COMMIT, "deleted", "added").agg(F.max("similarity").alias("similarity"))
+    scored = scored.withColumnsRenamed({c: f"of_{c}" for c in COMMIT})
+    return plain.unionByName(some.groupBy(*COMMIT).cogroup(scored.groupBy(*[f"of_{c}" for c in COMMIT])).applyInPandas(_merge, HUNK))
 
 
 def reattributed(changes: DataFrame) -> DataFrame:
