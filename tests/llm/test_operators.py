@@ -323,6 +323,16 @@ def test_copies_within_a_flush_are_all_listed(spark):
     assert sorted(r.doc_id for r in got) == list(range(50)) and {r.n_words for r in got} == {81}
 
 
+def test_positions_beyond_the_low_bits(monkeypatch):
+    texts = pa.array([words(3000, 1), words(500, 2) + " " + words(3000, 1)])
+    want = substring.occurrences(texts, np.array([1, 2]), 50, 8)
+    monkeypatch.setattr(substring, "_POSITION_BITS", 4)
+    got = substring.occurrences(texts, np.array([1, 2]), 50, 8)
+    assert all((a == b).all() for a, b in zip(got, want))
+    both = [set(got[0][got[1] == d].tolist()) for d in (1, 2)]
+    assert len(both[0] - both[1]) <= 2 and len(both[0]) > 50
+
+
 # --- 4 language model ---
 
 
@@ -608,6 +618,44 @@ def test_every_turn_is_new_once_and_windows_fit(spark):
     assert set(aims) == {(c, x) for (c, _), (r, x) in texts.items() if r == "assistant"}
 
 
+def plain_windows(turns, budget, history):
+    """Windows of one conversation's (turn, role, text, tokens) by trying every span: (first, last, repeated turns, targets' texts, tokens)."""
+    lead = list(itertools.takewhile(lambda t: t[1] == "system", turns))
+    rest, out, at = turns[len(lead) :], [], 0
+    held = sum(t[3] for t in lead)
+    if not rest:
+        return [(lead[0][0], lead[-1][0], 0, [], held)] if lead else []
+    while at < len(rest):
+        back = min((b for b in range(at + 1) if sum(t[3] for t in rest[b:at]) <= history))
+        if held + sum(t[3] for t in rest[back : at + 1]) > budget:
+            back = at
+        end = max([at + 1, *(e for e in range(at + 1, len(rest) + 1) if held + sum(t[3] for t in rest[back:e]) <= budget)])
+        new = rest[at:end]
+        out.append((new[0][0], new[-1][0], at - back, [t[2] for t in new if t[1] == "assistant"], held + sum(t[3] for t in rest[back:end])))
+        at = end
+    return out
+
+
+def test_windows_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(12):
+        for t in range(rng.randrange(1, 40)):
+            role = "system" if t < c % 3 else rng.choice(["user", "assistant", "tool"])
+            rows.append((c, t, role, words(rng.choice([0, 1, 5, 30, 90]), 100 * c + t)))
+    rows += [(50, t, ("user", "assistant")[t % 2], words(3, t)) for t in range(3000)]  # a very long conversation
+    rows += [(51, 0, "user", words(4000, 1)), (51, 1, "assistant", words(5, 2)), (51, 2, "user", words(5, 3))]  # a long turn, then history
+    from tidemark.llm.fertility import Vocabularies
+
+    cut = Vocabularies(TOKENIZERS).bytes.encode_ordinary
+    want = {}
+    for c, own in itertools.groupby(rows, key=lambda r: r[0]):
+        turns = [(t, r, x, chat.FRAME + len(cut(x))) for _, t, r, x in own]
+        want |= {(c, i): w for i, w in enumerate(plain_windows(turns, 300, 90))}
+    got = {(w.conv_id, w.window): (w.first_turn, w.last_turn, w.n_repeated, [w.text[s.begin : s.end] for s in w.targets], w.n_tokens) for w in chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 300, 90).collect()}
+    assert got == want
+
+
 # --- 8 toxicity, 10 quality ---
 
 

@@ -4,8 +4,11 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.helpers import awkward, empty, frame, words
+from tests.llm.test_operators import PROSE
 from tests.test_oracles import plain
 from tidemark.llm import fertility, queries
 from tidemark.sources.views import TABLES
@@ -87,6 +90,33 @@ def test_run_is_the_stages_in_turn(spark, stages):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, stages[-1].values.tolist()))
 
 
+def test_windows_queue_in_the_order_that_mixing_stored(spark, tmp_path):
+    rows = [(i, words(30, i), "en", "src1") for i in range(30)]
+    for name, order in (("up", "doc_id"), ("down", "-doc_id")):
+        frame(spark, rows).orderBy(F.expr(order)).coalesce(1).write.parquet(str(tmp_path / name))
+    up, down = ([r.doc_id for r in corpus_pipeline.windows(spark, spark.read.parquet(str(tmp_path / n)), SF).orderBy("window_id", "offset").collect()] for n in ("up", "down"))
+    assert up == list(range(30)) and down == up[::-1]
+
+
+@pytest.mark.parametrize("rows", [awkward, empty], ids=["awkward", "empty"])
+def test_stages_take_awkward_tables(spark, rows):
+    docs = rows(spark)
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.durable(stage(spark, docs, SF))
+        if i < 4:
+            assert docs.columns == columns
+            for r in docs.collect():  # columns of clashing names keep their values
+                assert r["label"] == "label" and r["position"] == "position" and r["n_tokens"] == "n_tokens" and r["row"] == "row"
+    if rows is empty:
+        assert docs.count() == 0
+
+
+def test_quality_stage_keeps_real_prose(spark):
+    docs = frame(spark, [(i, t, lang, "src0") for i, (lang, t) in enumerate(PROSE.items())])
+    assert corpus_pipeline.quality_rules(spark, docs, SF).count() == len(PROSE)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()

@@ -60,6 +60,7 @@ def mix_sources(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    added: tuple[str, str] | None = ("n_tokens", "position"),
 ) -> DataFrame:
     """All documents, range-sorted by training position, with n_tokens and position added.
 
@@ -72,9 +73,9 @@ def mix_sources(
     NULL, empty and blank texts hold no tokens and share the position of the next document of their source. NULL
     source: a source of its own, with the weights of None or the default's. NULL doc_id: first in its source.
     Repeated rows and ties: each row is placed, ties in order of token count. doc_ids may lie anywhere in 64 bits. Empty tables: no rows. Columns
-    of docs named n_tokens or position give way to the added ones; others are kept, whatever their names.
+    of docs that are named like the added ones give way to them; others are kept, whatever their names. added=None adds none and keeps all.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "position")]
+    kept = [c for c in docs.columns if c.lower() not in (added or ())]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -94,7 +95,7 @@ def mix_sources(
         placed.select("row", "n_tokens", F.expr(f"CAST(floor({_position(horizon, knots)}) AS BIGINT)").alias("position"), "skey", "before")
         .repartitionByRange("position", "skey", "before")
         .sortWithinPartitions("position", "skey", "before")
-        .select("row.*", "n_tokens", "position")
+        .select("row.*", *([F.col("n_tokens").alias(added[0]), F.col("position").alias(added[1])] if added else []))
     )
 
 

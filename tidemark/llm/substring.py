@@ -2,10 +2,11 @@
 
 Seeds are winnowed anchors: in every stretch of `threshold` words the k-gram with the least hash. Documents
 meet on their anchors: each occurrence goes to the part of its anchor's hash, with the hashes of all
-threshold-long windows around it that it is the anchor of. There every seed is extended word by word to the left and
-to the right as long as the window that holds it recurs in another document, and runs that touch, from one seed or
+threshold-long windows around it that it is the anchor of. There every seed is extended to the left and
+to the right, a word at a time, as long as the window that holds it recurs in another document, and runs that touch, from one seed or
 the next, are joined to maximal repeats. Two documents that share `threshold` words share the anchor of
-those words, so nothing is missed; work and output are linear in the occurrences, never in their pairs.
+those words, so nothing is missed. Windows are extended, not pairs of documents, since pairs grow with the square of a passage's
+copies: work and output are linear in the occurrences. Windows are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from tidemark.llm.kit import U64, by_part, chunked, gram_hashes, mix, owners, pa
 PART_WINDOWS = 1_000_000
 #: Bytes of windows that a task gathers before it sends them off.
 FLUSH_BYTES = 16 << 20
-_POSITION = U64((1 << 24) - 1)
+#: Low bits of a sort key that hold a word's position in its slice, at least; a longer slice takes as many as it needs.
+_POSITION_BITS = 24
 
 
 def occurrences(texts: pa.Array, ids: np.ndarray, threshold: int, k: int) -> tuple[np.ndarray, ...]:
@@ -34,8 +36,9 @@ def occurrences(texts: pa.Array, ids: np.ndarray, threshold: int, k: int) -> tup
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), windows
     text = owners(offsets)[: len(windows)]
     inside = np.arange(len(windows)) + threshold <= offsets[1:][text]
-    keys = (grams & ~_POSITION) | (np.arange(len(grams)).astype(U64) & _POSITION)
-    anchor = (sliding_min(keys, threshold - k + 1)[: len(windows)] & _POSITION).astype(np.int64)
+    position = U64((1 << max(_POSITION_BITS, len(grams).bit_length())) - 1)
+    keys = (grams & ~position) | np.arange(len(grams)).astype(U64)
+    anchor = (sliding_min(keys, threshold - k + 1)[: len(windows)] & position).astype(np.int64)
     at = np.flatnonzero(inside)
     if not len(at):
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), windows[:0]
@@ -43,7 +46,7 @@ def occurrences(texts: pa.Array, ids: np.ndarray, threshold: int, k: int) -> tup
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(at)]).astype(np.int32)
     head = at[first]
-    return mix(grams[anchor[head] % len(grams)]), ids[text[head]], (head - offsets[text[head]]).astype(np.int32), count, windows[at]
+    return mix(grams[anchor[head]]), ids[text[head]], (head - offsets[text[head]]).astype(np.int32), count, windows[at]
 
 
 def _flush(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -150,7 +153,7 @@ def repeated_passages(docs: DataFrame, threshold: int = 50, k: int = 8, doc_id:
     """Maximal repeats of at least `threshold` words: (doc_id, start_word, n_words, other_id).
 
     A maximal repeat is a longest stretch of a document in which every `threshold` words (split at
-    white space, compared exactly) occur in another document as well; other_id is a document that has the first of
+    white space) occur in another document as well; other_id is a document that has the first of
     them. Every document that has the passage is listed, the first one too.
 
     NULL, empty and short texts have no repeats. Rows with a NULL doc_id are left out, and can't be the
