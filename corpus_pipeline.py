@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in order of their training position under the sources' weight schedules."""
-    return curriculum.mix_sources(docs, **SCHEDULE).select(*docs.columns)
+    return curriculum.mix_sources(docs, **SCHEDULE, added=None)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
