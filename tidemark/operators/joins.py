@@ -9,6 +9,8 @@ from tidemark.functions.derived import similarity
 from tidemark.operators.rollups import numbered
 
 KEY = ["signature", "file"]
+#: Lines of a stretch of a file, while edits are joined with functions.
+BIN = 256
 
 
 def lookup_or_fail(rows: DataFrame, commits: DataFrame) -> DataFrame:
@@ -57,11 +59,13 @@ def changed_metric(snapshots: DataFrame, metric: str) -> DataFrame:
 def overlaps(edits: DataFrame, spans: DataFrame) -> DataFrame:
     """JN9, FLT18, GR17: functions that an edit touches on the A side, how, and the lines that fall to each.
 
-    An equi-join on the file with the overlap as residual. Edits are 0-based and end-exclusive; the span [start1, end1] is
+    An equi-join on the file and a stretch of BIN lines, so that a file of many edits and functions isn't joined all with all; a pair is taken in the
+    stretch where the later of the two begins. Edits are 0-based and end-exclusive; the span [start1, end1] is
     1-based, so a function takes lines start1-1 to end1-1. An edit that starts inside a function and passes its end
     counts to end1-1.
     """
     begin, end, low, high = F.col("begin_a"), F.col("end_a"), F.col("start1") - 1, F.col("end1") - 1
+    stretch = lambda c: F.floor(c / BIN).cast("long")
     lines = (
         F.when((begin <= low) & (end > high), high - low + 1)
         .when((begin >= low) & (end <= high), end - begin)
@@ -69,8 +73,9 @@ def overlaps(edits: DataFrame, spans: DataFrame) -> DataFrame:
         .otherwise(end - low)
     )
     return (
-        edits.join(spans, "file")
-        .filter((begin < F.col("end1")) & (end > low))
+        edits.withColumn("bin_", F.explode(F.sequence(stretch(begin), stretch(F.greatest(begin, end)))))
+        .join(spans.withColumn("bin_", F.explode(F.sequence(stretch(low), stretch(F.greatest(low, F.col("end1")))))), ["file", "bin_"])
+        .filter((begin < F.col("end1")) & (end > low) & (F.col("bin_") == stretch(F.greatest(begin, low))))
         .select(
             "commit_id", "file", "begin_a", "end_a", "signature", lines.alias("lines"),
             ((begin <= low) & (end > high)).alias("covers"), ((begin < low + F.col("sig_loc")) & (end > low)).alias("touches_signature"),
