@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.shared import kept
+
 
 def closure_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Reflexive closure of one project's edges (child, parent; parent may be NULL), by bit sets in topological order."""
@@ -121,6 +123,23 @@ def branch_kinds(commits: DataFrame, edges: DataFrame) -> DataFrame:
     return commits.select("commit_id").join(up, "commit_id", "left").select("commit_id", kind.alias("kind"))
 
 
+def branches(commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """GR6: (commit_id, kind, branch): a commit that continues its parent is on its branch, any other starts one, named by the commit.
+
+    Parents are followed by doubling, so the rounds grow with the logarithm of a branch's length.
+    """
+    kinds = branch_kinds(commits, edges)
+    parent = edges.select(F.col("child").alias("commit_id"), "parent").distinct()
+    start = kinds.join(parent.join(kinds.filter("kind = 'continue'").select("commit_id"), "commit_id", "left_semi"), "commit_id", "left")
+    known = kept(start.select("commit_id", "kind", F.coalesce("parent", "commit_id").alias("branch")))
+    while True:
+        ahead = known.select(F.col("commit_id").alias("branch"), F.col("branch").alias("next"))
+        further = kept(known.join(ahead, "branch", "left").select("commit_id", "kind", F.coalesce("next", "branch").alias("branch"), (F.col("next") != F.col("branch")).alias("moved")))
+        if not further.filter("moved").limit(1).count():
+            return known
+        known = further.drop("moved")
+
+
 def integer_keys(rows: DataFrame) -> DataFrame:
     """SRT2: keys of commits by first appearance, as child or parent, in rows sorted by (ts, commit, parent)."""
     order = Window.partitionBy("project").orderBy("ts", "child", F.col("parent").asc_nulls_first())

@@ -83,8 +83,11 @@ query("gr3_no_listed_ancestor", f"WITH RECURSIVE {REACH}, l AS (SELECT commit_id
     lambda v: G.without_listed_ancestor(v.dag.filter("commit_id % 7 < 3").select("commit_id"), G.closure(v.dag, v.edges)))
 query("gr4_roots", "SELECT commit_id FROM {dag} WHERE commit_id NOT IN (SELECT child FROM {edges})")(lambda v: G.roots(v.dag.select("commit_id"), v.edges))
 query("gr5_topological_walk")(lambda v: G.walk(v.dag, v.edges))
-query("gr6_branch_kinds", """WITH k AS (SELECT parent, count(DISTINCT child) AS kids FROM {edges} GROUP BY parent), u AS (SELECT child, count(DISTINCT e.parent) AS n, max(kids) AS kids FROM {edges} e JOIN k ON e.parent = k.parent GROUP BY child)
-  SELECT commit_id, CASE WHEN n IS NULL THEN 'root' WHEN n > 1 THEN 'merge' WHEN kids > 1 THEN 'split' ELSE 'continue' END AS kind FROM {dag} LEFT JOIN u ON child = commit_id""")(lambda v: G.branch_kinds(v.dag, v.edges))
+_BRANCH_KINDS = """k AS (SELECT parent, count(DISTINCT child) AS kids FROM {edges} GROUP BY parent), u AS (SELECT child, count(DISTINCT e.parent) AS n, max(kids) AS kids FROM {edges} e JOIN k ON e.parent = k.parent GROUP BY child),
+  b AS (SELECT commit_id, CASE WHEN n IS NULL THEN 'root' WHEN n > 1 THEN 'merge' WHEN kids > 1 THEN 'split' ELSE 'continue' END AS kind FROM {dag} LEFT JOIN u ON child = commit_id)"""
+query("gr6_branch_kinds", f"WITH {_BRANCH_KINDS} SELECT commit_id, kind FROM b")(lambda v: G.branch_kinds(v.dag, v.edges))
+query("gr6_branches", f"""WITH RECURSIVE {_BRANCH_KINDS}, r AS (SELECT commit_id, kind, commit_id AS branch FROM b WHERE kind <> 'continue' UNION ALL
+  SELECT b.commit_id, b.kind, r.branch FROM r JOIN {{edges}} e ON e.parent = r.commit_id JOIN b ON b.commit_id = e.child AND b.kind = 'continue') SELECT commit_id, kind, branch FROM r""")(lambda v: G.branches(v.dag, v.edges))
 query("gr12_linear_branches")(lambda v: G.linear_branches(v.dag))
 query("gr20_rootless_adds", "SELECT h.uid, h.commit_id, 'ADD' AS mod_type FROM {hunks} h JOIN {dag} d ON h.commit_id = d.commit_id WHERE d.first_parent IS NULL AND d.other_parent IS NULL")(
     lambda v: v.hunks.join(G.roots(v.dag, v.edges).select("commit_id"), "commit_id", "left_semi").select("uid", "commit_id", F.lit("ADD").alias("mod_type")))
