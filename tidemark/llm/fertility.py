@@ -31,7 +31,9 @@ SCRIPT_BANDS = {"latin": (1.4, 7.0, 1.3, 7.0, 0.1, 0.7), "other": (0.2, 7.0, 0.2
 #: Bits from which on a text's entropy isn't asked to grow with its tokens.
 MOST_BITS = 7.5
 #: Words whose tokens a worker remembers at most; then it starts anew. Bounds its memory only.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 200_000
+#: Text measured at a time; bounds a worker's memory only.
+_SLICE = 1 << 20
 
 RESULT = "doc_id long, band string, n_tokens long, chars_per_token double, byte_chars_per_token double, byte_share double, entropy double, reason string"
 
@@ -158,7 +160,7 @@ def _measure(folder: str, bands: dict[str, tuple], scripts: dict[str, tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = Vocabularies(folder)
         for batch in batches:
-            for piece in chunked(batch, "text"):
+            for piece in chunked(batch, "text", _SLICE):
                 texts = piece.column("text")
                 found = measures(texts, vocabularies)
                 latin = _latin(texts)
