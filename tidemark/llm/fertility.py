@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import chunked, owners, word_codes, words
+from tidemark.llm.kit import chunked, owners, trim, trimmed, word_codes, words
 
 TOKENIZERS = "/opt/tokenizers"
 #: Least and most characters per piece token, least and most per byte-level token, most byte-fallback share, and the least entropy as a
@@ -154,20 +154,24 @@ def verdicts(bands: list[str], found: dict[str, np.ndarray], table: dict[str, tu
     return out.tolist()
 
 
+def _measured(vocabularies: Vocabularies, batch: pa.RecordBatch, bands: dict[str, tuple], table: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
+    for piece in chunked(batch, "text", _SLICE):
+        texts = piece.column("text")
+        found = measures(texts, vocabularies)
+        latin = _latin(texts)
+        band = [x if x in bands else f"script:{'latin' if y else 'other'}" for x, y in zip(piece.column("lang").to_pylist(), latin)]
+        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "band": band, **found, "reason": pa.array(verdicts(band, found, table), pa.string())}, schema=_SCHEMA)
+
+
 def _measure(folder: str, bands: dict[str, tuple], scripts: dict[str, tuple]):
     table = {**bands, **{f"script:{k}": v for k, v in scripts.items()}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = Vocabularies(folder)
         for batch in batches:
-            for piece in chunked(batch, "text", _SLICE):
-                texts = piece.column("text")
-                found = measures(texts, vocabularies)
-                latin = _latin(texts)
-                band = [x if x in bands else f"script:{'latin' if y else 'other'}" for x, y in zip(piece.column("lang").to_pylist(), latin)]
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "band": band, **found, "reason": pa.array(verdicts(band, found, table), pa.string())}, schema=_SCHEMA)
+            yield from _measured(vocabularies, batch, bands, table)
 
-    return run
+    return trimmed(run)
 
 
 _SCHEMA = pa.schema(
@@ -200,14 +204,15 @@ def keep_natural(docs: DataFrame, tokenizers: str = TOKENIZERS, doc_id: str = "d
 
 
 def _judge(folder: str, bands: dict[str, tuple], scripts: dict[str, tuple]):
-    measure = _measure(folder, bands, scripts)
+    table = {**bands, **{f"script:{k}": v for k, v in scripts.items()}}
 
     @F.arrow_udf("string")
     def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        def rows(text: pa.Array, lang: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text, lang], names=["doc_id", "text", "lang"])
-
+        vocabularies = Vocabularies(folder)
         for text, lang in batches:
-            yield pa.concat_arrays([b.column("reason") for b in measure(iter([rows(text, lang)]))] or [pa.array([], pa.string())])
+            rows = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text, lang], names=["doc_id", "text", "lang"])
+            yield pa.concat_arrays([b.column("reason") for b in _measured(vocabularies, rows, bands, table)] or [pa.array([], pa.string())])
+        del vocabularies
+        trim()
 
     return judge
