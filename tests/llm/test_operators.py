@@ -475,6 +475,56 @@ def test_pairs_are_those_of_brute_force(spark, n, threshold):
     assert {(r.doc_a, r.doc_b) for r in got} == want and len(want) > 10
 
 
+def copies(n: int, size: int, share: float, seed: int) -> list[str]:
+    """Texts that each change a share of one text's words."""
+    rng = random.Random(seed)
+    base = words(size, seed, 5000).split()
+    return [" ".join(w if rng.random() > share else f"new{rng.randrange(400)}" for w in base) for _ in range(n)]
+
+
+def test_links_of_large_groups_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", 40)  # a grid of tiles
+    texts = copies(110, 60, 0.06, 1) + copies(60, 12, 0.08, 2) + copies(5, 200, 0.05, 3) + [words(90, i) for i in range(4, 20)] + ["one", "two", "one two"]
+    texts += texts[:7] + texts[112:115]
+    sets, head = [set(t.split()) for t in texts], {t: i for i, t in reversed(list(enumerate(texts)))}
+    only = sorted(head.values())
+    near = {(a, b) for a, b in itertools.combinations(only, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    docs = frame(spark, list(enumerate(texts)))
+    pairs = jaccard.similar_pairs(docs).collect()
+    assert len(pairs) == len({(r.doc_a, r.doc_b) for r in pairs})
+    assert {(r.doc_a, r.doc_b) for r in pairs} == near | {(head[t], i) for i, t in enumerate(texts) if head[t] != i} and len(near) > 1000
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    links = [sum(head[t] in p for p in near) for t in texts]
+    got = sorted(tuple(r) for r in jaccard.near_classes(docs).collect())
+    assert got == [(i, group[head[t]], links[i]) for i, t in enumerate(texts)]
+
+
+def test_rows_follow_documents_and_candidates_follow_texts(spark):
+    texts = copies(300, 80, 0.04, 5)
+    docs = frame(spark, list(enumerate(texts)))
+    got = jaccard.near_classes(docs).collect()
+    assert len(got) == 300 and sum(r.n_links for r in got) > 30_000
+    pairs, group = jaccard._candidates(jaccard._known(docs, "doc_id", "text"), 1, 0.8, None)
+    assert group.count() > 250 and pairs.count() < 300
+
+
+def test_false_agreement_of_signatures_loses_no_pair():
+    """Where signatures agree in a block that differs, the pair is still taken at the blocks that agree."""
+    rng, lost = random.Random(3), 0
+    for i in range(1500):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(45)]
+        other = base[5:] + [f"c{rng.randrange(10**6)}" for _ in range(5)]  # 40 of 50
+        edges, grams = jaccard.gram_sets(pa.array([" ".join(base), " ".join(other)]), 1)
+        key, text, *rest = jaccard.block_rows(edges, grams, 0.8)
+        blob = kit.packed([(key & jaccard.U64(0xFFFFFFFF)).astype("u4"), text.astype("i8"), *rest])
+        got = jaccard._meet(0.8)(pa.table({"rows": pa.array([blob], pa.binary())}))
+        lost += got.num_rows != 1 or got["star"][0].as_py()
+    assert lost == 0
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(0, 40_000, 7).select((F.col("id") - 20_000).alias("k"))
     values = spark.range(-20_000, 20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("v"))
