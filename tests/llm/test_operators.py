@@ -525,6 +525,54 @@ def test_false_agreement_of_signatures_loses_no_pair():
     assert lost == 0
 
 
+def test_unlike_texts_of_common_words_are_not_tied():
+    """Texts that share frequent words only meet on many blocks, but not in half of a group's."""
+    rng = np.random.default_rng(0)
+    often = 0.6 / (1 + np.arange(400) / 4)  # a word's share of the texts
+    sets = []
+    for i in range(5000):
+        some = np.flatnonzero(rng.random(400) < often)
+        sets.append(np.r_[some, rng.integers(400, 200_000, 120)])
+    for i in range(100):  # near copies of one
+        sets.append(np.r_[sets[0][:-4], 300_000 + 4 * i + np.arange(4)])
+    grams = [np.unique(jaccard.mix(s.astype("u8")) & jaccard._LOW) for s in sets]
+    edges, flat = np.r_[0, np.cumsum([len(g) for g in grams])], np.concatenate(grams)
+    seen = np.bincount(jaccard.cells(flat), minlength=jaccard.CELLS)
+    key, text, *rest = jaccard.block_rows(edges, flat, 0.8, np.round(16 * np.log2((seen.max() + 1) / (seen + 1))) + 1)
+    blob = kit.packed([(key & jaccard.U64(0xFFFFFFFF)).astype("u4"), text.astype("i8"), *rest])
+    got = jaccard._meet(0.8)(pa.table({"rows": pa.array([blob], pa.binary())})).to_pylist()
+    tied = {x for r in got if r["star"] for x in (r["a"], r["b"])}
+    assert {0, *range(5000, 5100)} <= tied and len(tied) < 200 and len(got) < 500
+
+
+def test_short_texts_send_as_many_blocks_as_may_differ_and_one():
+    """Of any two similar sets one block at least is sent by both, at sizes where that takes fewer than half of a group."""
+    rng = random.Random(5)
+    for size in range(1, 90):
+        for _ in range(20):
+            base = [rng.randrange(1 << 40) for _ in range(size)]
+            drop, add = rng.randrange(size // 9 + 1), rng.randrange(size // 9 + 1)
+            sets = [np.unique(np.array(x, "u8")) for x in (base, base[drop:] + [rng.randrange(1 << 40) for _ in range(add)])]
+            both = len(np.intersect1d(*sets))
+            if both >= 0.8 * (len(sets[0]) + len(sets[1]) - both):
+                key, text, *_ = jaccard.block_rows(np.r_[0, np.cumsum([len(x) for x in sets])], np.concatenate(sets), 0.8)
+                assert set(key[text == 0]) & set(key[text == 1])
+    key, *_ = jaccard.block_rows(np.array([0, 5]), np.arange(5, dtype="u8"), 0.8)
+    assert len(key) <= 4
+
+
+def test_tiles_of_one_group_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", 40)
+    texts = spark.range(400).select(F.col("id").alias("tid"), F.lit(10).alias("size"))
+    group = texts.select("tid", F.lit(0).cast("long").alias("group_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tiles = jaccard._grids(group, texts, lambda t: pa.table({"tid": t["tid"][:1]}), "tid long").select(F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tiles) == 55 and len({r.p for r in tiles}) > 1
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(0, 40_000, 7).select((F.col("id") - 20_000).alias("k"))
     values = spark.range(-20_000, 20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("v"))

@@ -35,11 +35,10 @@ TILE_GRAMS = 1_500_000
 RUN_TEXTS = 24
 #: Bits of a long sketch at least.
 SKETCH_BITS = 256
-#: Bits of a long sketch at most, where all texts of a group are compared.
-SKETCH_MOST = 2048
-#: Blocks of a group, and how many of them similar texts agree in, in one group at least. A text sends all but AGREE - 1 of a
-#: group's blocks, those that say least: of the blocks in which two texts agree the most telling one is sent by both.
-GROUP, AGREE = 8, 4
+#: Blocks of a group (bytes of whole words of signatures), and how many of them similar texts agree in, in one group at least; short texts, with few groups, in
+#: more. A text sends all but one less than that of a group's blocks, those that say least: of the blocks in which two texts agree the most telling one is sent by both.
+#: Unlike texts agree in half of a large group far less often than in half of a small one; their false ties would else join most of a large corpus to one group.
+GROUP, AGREE = 16, 8
 #: Near copies: sets of single words, so that an edit costs one element and not n. About one word in nine may differ.
 THRESHOLD, N_WORDS = 0.8, 1
 #: Cells of the hashed table of document frequencies; its size doesn't depend on the corpus.
@@ -47,7 +46,8 @@ CELLS, _SLICES = 1 << 17, 16
 #: Bits of an n-gram's hash; the high bits of a sort key number the text.
 _BITS = 44
 _LOW = U64((1 << _BITS) - 1)
-_KINDS = ["u4", "i8", "u8", "u4", "u1"]
+_WORDS = GROUP // 8
+_KINDS = ["u4", "i8", *["u8"] * _WORDS, "u4", "u1"]
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +92,10 @@ class Bands:
         """Blocks in which similar texts of so many elements together agree, in one group of their band at least."""
         return GROUP - np.minimum(np.floor(self.slack * both + 1e-9) // self.groups(band), GROUP - AGREE).astype(np.int64)
 
+    def least(self, band: np.ndarray) -> np.ndarray:
+        """The same for the largest texts of a band."""
+        return self.agree(band, 2 * np.floor(self.ratio ** (band + 1.0) + 1e-6))
+
 
 def cells(grams: np.ndarray) -> np.ndarray:
     """Where an n-gram is counted in the table of document frequencies."""
@@ -99,7 +103,7 @@ def cells(grams: np.ndarray) -> np.ndarray:
 
 
 def block_rows(edges: np.ndarray, grams: np.ndarray, threshold: float, telling: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(key, text, signatures, size, own) for each block that each text sends, in its own and the next band.
+    """(key, text, signatures (_WORDS columns), size, own) for each block that each text sends, in its own and the next band.
 
     telling: by cell, how much an n-gram there says (whole numbers; all alike by default). signatures: a byte for each block of the group.
     own: 1 in the text's own band.
@@ -126,17 +130,17 @@ def block_rows(edges: np.ndarray, grams: np.ndarray, threshold: float, telling:
             total[cell[heads]] = np.bitwise_xor.reduceat(code[order], heads)
         told = np.minimum(np.bincount(flat, weights=says, minlength=base[-1]), (1 << 20) - 1).astype(U64)
         rank = np.argsort(((told << U64(44)) | (total >> U64(20))).reshape(-1, GROUP), axis=1, kind="stable")
-        sent = np.ones((len(rank), GROUP), bool)
-        np.put_along_axis(sent, rank[:, : AGREE - 1], False, axis=1)
-        whole = mix(total).reshape(-1, GROUP)
-        signature = np.ascontiguousarray(mix(total ^ U64(0x2545F4914F6CDD1D)).astype(np.uint8)).view(U64)
         owner = np.repeat(np.arange(len(sizes)), groups)
+        sent = np.empty((len(rank), GROUP), bool)
+        np.put_along_axis(sent, rank, np.arange(GROUP) >= bands.least(band)[owner][:, None] - 1, axis=1)
+        whole = mix(total).reshape(-1, GROUP)
+        signature = np.ascontiguousarray(mix(total ^ U64(0x2545F4914F6CDD1D)).astype(np.uint8)).view(U64).reshape(-1, _WORDS)
         number = np.arange(len(rank)) - (base[:-1] // GROUP)[owner]
         place = mix((band[owner].astype(U64) << U64(40)) + (number.astype(U64) << U64(3)))
         key = mix(whole + (place[:, None] ^ np.arange(GROUP, dtype=U64)))
         wide = lambda x: np.broadcast_to(x[:, None], sent.shape)[sent]
         text_of = wide(owner)
-        out.append((key[sent], text_of, wide(signature), sizes[text_of].astype(np.uint32), np.full(len(text_of), 1 - up, np.uint8)))
+        out.append((key[sent], text_of, *[wide(w) for w in signature.T], sizes[text_of].astype(np.uint32), np.full(len(text_of), 1 - up, np.uint8)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -220,20 +224,23 @@ def _emit(parts: int, n: int, threshold: float, telling: np.ndarray):
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A high bit for each byte in which words a and b agree."""
-    low, z = U64(0x7F7F7F7F7F7F7F7F), a ^ b
-    return ~(((z & low) + low) | z | low)
+    """In how many bytes a and b (their words along the first axis) agree."""
+    low, count = U64(0x7F7F7F7F7F7F7F7F), np.uint8(0)
+    for x, y in zip(a, b):
+        z = x ^ y
+        count = count + np.bitwise_count(~(((z & low) + low) | z | low))
+    return count
 
 
 def _parts(signature: np.ndarray, least: int) -> np.ndarray:
     """For each row the first row of its component; rows that agree in `least` blocks are in one component."""
-    label, left = np.arange(len(signature)), np.arange(len(signature))
+    label, left = np.arange(signature.shape[1]), np.arange(signature.shape[1])
     while len(left):
         front, left = left[:1], left[1:]
         root, step = front[0], 1
         while len(front) and len(left):
             some, front = front[:step], front[step:]
-            hit = (np.bitwise_count(_agreeing(signature[some][:, None], signature[left])) >= least).any(axis=0)
+            hit = (_agreeing(signature[:, some, None], signature[:, left]) >= least).any(axis=0)
             label[left[hit]] = root
             front, left = np.r_[front, left[hit]], left[~hit]
             step = min(2 * step, max(1, (1 << 18) // max(len(left), 1)))
@@ -261,7 +268,7 @@ def _meet(threshold: float):
     bands = Bands(threshold)
 
     def run(table: pa.Table) -> pa.Table:
-        key, tid, signature, size, own = (np.concatenate(x) for x in zip(*(unpacked(b, _KINDS) for b in table["rows"].to_pylist())))
+        key, tid, *words, size, own = (np.concatenate(x) for x in zip(*(unpacked(b, _KINDS) for b in table["rows"].to_pylist())))
         order = np.argsort(key)
         k = key[order]
         same = k[1:] == k[:-1]
@@ -272,7 +279,9 @@ def _meet(threshold: float):
         order = order[np.lexsort((tid[order], key[order]))]
         one = np.r_[True, (key[order][1:] != key[order][:-1]) | (tid[order][1:] != tid[order][:-1])][: len(order)]  # copies of a text are one
         order = order[one]
-        key, tid, signature, size, own = (x[order] for x in (key, tid, signature, size, own))
+        key, tid, size, own = (x[order] for x in (key, tid, size, own))
+        signature = np.stack([w[order] for w in words])
+        del words
         size = size.astype(np.int64)
         band = bands.of(size) + 1 - own
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
@@ -281,14 +290,14 @@ def _meet(threshold: float):
         ties = [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(ends - heads >= RUN_TEXTS):
             x = slice(heads[i], ends[i])
-            low = int(bands.agree(band[x], 2 * np.floor(bands.ratio ** (band[x] + 1.0) + 1e-6)).min())
-            label = _parts(signature[x], low)
+            label = _parts(signature[:, x], int(bands.least(band[x]).min()))
             many = np.bincount(label, minlength=len(label))[label] >= RUN_TEXTS
             part[x] = np.where(many, -1, heads[i] + label)
             ties.append(np.stack([tid[x][label[many]], tid[x][many]], axis=1))
         order = np.argsort(part, kind="stable")
         order = order[np.searchsorted(part[order], 0) :]
-        part, tid, signature, size, own, band = (x[order] for x in (part, tid, signature, size, own, band))
+        part, tid, size, own, band = (x[order] for x in (part, tid, size, own, band))
+        signature = signature[:, order]
         out = [np.zeros((0, 2), np.int64)]
         at, step = np.arange(len(part)), 1
         while len(at):  # pairs `step` apart within their part of a block's run: there are fewer than RUN_TEXTS steps
@@ -297,7 +306,7 @@ def _meet(threshold: float):
             for c in range(0, len(at), 1 << 18):
                 x = at[c : c + (1 << 18)]
                 y = x + step
-                good = (np.bitwise_count(_agreeing(signature[x], signature[y])) >= bands.agree(band[x], size[x] + size[y])) & (own[x] | own[y] > 0)
+                good = (_agreeing(signature[:, x], signature[:, y]) >= bands.agree(band[x], size[x] + size[y])) & (own[x] | own[y] > 0)
                 good &= np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-6
                 out.append(np.stack([tid[x[good]], tid[y[good]]], axis=1))
             step += 1
@@ -474,7 +483,7 @@ def _hopeful(threshold: float):
         cell, tid, size = (table[c].to_numpy() for c in ("cell", "tid", "size"))
         size = size.astype(np.int64)
         bits = sketch_bits(size)
-        low = min(int(bits.min()), SKETCH_MOST)
+        low = int(bits.min())
         blobs = table["long"].to_pylist()
         short = np.empty((len(size), low // 8), np.uint8)
         for w in np.unique(bits):
@@ -504,7 +513,8 @@ def _grids(group: DataFrame, texts: DataFrame, judge: Callable, result: str) ->
     celled = members.join(most, "group_id").withColumn("cell", F.pmod(F.xxhash64("tid"), F.col("grid")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("grid") - 1), lambda j: F.struct(F.least("cell", j).alias("row"), F.greatest("cell", j).alias("column")))
     placed = celled.withColumn("tile", F.explode(tiles)).select("group_id", "tile.row", "tile.column", "cell", *texts.columns)
-    return placed.groupBy("group_id", "row", "column").applyInArrow(judge, result)
+    tile = ["group_id", "row", "column"]
+    return placed.repartition(*tile).groupBy(*tile).applyInArrow(judge, result)  # else all tiles of a group stay in the task that the join put it in
 
 
 def _roots(labels: DataFrame, held: list[str] | None) -> DataFrame:
