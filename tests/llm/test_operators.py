@@ -573,6 +573,12 @@ def test_tiles_of_one_group_go_to_several_tasks(spark, monkeypatch):
     assert len(tiles) == 55 and len({r.p for r in tiles}) > 1
 
 
+def test_blank_texts_are_told_at_any_length(spark):
+    texts = ["", " ", "\t\n\r\x0b\x0c " * 40, " " * 64 + "x", "\n" * 500 + "é", "x" + " " * 500, " " * 63 + "\u00a0", "word"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(jaccard._blank(F.col("t")).alias("b")).collect()
+    assert [r.b for r in got] == [True, True, True, *[False] * 5]
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(0, 40_000, 7).select((F.col("id") - 20_000).alias("k"))
     values = spark.range(-20_000, 20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("v"))

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kit import U64, by_part, chunked, discard, durable, gram_hashes, maybe_in, mix, owners, packed, text_size, trim, trimmed, unpacked, word_hashes
@@ -583,10 +583,16 @@ def _tiled(pairs: DataFrame, texts: DataFrame, judge: Callable, result: str, hel
     return placed.groupBy(*tile).cogroup(needed.groupBy(*[f"to_{c}" for c in tile])).applyInArrow(judge, result)
 
 
+def _blank(text: Column) -> Column:
+    """No character but white space; the few at the front settle it for most texts, and the whole is looked at where they don't."""
+    flat = lambda x: F.trim(F.translate(x, "\t\n\r\x0b\x0c", "     ")) == ""
+    return flat(F.substring(text, 1, 64)) & flat(text)
+
+
 def _known(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, tid, text) of the rows that can be in a pair."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.filter(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) != "")
+    return rows.filter(~_blank(F.col("text")))
 
 
 def _candidates(real: DataFrame, n: int, threshold: float, held: list[str] | None) -> tuple[DataFrame, DataFrame | None]:
@@ -675,7 +681,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS
     classes = placed.groupBy("group_id").agg(F.min("head").alias("class_id"))
     linked = placed.join(classes, "group_id").select("tid", "class_id", "n_links")
     known = real.select("doc_id", "tid").distinct().join(heads, "tid").join(linked, "tid", "left")
-    blank = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL").filter(F.col("text").isNull() | (F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) == ""))
+    blank = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL").filter(F.col("text").isNull() | _blank(F.col("text")))
     alone = blank.distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return known.select("doc_id", F.coalesce("class_id", "head").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(alone)
 
