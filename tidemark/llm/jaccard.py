@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import U64, by_part, chunked, discard, durable, gram_hashes, maybe_in, mix, owners, packed, text_size, trim, trimmed, unpacked, word_hashes
+from tidemark.llm.kit import U64, by_part, chunked, discard, durable, gram_hashes, group_trimmed, groups_trimmed, maybe_in, mix, owners, packed, text_size, trimmed, unpacked, word_hashes
 
 #: Block rows of one part of the packed shuffle, about.
 PART_ROWS = 500_000
@@ -316,11 +316,9 @@ def _meet(threshold: float):
         edges = _tied(edges[:, 0], edges[:, 1])
         star = np.r_[np.zeros(len(pairs), bool), np.ones(len(edges), bool)]
         pairs = np.concatenate([pairs, edges])
-        del table, key, tid, signature, size, own, band, part, out, ties
-        trim()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "star": star})
 
-    return run
+    return group_trimmed(run)
 
 
 def _sets(n: int):
@@ -374,7 +372,7 @@ def _verify(threshold: float):
         a, b = a[keep], b[keep]
         return pa.table({"ta": tid[a], "tb": tid[b], "doc_a": np.minimum(head[a], head[b]), "doc_b": np.maximum(head[a], head[b]), "jaccard": score[keep]})
 
-    return run
+    return groups_trimmed(run)
 
 
 def _common(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], known: int) -> np.ndarray:
@@ -472,7 +470,7 @@ def _compare(threshold: float, pairs: bool):
         some = links > 0
         return pa.table({"tid": tid[x[some]], "other": tid[a[root[some]]], "links": links[some].astype(np.int64)})
 
-    return run
+    return group_trimmed(run)
 
 
 def _hopeful(threshold: float):
@@ -503,7 +501,7 @@ def _hopeful(threshold: float):
             some[b] |= good.any(axis=0)
         return pa.table({"tid": tid[some]})
 
-    return run
+    return group_trimmed(run)
 
 
 def _grids(group: DataFrame, texts: DataFrame, judge: Callable, result: str) -> DataFrame:
@@ -559,7 +557,7 @@ def _far(threshold: float):
                 keep[x] = far <= slack * (size[a[x]] + size[b[x]]) + 1e-9
         return pairs.select(["a", "b"]).filter(pa.array(keep))
 
-    return run
+    return groups_trimmed(run)
 
 
 def _tiled(pairs: DataFrame, texts: DataFrame, judge: Callable, result: str, held: list[str] | None) -> DataFrame:

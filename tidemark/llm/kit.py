@@ -79,6 +79,30 @@ def trimmed(run: Callable) -> Callable:
     return wrapped
 
 
+def group_trimmed(run: Callable) -> Callable:
+    """A function over a group's table that trims when the group is done."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def groups_trimmed(run: Callable) -> Callable:
+    """The same for a function over the tables of two groups."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def word_count(text: Column) -> Column:
     """Whitespace-delimited words of a text, JVM-side; NULL and blank texts have none."""
     flat = F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     "))
