@@ -545,6 +545,32 @@ def test_unlike_texts_of_common_words_are_not_tied():
     assert {0, *range(5000, 5100)} <= tied and len(tied) < 200 and len(got) < 500
 
 
+def test_texts_that_agree_with_few_are_paired_and_not_tied():
+    """200 texts on one block, each like its next neighbours only: tied by stars they would be one group, as more and more unlike texts are in a large corpus."""
+    i = np.arange(200)
+    signature = np.ascontiguousarray(1 + (i[:, None] + np.arange(16)) // 16, np.uint8).view("u8")
+    columns = [np.zeros(200), i, *signature.T, np.full(200, 90), np.ones(200)]
+    blob = kit.packed([c.astype(k) for c, k in zip(columns, jaccard._KINDS)])
+    got = jaccard._meet(0.8)(pa.table({"rows": pa.array([blob], pa.binary())})).to_pylist()
+    assert not any(r["star"] for r in got)
+    assert sorted((r["a"], r["b"]) for r in got) == [(a, b) for a in range(200) for b in range(a + 1, min(a + 8, 200))]  # 9 of 16 blocks besides the common one
+
+
+def test_texts_meet_on_the_most_telling_block_that_they_agree_in():
+    """A row's signatures are those of less telling blocks, and blocks that both agree in have one order."""
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 44, 100).astype("u8"))
+    other = np.unique(np.r_[base[6:], rng.integers(0, 1 << 44, 6).astype("u8")])
+    says = np.arange(jaccard.CELLS) % 97
+    key, text, *words, size, own = jaccard.block_rows(np.array([0, 100, 100 + len(other)]), np.r_[base, other], 0.8, says)
+    signature = np.stack(words, axis=1).view("u1")
+    less = (signature > 0).sum(axis=1)
+    assert less.min() == 7 and less.max() == 15
+    met = {k: np.flatnonzero(key == k) for k in set(key[text == 0]) & set(key[text == 1])}
+    both = [int(((signature[x] == signature[y]) & (signature[x] > 0)).sum()) for x, y in met.values()]
+    assert max(both) >= 7
+
+
 def test_short_texts_send_as_many_blocks_as_may_differ_and_one():
     """Of any two similar sets one block at least is sent by both, at sizes where that takes fewer than half of a group."""
     rng = random.Random(5)

@@ -4,12 +4,13 @@ A text's sketch is a long bit string; each distinct word n-gram flips one bit of
 two texts differ in at most as many bits as their n-gram sets differ in elements. Two sets of Jaccard
 similarity at least t and sizes a and b differ in at most (1-t)/(1+t)(a+b) elements. For each band of sizes the
 sketch is cut into groups of GROUP blocks, so many that in one of them at most GROUP - AGREE blocks of two similar texts differ. They are
-joined on single blocks, the most telling ones of each group by how often their n-grams occur in the corpus; each row carries short
-signatures of its group's other blocks, and only texts that agree in AGREE blocks of the group (more, where the sizes of two allow fewer differences)
-go on. A false agreement of signatures adds candidates and never takes one away.
+joined on single blocks, the most telling ones of each group by how often their n-grams occur in the corpus. Two texts meet on the most telling block that they
+agree in: each row carries short signatures of its group's less telling blocks alone, and only texts that agree in AGREE blocks of the group, that one among
+them, (more, where the sizes of two allow fewer differences) go on. A false agreement of signatures adds candidates and never takes one away.
 
-Few texts that meet on a block go on as pairs; RUN_TEXTS and more are tied together by a star, so that the candidates of a group of near copies grow with its
-texts and not with their pairs. Long sketches and then the full n-gram sets decide on pairs; texts tied together by stars are all compared with each other,
+Texts that agree with few others on a block go on as pairs; those that agree with RUN_TEXTS and more are tied together by a star, so that the candidates of a
+group of near copies grow with its texts and not with their pairs. A text with few is never tied: agreements by chance would else join ever more unlike texts
+to one group as the corpus grows. Long sketches and then the full n-gram sets decide on pairs; texts tied together by stars are all compared with each other,
 by matrix products of their sets.
 """
 
@@ -31,8 +32,10 @@ FLUSH_ROWS = 250_000
 #: Texts of one tile while pairs are verified, about, and n-grams of its rows or columns where all are compared.
 TILE_TEXTS = 2_000
 TILE_GRAMS = 1_500_000
-#: So many texts that agree on a block are tied by a star, fewer are paired.
+#: A text that agrees with so many others on a block is tied to them by a star; with fewer, it is paired with each.
 RUN_TEXTS = 24
+#: Pairs of texts looked at in one go, so that what is computed of them stays in a core's cache.
+CELLS_AT_ONCE = 1 << 15
 #: Bits of a long sketch at least.
 SKETCH_BITS = 256
 #: Blocks of a group (bytes of whole words of signatures), and how many of them similar texts agree in, in one group at least; short texts, with few groups, in
@@ -105,7 +108,8 @@ def cells(grams: np.ndarray) -> np.ndarray:
 def block_rows(edges: np.ndarray, grams: np.ndarray, threshold: float, telling: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(key, text, signatures (_WORDS columns), size, own) for each block that each text sends, in its own and the next band.
 
-    telling: by cell, how much an n-gram there says (whole numbers; all alike by default). signatures: a byte for each block of the group.
+    telling: by cell, how much an n-gram there says (whole numbers; all alike by default). signatures: a byte for each block of the group that says less than
+    the one sent, 0 for the others and itself. Which of two blocks says less depends on the two alone, so texts that agree in both have them in the same order.
     own: 1 in the text's own band.
     """
     bands = Bands(threshold)
@@ -133,14 +137,18 @@ def block_rows(edges: np.ndarray, grams: np.ndarray, threshold: float, telling:
         owner = np.repeat(np.arange(len(sizes)), groups)
         sent = np.empty((len(rank), GROUP), bool)
         np.put_along_axis(sent, rank, np.arange(GROUP) >= bands.least(band)[owner][:, None] - 1, axis=1)
+        place_of = np.empty(rank.shape, np.uint8)
+        np.put_along_axis(place_of, rank, np.arange(GROUP, dtype=np.uint8), axis=1)
+        row = np.nonzero(sent)[0]
+        byte = np.maximum(mix(total ^ U64(0x2545F4914F6CDD1D)).astype(np.uint8), 1).reshape(-1, GROUP)
+        signature = (byte[row] * (place_of[row] < place_of[sent][:, None])).view(U64)
         whole = mix(total).reshape(-1, GROUP)
-        signature = np.ascontiguousarray(mix(total ^ U64(0x2545F4914F6CDD1D)).astype(np.uint8)).view(U64).reshape(-1, _WORDS)
         number = np.arange(len(rank)) - (base[:-1] // GROUP)[owner]
         place = mix((band[owner].astype(U64) << U64(40)) + (number.astype(U64) << U64(3)))
         key = mix(whole + (place[:, None] ^ np.arange(GROUP, dtype=U64)))
         wide = lambda x: np.broadcast_to(x[:, None], sent.shape)[sent]
         text_of = wide(owner)
-        out.append((key[sent], text_of, *[wide(w) for w in signature.T], sizes[text_of].astype(np.uint32), np.full(len(text_of), 1 - up, np.uint8)))
+        out.append((key[sent], text_of, *signature.T, sizes[text_of].astype(np.uint32), np.full(len(text_of), 1 - up, np.uint8)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -224,27 +232,65 @@ def _emit(parts: int, n: int, threshold: float, telling: np.ndarray):
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many bytes a and b (their words along the first axis) agree."""
+    """In how many bytes other than 0 a and b (their words along the first axis) agree."""
     low, count = U64(0x7F7F7F7F7F7F7F7F), np.uint8(0)
     for x, y in zip(a, b):
         z = x ^ y
-        count = count + np.bitwise_count(~(((z & low) + low) | z | low))
+        some = (((x & low) + low) | x) & ~low
+        count = count + np.bitwise_count(some & ~(((z & low) + low) | z))
     return count
 
 
-def _parts(signature: np.ndarray, least: int) -> np.ndarray:
-    """For each row the first row of its component; rows that agree in `least` blocks are in one component."""
-    label, left = np.arange(signature.shape[1]), np.arange(signature.shape[1])
-    while len(left):
-        front, left = left[:1], left[1:]
-        root, step = front[0], 1
-        while len(front) and len(left):
-            some, front = front[:step], front[step:]
-            hit = (_agreeing(signature[:, some, None], signature[:, left]) >= least).any(axis=0)
-            label[left[hit]] = root
-            front, left = np.r_[front, left[hit]], left[~hit]
-            step = min(2 * step, max(1, (1 << 18) // max(len(left), 1)))
-    return label
+class Run:
+    """The texts that have one block in common, of one band: their signatures (words along the first axis), sizes, and whether the band is their own."""
+
+    def __init__(self, signature: np.ndarray, size: np.ndarray, own: np.ndarray, band: int, threshold: float):
+        self.signature, self.size, self.own = signature, size.astype(np.int32), own > 0
+        self.low = np.floor(threshold * self.size - 1e-3).astype(np.int32)
+        self.high = np.ceil(self.size / threshold + 1e-3).astype(np.int32)
+        both = np.arange(2 * int(self.size.min()), 2 * int(self.size.max()) + 1)
+        need = Bands(threshold).agree(np.full(len(both), band), both) - 1  # besides the block that they meet on
+        self.need = need[0]
+        self.eased = np.repeat(both[1:], need[:-1] - need[1:]).astype(np.int32)  # from so many elements together on, one less is needed
+
+    def hits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of x may be similar to which of y."""
+        other = self.size[y]
+        count = _agreeing(self.signature[:, x, None], self.signature[:, None, y])
+        for least in self.eased:
+            count += other >= (least - self.size[x])[:, None]
+        return (count >= self.need) & (other >= self.low[x][:, None]) & (other <= self.high[x][:, None]) & (self.own[x][:, None] | self.own[y])
+
+    def split(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (x, y) of the texts that hit fewer than RUN_TEXTS others, and for each text the first of its component of those that hit more, -1 for the rest."""
+        n = len(self.size)
+        found, busy = np.zeros(n, np.int64), np.arange(n)
+        pairs, at, step = [np.zeros((2, 0), np.int64)], 0, 2 * RUN_TEXTS
+        while at < n:  # few steps settle most texts of a group of copies
+            y = np.arange(at, min(n, at + step))
+            for c in range(0, len(busy), max(1, CELLS_AT_ONCE // len(y))):
+                x = busy[c : c + max(1, CELLS_AT_ONCE // len(y))]
+                i, j = np.nonzero(self.hits(x, y))
+                i, j = x[i], y[j]
+                i, j = i[i != j], j[i != j]
+                found += np.bincount(i, minlength=n)
+                pairs.append(np.stack([i, j]))
+            busy = busy[found[busy] < RUN_TEXTS]
+            at, step = at + step, min(2 * step, 4096)
+        x, y = np.concatenate(pairs, axis=1)
+        few = found[x] < RUN_TEXTS
+        label, left = np.full(n, -1), np.flatnonzero(found >= RUN_TEXTS)
+        while len(left):
+            front, left = left[:1], left[1:]
+            root, step = front[0], 1
+            label[root] = root
+            while len(front) and len(left):
+                some, front = front[:step], front[step:]
+                hit = self.hits(some, left).any(axis=0)
+                label[left[hit]] = root
+                front, left = np.r_[front, left[hit]], left[~hit]
+                step = min(2 * step, max(1, CELLS_AT_ONCE // max(len(left), 1)))
+        return x[few], y[few], label
 
 
 def _tied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,7 +310,7 @@ def _tied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(threshold: float):
-    """Texts that have a block in common and agree in enough blocks of its group: pairs, and stars (a, the least text; star true) of RUN_TEXTS and more."""
+    """Texts that have a block in common and agree in enough blocks of its group: pairs, and stars (a, the least text; star true) of those that agree with many."""
     bands = Bands(threshold)
 
     def run(table: pa.Table) -> pa.Table:
@@ -287,26 +333,27 @@ def _meet(threshold: float):
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         ends = np.r_[heads[1:], len(key)]
         part = np.repeat(heads, ends - heads)
-        ties = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(ends - heads >= RUN_TEXTS):
+        ties, out = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(ends - heads > RUN_TEXTS):
             x = slice(heads[i], ends[i])
-            label = _parts(signature[:, x], int(bands.least(band[x]).min()))
-            many = np.bincount(label, minlength=len(label))[label] >= RUN_TEXTS
-            part[x] = np.where(many, -1, heads[i] + label)
-            ties.append(np.stack([tid[x][label[many]], tid[x][many]], axis=1))
-        order = np.argsort(part, kind="stable")
-        order = order[np.searchsorted(part[order], 0) :]
+            part[x] = -1
+            for b in np.unique(band[x]):  # one, but for keys that agree by chance
+                y = heads[i] + np.flatnonzero(band[x] == b)
+                one, other, label = Run(signature[:, y], size[y], own[y], b, threshold).split()
+                out.append(np.stack([tid[y[one]], tid[y[other]]], axis=1))
+                many = label >= 0
+                ties.append(np.stack([tid[y[label[many]]], tid[y[many]]], axis=1))
+        order = np.flatnonzero(part >= 0)
         part, tid, size, own, band = (x[order] for x in (part, tid, size, own, band))
         signature = signature[:, order]
-        out = [np.zeros((0, 2), np.int64)]
         at, step = np.arange(len(part)), 1
-        while len(at):  # pairs `step` apart within their part of a block's run: there are fewer than RUN_TEXTS steps
+        while len(at):  # pairs `step` apart within their part of a block's run: there are at most RUN_TEXTS steps
             at = at[: np.searchsorted(at, len(part) - step)]
             at = at[part[at] == part[at + step]]
             for c in range(0, len(at), 1 << 18):
                 x = at[c : c + (1 << 18)]
                 y = x + step
-                good = (_agreeing(signature[:, x], signature[:, y]) >= bands.agree(band[x], size[x] + size[y])) & (own[x] | own[y] > 0)
+                good = (_agreeing(signature[:, x], signature[:, y]) >= bands.agree(band[x], size[x] + size[y]) - 1) & (own[x] | own[y] > 0)
                 good &= np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-6
                 out.append(np.stack([tid[x[good]], tid[y[good]]], axis=1))
             step += 1
