@@ -447,6 +447,45 @@ def test_rounds_average_the_partitions_by_their_targets(spark):
     assert got == pytest.approx(total / seen, abs=1e-4)
 
 
+def test_steps_with_many_classes_keep_class_logits_small_and_their_gradients(monkeypatch):
+    """As classes grow with the corpus, a step's class logits stay in blocks of rows; the step is that of the plain formulas."""
+    softmax, shapes = pseudo_likelihood._softmax, []
+    monkeypatch.setattr(pseudo_likelihood, "_softmax", lambda x: (shapes.append(x.shape), softmax(x))[1])
+    rng, n_classes, n = np.random.default_rng(0), 160, 3000
+    codes = n_classes * pseudo_likelihood.MEMBERS
+    tokens, around = np.sort((codes * rng.random(n) ** 3).astype(np.int64)), (codes * rng.random((4, n)) ** 3).astype(np.int64)
+    model = pseudo_likelihood.new_model(n_classes)
+    model["to_class"][:] = rng.normal(0, 0.1, model["to_class"].shape)
+    model["to_member"][:] = rng.normal(0, 0.1, model["to_member"].shape)
+    want = {k: x.astype(float) for k, x in model.items()}
+    pseudo_likelihood.train_step(model, tokens, around, 2.0)
+    assert max(rows for rows, columns in shapes if columns == n_classes) <= 1024
+    group, member = tokens // pseudo_likelihood.MEMBERS, tokens % pseudo_likelihood.MEMBERS
+    h = np.c_[np.tanh(sum(want["embed"][j][around[j]] for j in range(4)) + want["bias"]), np.ones(n)]
+    p = np.exp(h @ want["to_class"])
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), group] -= 1
+    q = np.exp(np.einsum("nh,nhm->nm", h, want["to_member"][group]))
+    q /= q.sum(axis=1, keepdims=True)
+    q[np.arange(n), member] -= 1
+    back = p @ want["to_class"].T + np.einsum("nm,nhm->nh", q, want["to_member"][group])
+    inner = (back * (1 - h**2))[:, :-1]
+    want["to_class"] -= 2 / n * h.T @ p
+    want["bias"] -= 2 / n * inner.sum(axis=0)
+    for c in set(group):
+        x = group == c
+        want["to_member"][c] -= 2 / (n * x.sum()) ** 0.5 * h[x].T @ q[x]
+    for j in range(4):
+        times, sums = np.bincount(around[j], minlength=codes + 1), np.zeros((codes + 1, inner.shape[1]))
+        np.add.at(sums, around[j], inner)
+        want["embed"][j] -= 2 * sums / np.sqrt(np.maximum(times, 1) * n)[:, None]
+    for k in model:
+        assert np.abs(model[k] - want[k]).max() < 1e-4, k
+    for most in (1000, 1 << 17):
+        some = rng.integers(0, most, 5000)
+        assert (pseudo_likelihood._order(some) == np.argsort(some, kind="stable")).all()
+
+
 # --- 5 n-gram Jaccard ---
 
 

@@ -27,6 +27,8 @@ CELLS = 1 << 18
 #: The vocabulary has this many codes for the cube root of the corpus' tokens; one code in SHARED is for rare words.
 GROWTH, SHARED = 9, 8
 _BATCH = 8192
+#: Rows whose class logits are computed at a time, so that they stay in a core's cache however many classes there are.
+_ROWS = 1024
 _SLICES = 16
 
 
@@ -102,6 +104,20 @@ def _hidden(model: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     return h
 
 
+def _order(codes: np.ndarray) -> np.ndarray:
+    """Stable order of codes; numpy sorts short integers by radix."""
+    return np.argsort(codes.astype(np.uint16) if len(codes) and codes.max() < 1 << 16 else codes, kind="stable")
+
+
+def _summed(rows: np.ndarray, heads: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows that begin at heads; most are of one row, which is taken as it is."""
+    sums, many = rows[heads], np.flatnonzero(times > 1)
+    if len(many):
+        inner = np.repeat(times > 1, times)
+        sums[many] = np.add.reduceat(rows[inner], np.r_[0, np.cumsum(times[many])[:-1]], axis=0)
+    return sums
+
+
 def _log_norm(logits: np.ndarray) -> np.ndarray:
     top = logits.max(axis=1, keepdims=True)
     logits -= top
@@ -113,14 +129,16 @@ def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, around:
     out = np.empty(len(tokens), np.float64)
     for a in range(0, len(tokens), step):
         t = tokens[a : a + step]
-        order = np.argsort((t // MEMBERS).astype(np.uint16), kind="stable")
+        order = _order(t // MEMBERS)
         t = t[order]
         h = _hidden(model, around[:, a : a + step][:, order])
         group, member = t // MEMBERS, t % MEMBERS
         row = np.arange(len(t))
-        logits = h @ model["to_class"]
-        score = logits[row, group].copy()
-        score -= _log_norm(logits)
+        score = np.empty(len(t), np.float32)
+        for x in range(0, len(t), _ROWS):
+            logits = h[x : x + _ROWS] @ model["to_class"]
+            score[x : x + _ROWS] = logits[row[: len(logits)], group[x : x + _ROWS]]
+            score[x : x + _ROWS] -= _log_norm(logits)
         edges = np.searchsorted(group, np.arange(len(model["to_member"]) + 1))
         for c in np.flatnonzero(np.diff(edges)):
             x, y = edges[c], edges[c + 1]
@@ -133,8 +151,10 @@ def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, around:
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """In place; logits beyond 60 don't occur unless training has gone astray."""
-    np.exp(np.clip(logits, -60, 60, out=logits), out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    np.maximum(logits, np.float32(-60), out=logits)
+    np.minimum(logits, np.float32(60), out=logits)
+    np.exp(logits, out=logits)
+    logits /= np.add.reduce(logits, axis=1, keepdims=True)
     return logits
 
 
@@ -143,10 +163,13 @@ def train_step(model: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndar
     n, n_classes = len(tokens), len(model["to_member"])
     h = _hidden(model, around)
     group, member = tokens // MEMBERS, tokens % MEMBERS
-    p = _softmax(h @ model["to_class"])
-    p[np.arange(n), group] -= 1
-    back = p @ model["to_class"].T
-    to_class = h.T @ p
+    back, to_class = np.empty_like(h), np.zeros_like(model["to_class"])
+    for x in range(0, n, _ROWS):
+        some = h[x : x + _ROWS]
+        p = _softmax(some @ model["to_class"])
+        p[np.arange(len(some)), group[x : x + _ROWS]] -= 1
+        back[x : x + _ROWS] = p @ model["to_class"].T
+        to_class += some.T @ p
     edges = np.searchsorted(group, np.arange(n_classes + 1))
     for c in np.flatnonzero(np.diff(edges)):
         x, y = edges[c], edges[c + 1]
@@ -159,12 +182,13 @@ def train_step(model: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndar
     inner = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
     model["bias"] -= rate / n * inner.sum(axis=0)
     for j in range(len(PLACES)):
-        order = np.argsort(around[j], kind="stable")
+        order = _order(around[j])
         ids = around[j][order]
         heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        sums = np.add.reduceat(inner[order], heads, axis=0)
-        times = np.diff(np.r_[heads, n])[:, None]
-        model["embed"][j][ids[heads]] -= rate * sums / np.sqrt(times * n)  # rare tokens get longer steps
+        times = np.diff(np.r_[heads, n])
+        sums = _summed(inner[order], heads, times)
+        sums *= (rate / np.sqrt(times * n)).astype(np.float32)[:, None]  # rare tokens get longer steps
+        model["embed"][j][ids[heads]] -= sums
 
 
 def train(model: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 2.0) -> int:
@@ -173,7 +197,7 @@ def train(model: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.n
     for tokens, around in batches:
         for a in range(0, len(tokens), _BATCH):
             t, x = tokens[a : a + _BATCH], around[:, a : a + _BATCH]
-            order = np.argsort(t, kind="stable")
+            order = _order(t)
             train_step(model, t[order], x[:, order], rate * min(1.0, len(t) / _BATCH))
         seen += len(tokens)
     return seen
