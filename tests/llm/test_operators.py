@@ -664,6 +664,53 @@ def test_filter_has_no_false_negatives(spark):
     assert values.filter(kit.maybe_in(keys.limit(0), "k")("v")).count() == 0
 
 
+def python_steps(df):
+    """The most Python steps that one task of the planned stages runs, each in a worker of its own."""
+    most = 0
+
+    def walk(node):
+        nonlocal most
+        node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        below = max((walk(node.children().apply(i)) for i in range(node.children().size())), default=0)
+        here = 0 if "Exchange" in node.nodeName() else below + any(x in node.nodeName() for x in ("Python", "Pandas", "Arrow"))
+        most = max(most, here)
+        return here
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return most
+
+
+@pytest.mark.parametrize("run", [lambda docs: jaccard.keep_one(docs), lambda docs: jaccard.near_classes(docs)])
+def test_no_task_of_the_jaccard_join_keeps_two_workers(spark, monkeypatch, run):
+    steps = []
+    monkeypatch.setattr(jaccard, "durable", lambda df, held=None: steps.append(python_steps(df)) or kit.durable(df, held))
+    rows = [(i, words(100, i)) for i in range(4)] + [(10 + i, words(100, i) + " x") for i in range(4)] + [(20 + i, words(60, 9) + f" y{i}") for i in range(40)]
+    steps.append(python_steps(run(frame(spark, rows))))
+    assert max(steps) == 1
+
+
+def test_no_task_of_mixing_and_packing_keeps_two_workers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_DOCS", 10)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [python_steps(df) for df in (curriculum.mix_sources(docs), packing.pack(docs, 256, weights={"src0": 1, None: 1}))] == [1, 1]
+
+
+@pytest.mark.parametrize("weights", [{"a": 1}, {"src0": 1000, None: 1}])
+def test_small_tables_of_the_driver_start_no_workers(spark, weights):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rising = {k: (w, w, w) for k, w in weights.items()}
+    for df in (curriculum.mix_sources(docs), packing.pack(docs, 256, weights=weights), packing.pack(docs, 256, weights=rising, knots=(0.0, 0.5, 1.0))):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_local_tables_hold_their_rows(spark):
+    rows = [("a", 2**62, (0.5, -1.0, 2.0)), (None, -1, (0.0, 1.0, 3.5))]
+    schema = pa.schema([("k", pa.string()), ("n", pa.int64()), ("line", packing._LINE)])
+    assert [(r.k, r.n, tuple(r.line)) for r in kit.local_table(spark, rows, schema).collect()] == rows
+    none = kit.local_table(spark, [], schema)
+    assert none.columns == ["k", "n", "line"] and none.count() == 0
+
+
 def test_one_of_each_group_stays_by_id_and_text(spark):
     w = words(100, 1)
     docs = frame(spark, [(1, w), (2, w + " x"), (2, "a wholly different text"), (3, w), (3, w), (4, words(100, 2)), (4, words(100, 2))])

@@ -9,10 +9,11 @@ range-sorted by position.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import durable, word_count
+from tidemark.llm.kit import durable, local_table, word_count
 from tidemark.llm.packing import buckets, source_key, with_prefix
 
 #: Knots as parts of the horizon, and integer weights there; sources that aren't named take the default's.
@@ -21,6 +22,7 @@ DEFAULT_WEIGHTS = (4, 4, 4)
 WEIGHTS = {"src0": (12, 8, 4), "src1": (2, 4, 8), "src2": (1, 6, 12)}
 #: Share that a source keeps beyond the horizon if its last weight is 0.
 LEAST_SHARE = 1e-6
+_DEMAND = pa.schema([("skey", pa.string()), ("shares", pa.list_(pa.float64())), ("demand", pa.list_(pa.float64()))])
 
 
 def demand_table(sources: list[str], horizon: int, weights: dict[str | None, tuple], default: tuple, knots: tuple) -> list[tuple]:
@@ -87,9 +89,7 @@ def mix_sources(
     bucket = buckets(narrow, "doc_id")
     totals = {r["skey"]: r["n"] for r in narrow.groupBy("skey").agg(F.sum("n_tokens").alias("n")).collect()}
     horizon = max(1, sum(totals.values()))
-    table = docs.sparkSession.createDataFrame(
-        demand_table(list(totals), horizon, weights, default, knots), "skey string, shares array<double>, demand array<double>"
-    )
+    table = local_table(docs.sparkSession, demand_table(list(totals), horizon, weights, default, knots), _DEMAND)
     placed = with_prefix(rows.withColumn("bucket", bucket), ["doc_id", "n_tokens"], narrow.withColumn("bucket", bucket)).join(table, "skey")
     return (
         placed.select("row", "n_tokens", F.expr(f"CAST(floor({_position(horizon, knots)}) AS BIGINT)").alias("position"), "skey", "before")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import U64, by_part, chunked, discard, durable, gram_hashes, group_trimmed, groups_trimmed, maybe_in, mix, owners, packed, text_size, trimmed, unpacked, word_hashes
+from tidemark.llm.kit import U64, by_part, chunked, discard, durable, gram_hashes, group_trimmed, groups_trimmed, may_be_in, maybe_in, mix, owners, packed, text_size, trimmed, unpacked, word_hashes
 
 #: Block rows of one part of the packed shuffle, about.
 PART_ROWS = 500_000
@@ -368,9 +368,13 @@ def _meet(threshold: float):
     return group_trimmed(run)
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: Callable[[pa.Array], pa.Array] | None):
+    """Sets of the rows whose `first` may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted:
+                batch = batch.filter(wanted(batch.column("first")))
             for piece in chunked(batch, "text", 1 << 20):
                 edges, grams = gram_sets(piece.column("text"), n)
                 six = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :6]  # a hash has 44 bits
@@ -675,8 +679,8 @@ def _near(real: DataFrame, threshold: float, n: int, held: list[str] | None, who
     heads = real.groupBy("tid").agg(F.min("doc_id").alias("head"))
     wanted = durable(named.distinct().join(heads, "tid").select(F.xxhash64("tid", "head").alias("first")), held)
     # Of copies of a text only the one with the smallest doc_id passes (and a few others, by chance).
-    some = real.withColumn("first", F.xxhash64("tid", "doc_id")).filter(maybe_in(wanted, "first")("first")).drop("first")
-    sets = some.mapInArrow(_sets(n), "tid long, doc_id long, size int, grams binary").groupBy("tid").agg(F.min("doc_id").alias("head"), F.first("size").alias("size"), F.first("grams").alias("grams"))
+    some = real.withColumn("first", F.xxhash64("tid", "doc_id"))
+    sets = some.mapInArrow(_sets(n, may_be_in(wanted, "first")), "tid long, doc_id long, size int, grams binary").groupBy("tid").agg(F.min("doc_id").alias("head"), F.first("size").alias("size"), F.first("grams").alias("grams"))
     sets = durable(sets, held)
     found = _tiled(pairs, sets, _verify(threshold), "ta long, tb long, doc_a long, doc_b long, jaccard double", held)
     if whole:

@@ -235,16 +235,16 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(a + U64(i) * b) % U64(bits) for i in range(_ROUNDS)])
 
 
-def maybe_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
-    """A test of a long column: false only for values that aren't among keys[key]; NULL gives false.
+def may_be_in(keys: DataFrame, key: str) -> Callable[[pa.Array], pa.Array] | None:
+    """A test of long values for use in workers: false only for values that aren't among keys[key]; NULL gives false.
 
     The keys go into a Bloom filter that is built where they are, in slices; its size is checked before it is sent to the workers. Beyond
-    FILTER_LIMIT bits there is no filter, and the join that it spares work for takes all rows.
+    FILTER_LIMIT bits there is no filter (None), and the join that it spares work for takes all rows.
     """
     spark = keys.sparkSession
     count = keys.count()
     if count * FILTER_BITS > FILTER_LIMIT:
-        return lambda name: F.col(name).isNotNull()
+        return None
     bits = max(4096, 1 << (count * FILTER_BITS - 1).bit_length()) if count else 4096
     slices = max(1, bits >> 20)
 
@@ -269,13 +269,30 @@ def maybe_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
         whole[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(whole.ravel())
 
-    @F.arrow_udf("boolean")
     def test(values: pa.Array) -> pa.Array:
         at = _places(pc.fill_null(values, 0).to_numpy(zero_copy_only=False).view(U64), bits)
         hit = (sent.value[at >> U64(3)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).all(axis=0)
         return pa.array(hit & ~values.is_null().to_numpy(zero_copy_only=False))
 
-    return lambda name: test(F.col(name))
+    return test
+
+
+def maybe_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """may_be_in as a test of a long column. Where a Python step follows, the test belongs in that: a task keeps a worker for each of its Python steps."""
+    test = may_be_in(keys, key)
+    if test is None:
+        return lambda name: F.col(name).isNotNull()
+
+    @F.arrow_udf("boolean")
+    def column(values: pa.Array) -> pa.Array:
+        return test(values)
+
+    return lambda name: column(F.col(name))
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows of the driver as a table. From a list, createDataFrame starts workers of their own on every executor, which live on, to pass the rows through."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
 
 
 def text_size(docs: DataFrame, text: str) -> tuple[int, int]:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.kit import durable, word_count
+from tidemark.llm.kit import durable, local_table, word_count
 
 #: Documents of one bucket of ids, about: rows that one task's prefix sum runs over.
 BUCKET_DOCS = 10_000
@@ -51,7 +51,7 @@ def buckets(docs: DataFrame, doc_id: str) -> Column:
         out = at * (fine + 1) + within.astype(np.int64)
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, out))
 
-    return number(place)
+    return F.coalesce(number(place), F.lit(-1))  # never NULL, or joins on it would test that by a second Python step
 
 
 def source_key(source: Column) -> Column:
@@ -259,9 +259,9 @@ def curved_schedule(totals: dict[str, int], weights: dict[str, tuple], knots: tu
     return out
 
 
-_LINE = "struct<base: double, rise: double, bend: double>"
-_CURVED_RUNS = f"skey string, first long, windows long, n0 long, low {_LINE}, high {_LINE}, fixed long, offset long"
-_RUNS = "skey string, first long, windows long, n0 long, low long, high long, parts long, fixed long, offset long"
+_LINE = pa.struct([("base", pa.float64()), ("rise", pa.float64()), ("bend", pa.float64())])
+_CURVED_RUNS = pa.schema([("skey", pa.string()), *[(c, pa.int64()) for c in ("first", "windows", "n0")], ("low", _LINE), ("high", _LINE), ("fixed", pa.int64()), ("offset", pa.int64())])
+_RUNS = pa.schema([("skey", pa.string()), *[(c, pa.int64()) for c in ("first", "windows", "n0", "low", "high", "parts", "fixed", "offset")]])
 
 
 def pack(
@@ -315,7 +315,7 @@ def pack(
         targets = {k: weights.get(k[1:] if k != "n" else None, weights.get(None, min(weights.values()))) for k in totals}
     small = pooled(targets if knots else {k: (w,) for k, w in targets.items()}, window_tokens)
     if small:
-        queue = docs.sparkSession.createDataFrame(list(small.items()), "skey string, share double")
+        queue = local_table(docs.sparkSession, list(small.items()), pa.schema([("skey", pa.string()), ("share", pa.float64())]))
         own = with_prefix(counted.join(queue, "skey", "left_semi"), order).join(queue, "skey")
         timed = durable(own.select("doc_id", "source", "n_tokens", "file", "place", (F.col("before") / F.col("share")).alias("time"), F.col("skey").alias("own")))
         rows, end = timed.agg(F.count(F.lit(1)), F.max("time")).first()
@@ -335,10 +335,8 @@ def pack(
         runs_ = curved_schedule(totals, targets, knots, window_tokens)
     else:
         runs_ = schedule(totals, integer_shares(targets, window_tokens), window_tokens)
-    spark = docs.sparkSession
     kind = _CURVED_RUNS if knots else _RUNS
-    names = ["skey", "first", "windows", "n0", "low", "high", *([] if knots else ["parts"]), "fixed", "offset"]
-    runs = spark.createDataFrame([tuple(r[k] for k in names) for r in runs_], kind)
+    runs = local_table(docs.sparkSession, [tuple(r[k] for k in kind.names) for r in runs_], kind)
 
     def cumulative(j: str, side: str) -> str:
         if knots:
