@@ -75,3 +75,17 @@ def test_moves_by_name_then_by_source(spark):
     schema = "commit_id long, parent long, hunk int, mod_type string, id string, name string, file string, added int, deleted int, start int, source string"
     got = sorted((r.commit_id, r.mod_type, r.id, r.new_id, r.added, r.deleted) for r in moves_merged(spark.createDataFrame(rows, schema)).fillna("-").collect())
     assert got == [(1, "DEL", "a/k", "-", 0, 5), (1, "MOD", "a/m", "-", 1, 1), (1, "MOVE", "a/f", "b/f", 7, 9), (1, "MOVE", "a/g", "a/h", 6, 5), (2, "DEL", "a/f", "-", 0, 9)]
+
+
+def test_moves_take_no_python_group_for_each_commit(spark):
+    from tidemark.operators.diffmap import moves_merged
+
+    schema = "commit_id long, parent long, hunk int, mod_type string, id string, name string, file string, added int, deleted int, start int, source string"
+    both = [(7, 0, h, m, f"{m}{h}", "f", f"{h % 2}.c", h, h, h, "x") for m in ("DEL", "ADD") for h in range(40)]
+    rows = both + [(c, 0, 0, "MOD", "m", "m", "a.c", 1, 1, 1, None) for c in range(100, 200)] + [(8, None, 0, "DEL", "a", "n", "a.c", 1, 1, 1, "y"), (8, None, 1, "ADD", "b", "n", "a.c", 1, 1, 1, "y")]
+    out = moves_merged(spark.createDataFrame(rows, schema))
+    got = out.collect()
+    assert sorted((r.id, r.new_id) for r in got if r.mod_type == "MOVE") == sorted((f"DEL{h}", f"ADD{h}") for h in range(40))
+    assert len(got) == 40 + 100 + 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "CoGroups" not in plan

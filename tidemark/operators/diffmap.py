@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.joins import similar_moves
+from tidemark.functions.derived import similarity
 
 COMMIT = ["commit_id", "parent"]
 HUNK = "commit_id long, parent long, hunk int, mod_type string, id string, name string, file string, added int, deleted int, new_id string, new_file string"
+#: Sources from this similarity on may be one function's (FN1, JN11).
+SIMILAR = 0.6
 
 
 def classified_diffs(diffs: DataFrame) -> DataFrame:
@@ -60,69 +65,112 @@ def merged_mods(changes: DataFrame) -> DataFrame:
     return changes.filter("mod_type <> 'MOD'").select(*key, "added", "deleted", "mod_type").unionByName(mods)
 
 
-def match_moves(pdf: pd.DataFrame, similar: dict[tuple[str, str], float]) -> list[tuple[int, int]]:
-    """GR13: pairs (row of a DEL, row of an ADD) of one commit and parent that are moves.
+def match_moves(gone: list[dict], came: list[dict], similar: dict[tuple[str, str], float]) -> list[tuple[int, int]]:
+    """GR13: pairs (place of a DEL, place of an ADD) of one commit and parent that are moves.
 
     Functions of one name first: within a file the ADD that starts where the DEL was, then the first one there, then what is left in
     order. Then functions of other names whose sources are similar (by the ids of a DEL and an ADD), the most similar first; a name is used once. Ties go by file
     and id.
     """
-    gone, came = pdf[pdf.mod_type == "DEL"], pdf[pdf.mod_type == "ADD"]
-    order = lambda d: d.sort_values(["file", "hunk", "id"], kind="stable")
-    pairs, used = [], set()
-    for name, dels in order(gone).groupby("name", sort=True):
-        adds = order(came[came.name == name])
-        left = list(dels.itertuples())
-        for test in (lambda d, a: d.file == a.file and d.start == a.start, lambda d, a: d.file == a.file, lambda d, a: True):
-            for d in list(left):
-                hit = next((a for a in adds.itertuples() if a.Index not in used and test(d, a)), None)
-                if hit is not None:
-                    used.add(hit.Index)
-                    pairs.append((d.Index, hit.Index))
-                    left.remove(d)
-    taken = {d for d, _ in pairs}
+    last = lambda x: (x is None, "" if x is None else x)
+    order = lambda rows: sorted(rows, key=lambda r: (last(r["file"]), last(r["hunk"]), last(r["id"])))
+    gone, came = order(gone), order(came)
+    pairs, used, taken = [], set(), set()
+    named: dict[str, tuple[list, list]] = {}
+    for side, rows in enumerate((gone, came)):
+        for r in rows:
+            if r["name"] is not None:
+                named.setdefault(r["name"], ([], []))[side].append(r)
+    for dels, adds in named.values():
+        # Each test is a queue of ADDs by what it compares, so that many functions of one name aren't compared all with all.
+        for key in (lambda r: (r["file"], r["start"]), lambda r: r["file"], lambda r: 0):
+            queues: dict = {}
+            for x in adds:
+                if x["at"] not in used:
+                    queues.setdefault(key(x), deque()).append(x["at"])
+            for d in dels:
+                if d["at"] not in taken and (queue := queues.get(key(d))):
+                    hit = queue.popleft()
+                    used.add(hit)
+                    taken.add(d["at"])
+                    pairs.append((d["at"], hit))
+    partners: dict[str, list[str]] = {}
+    for d, a in similar:
+        partners.setdefault(d, []).append(a)
+    place = {r["at"]: i for i, r in enumerate(came)}
+    adds: dict[str, list[dict]] = {}
+    for r in came:
+        if r["at"] not in used:
+            adds.setdefault(r["id"], []).append(r)
     fuzzy = [
-        (-s, d.file, d.id, a.file, a.id, d, a)
-        for d in order(gone).itertuples() if d.Index not in taken
-        for a in order(came).itertuples() if a.Index not in used and (s := similar.get((d.id, a.id))) is not None
+        (-similar[d["id"], i], last(d["file"]), last(d["id"]), last(a["file"]), last(a["id"]), n, place[a["at"]], d, a)
+        for n, d in enumerate(gone) if d["at"] not in taken for i in partners.get(d["id"], ()) for a in adds.get(i, ())
     ]
     names: set[tuple[str, str]] = set()
-    for *_, d, a in sorted(fuzzy, key=lambda x: x[:5]):
-        if ("d", d.name) in names or ("a", a.name) in names or a.Index in used or d.Index in taken:
+    for *_, d, a in sorted(fuzzy, key=lambda x: x[:7]):
+        if ("d", d["name"]) in names or ("a", a["name"]) in names or a["at"] in used or d["at"] in taken:
             continue
-        names |= {("d", d.name), ("a", a.name)}
-        used.add(a.Index)
-        taken.add(d.Index)
-        pairs.append((d.Index, a.Index))
+        names |= {("d", d["name"]), ("a", a["name"])}
+        used.add(a["at"])
+        taken.add(d["at"])
+        pairs.append((d["at"], a["at"]))
     return pairs
 
 
-def _merge(pdf: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.reset_index(drop=True)
-    pairs = match_moves(pdf, dict(zip(zip(scored["deleted"], scored["added"]), scored["similarity"])))
-    gone = {i for p in pairs for i in p}
-    out = pdf[~pdf.index.isin(gone)].assign(new_id=None, new_file=None)
-    moves = [
-        {**pdf.loc[d, ["commit_id", "parent", "hunk", "id", "name", "file"]].to_dict(), "mod_type": "MOVE", "added": pdf.loc[a, "added"], "deleted": pdf.loc[d, "deleted"], "new_id": pdf.loc[a, "id"], "new_file": pdf.loc[a, "file"]}
-        for d, a in pairs
-    ]
-    columns = [c.split()[0] for c in HUNK.split(", ")]
-    return pd.concat([out[columns], pd.DataFrame(moves, columns=columns)]) if moves else out[columns]
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("d", T.IntegerType()), T.StructField("a", T.IntegerType())])))
+def _matches(commits: pa.Array) -> pa.Array:
+    """match_moves of each commit; NULL for one in which nothing can match."""
+    out = []
+    for c in commits.to_pylist():
+        if c is None:
+            out.append(None)
+            continue
+        similar: dict[tuple[str, str], float] = {}
+        for s in c["scored"]:
+            similar[s["deleted"], s["added"]] = max(s["similarity"], similar.get((s["deleted"], s["added"]), 0.0))
+        out.append([{"d": d, "a": a} for d, a in match_moves(c["gone"], c["came"], similar)])
+    return pa.array(out, pa.list_(pa.struct([("d", pa.int32()), ("a", pa.int32())])))
 
 
 def moves_merged(changes: DataFrame) -> DataFrame:
     """GR13: change rows in which matching ADD and DEL rows of a commit and parent have become one MOVE.
 
-    changes: HUNK's columns up to deleted, with start and source. Similar sources are found by a join and scored before; only greedy matching
-    is sequential, and only commits with a DEL and an ADD go through it, each (commit, parent) as a group.
+    changes: HUNK's columns up to deleted, with start and source. The rows of a commit and parent are brought together once, as an array; similar
+    sources are scored there by the JVM (their lengths rule most pairs out), and only commits in which a DEL and an ADD have a name in common or
+    similar sources go through the greedy choice.
     """
-    both = changes.groupBy(*COMMIT).agg(F.max((F.col("mod_type") == "DEL").cast("int")).alias("d_"), F.max((F.col("mod_type") == "ADD").cast("int")).alias("a_")).filter("d_ + a_ = 2").select(*COMMIT)
-    plain = changes.join(both, COMMIT, "left_anti").select(*[c.split()[0] for c in HUNK.split(", ")[:-2]], F.lit(None).cast("string").alias("new_id"), F.lit(None).cast("string").alias("new_file"))
-    some = changes.join(both, COMMIT, "left_semi")
-    source = lambda m: some.filter(F.col("mod_type") == m).select(*COMMIT, "id", F.coalesce("source", F.lit("")).alias("source")).distinct()
-    scored = similar_moves(source("DEL"), source("ADD"), COMMIT, "source").groupBy(*COMMIT, "deleted", "added").agg(F.max("similarity").alias("similarity"))
-    scored = scored.withColumnsRenamed({c: f"of_{c}" for c in COMMIT})
-    return plain.unionByName(some.groupBy(*COMMIT).cogroup(scored.groupBy(*[f"of_{c}" for c in COMMIT])).applyInPandas(_merge, HUNK))
+    plain = [c.split()[0] for c in HUNK.split(", ")[2:-2]]
+    kind = lambda m: lambda r: r.mod_type == m
+    row = F.struct(*plain, "start", F.coalesce("source", F.lit("")).alias("source"))
+    rows = changes.repartition(*COMMIT).groupBy(*COMMIT).agg(F.collect_list(row).alias("all_"))
+    side = lambda m: F.filter(F.transform("all_", lambda r, i: F.struct(i.alias("at"), *[r[c].alias(c) for c in ("mod_type", "name", "file", "hunk", "start", "id", "source")])), kind(m))
+    known = F.col("commit_id").isNotNull() & F.col("parent").isNotNull() & F.exists("all_", kind("DEL")) & F.exists("all_", kind("ADD"))
+    sides = rows.withColumns({"gone_": F.when(known, side("DEL")), "came_": F.when(known, side("ADD"))})
+
+    def scores(d: Column) -> Column:
+        """What of the ADDs is similar to a DEL."""
+        short = lambda a: F.least(F.length(d.source), F.length(a.source)) / F.greatest(F.length(d.source), F.length(a.source), F.lit(1))
+        near = F.transform(F.filter("came_", lambda a: short(a) >= SIMILAR), lambda a: F.struct(d.id.alias("deleted"), a.id.alias("added"), similarity(d.source, a.source).alias("similarity")))
+        return F.filter(near, lambda s: s.similarity >= SIMILAR)
+
+    scored = sides.withColumn("scored_", F.flatten(F.transform("gone_", scores)))
+    may = (F.size("scored_") > 0) | F.arrays_overlap(F.transform("gone_", lambda r: r["name"]), F.transform("came_", lambda r: r["name"]))
+    bare = lambda c: F.transform(c, lambda r: r.dropFields("source", "mod_type"))
+    asked = F.when(may, F.struct(bare("gone_").alias("gone"), bare("came_").alias("came"), F.col("scored_").alias("scored")))
+    matched = scored.select(*COMMIT, "all_", asked.alias("asked_")).withColumn("pairs_", _matches("asked_"))
+    none = F.lit(None).cast("string")
+    at = lambda i: F.element_at("all_", i + 1)
+    spent = lambda i: F.array_contains(F.concat(F.transform("pairs_", lambda p: p.d), F.transform("pairs_", lambda p: p.a)), i)
+    left = F.filter("all_", lambda r, i: F.coalesce(~spent(i), F.lit(True)))
+    kept = F.transform(left, lambda r: F.struct(*[r[c].alias(c) for c in plain], none.alias("new_id"), none.alias("new_file")))
+
+    def move(p: Column) -> Column:
+        own = {"mod_type": F.lit("MOVE"), "added": at(p.a).added}
+        return F.struct(*[own.get(c, at(p.d)[c]).alias(c) for c in plain], at(p.a).id.alias("new_id"), at(p.a).file.alias("new_file"))
+
+    moved = F.coalesce(F.transform("pairs_", move), F.array().cast(f"array<struct<{', '.join(c.replace(' ', ': ') for c in HUNK.split(', ')[2:])}>>"))
+    out = matched.select(*COMMIT, F.explode(F.concat(kept, moved)).alias("r_"))
+    return out.select(*COMMIT, *[f"r_.{c}" for c in (*plain, "new_id", "new_file")])
 
 
 def reattributed(changes: DataFrame) -> DataFrame:
