@@ -89,3 +89,39 @@ def test_moves_take_no_python_group_for_each_commit(spark):
     assert len(got) == 40 + 100 + 2
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "CoGroups" not in plan
+
+
+def two_projects(spark):
+    """The hand-made graph, and a copy of it in another project."""
+    e = spark.createDataFrame([(p, 100 * p + NUMBER[c], 100 * p + NUMBER[q]) for p in (0, 1) for c, q in EDGES], "project long, child long, parent long")
+    c = spark.createDataFrame([(p, 100 * p + i, i, i % 2 == 0) for p in (0, 1) for i in range(len(NAMES))], "project long, commit_id long, ord long, is_c boolean")
+    return c, e
+
+
+def test_ancestors_are_found_without_a_table_of_pairs(spark, reach):
+    c, e = two_projects(spark)
+    number = {(100 * p + NUMBER[d], 100 * p + NUMBER[a]) for d, a in reach for p in (0, 1)}
+    starts, changes = [(p, 100 * p + i, i % 2) for p in (0, 1) for i in range(len(NAMES))], [(p, i % 2, 100 * p + i) for p in (0, 1) for i in range(0, len(NAMES), 3)]
+    s = spark.createDataFrame([(*x, x[1] % 4 == 0) for x in starts], "project long, start_commit long, uid long, older boolean")
+    x = spark.createDataFrame(changes, "project long, uid long, commit_id long")
+    hits = {(u, d): {a for q, v, a in changes if v == u and (d, a) in number and a != d} for _, d, u in starts}
+    nearest = G.nearest_changes(s, x, c, e)
+    assert {(r.uid, r.start_commit, r.commit_id) for r in nearest.collect()} == {(u, d, a) for (u, d), h in hits.items() for a in h if not any((o, a) in number and o != a for o in h)}
+    indexed = W.c_index(c)
+    at = {r.commit_id: r.c_position for r in indexed.collect()}
+    ages = G.ages_by_project(s, x, indexed, e)
+    want = {(u, d): (max(at[d] - at[a] for a in h), min(at[d] - at[a] for a in h)) if h else (None, None) if d % 4 == 0 else (0, 0) for (u, d), h in hits.items()}
+    assert {(r.uid, r.start_commit): (r.age, r.last_edit) for r in ages.collect()} == want
+    pairs = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (0, 3, 11), (0, None, 1), (0, 1, 100), (1, 105, 101)], "project long, a long, b long")
+    related = G.related(pairs, c, e)
+    assert {(r.a, r.b, r.descends, r.precedes, r.related) for r in related.collect()} == {(a, b, (a, b) in number, (b, a) in number, (a, b) in number or (b, a) in number) for _, a, b in pairs.collect()}
+    listed = c.filter("commit_id % 100 IN (2, 3, 12)").select("project", "commit_id")
+    mine = {r.commit_id for r in listed.collect()}
+    first = G.without_listed_ancestor(listed, c, e)
+    assert {r.commit_id for r in first.collect()} == {d for d in mine if not any((d, a) in number for a in mine - {d})}
+    counts = G.listed_ancestors(c, listed, e)
+    assert {r.commit_id: r.n for r in counts.collect()} == {d: sum((d, a) in number for a in mine) for d in at}
+    apart = G.distances(indexed, e)
+    assert {(r.descendant, r.ancestor): r.c_distance for r in apart.collect()} == {(d, a): at[d] - at[a] for d, a in number}
+    for df in (nearest, ages, related, first, counts, apart):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()

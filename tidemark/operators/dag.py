@@ -4,67 +4,23 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ancestry import Graph, closure, distances, joint_rows, listed_ancestors, nearest_changes, related, without_listed_ancestor  # noqa: F401
+from tidemark.operators.ancestry import ages as ages_by_project  # noqa: F401
 from tidemark.operators.shared import kept
 
 
 def closure_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Reflexive closure of one project's edges (child, parent; parent may be NULL), by bit sets in topological order."""
-    parents: dict = {}
-    for c, p in zip(pdf["child"], pdf["parent"]):
-        parents.setdefault(c, set())
-        if pd.notna(p):
-            parents[c].add(int(p))
-            parents.setdefault(int(p), set())
-    number = {c: i for i, c in enumerate(sorted(parents))}
-    names = sorted(parents)
-    reach: dict[int, int] = {}
-    for start in names:  # depth first without recursion: histories are deep
-        stack = [start]
-        while stack:
-            c = stack[-1]
-            open_ = [p for p in parents[c] if p not in reach]
-            if c in reach or not open_:
-                stack.pop()
-                bits = 1 << number[c]
-                for p in parents[c]:
-                    bits |= reach[p]
-                reach[c] = bits
-            else:
-                stack.extend(open_)
-    out = []
-    for c in names:
-        bits = reach[c]
-        while bits:
-            low = bits & -bits
-            out.append((c, names[low.bit_length() - 1]))
-            bits ^= low
-    return pd.DataFrame(out, columns=["descendant", "ancestor"]).assign(project=pdf["project"].iloc[0] if len(pdf) else None)
-
-
-def closure(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """GR1: (project, descendant, ancestor), each commit its own ancestor. One group function for each project."""
-    rows = edges.select("project", F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")).unionByName(
-        commits.select("project", F.col("commit_id").cast("long").alias("child"), F.lit(None).cast("long").alias("parent"))
-    )
-    return rows.groupBy("project").applyInPandas(lambda pdf: closure_pandas(pdf)[["project", "descendant", "ancestor"]], "project long, descendant long, ancestor long")
-
-
-def related(pairs: DataFrame, reach: DataFrame) -> DataFrame:
-    """GR2: for pairs (a, b): whether a descends from b, b from a, or either."""
-    down = reach.select(F.col("descendant").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("d"))
-    up = reach.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b"), F.lit(True).alias("u"))
-    no = lambda c: F.coalesce(c, F.lit(False))
-    return pairs.join(down, ["a", "b"], "left").join(up, ["a", "b"], "left").select("a", "b", no("d").alias("descends"), no("u").alias("precedes"), (no("d") | no("u")).alias("related"))
-
-
-def without_listed_ancestor(listed: DataFrame, reach: DataFrame) -> DataFrame:
-    """GR3: listed commits that have no other listed commit as an ancestor."""
-    other = reach.join(listed.select(F.col("commit_id").alias("ancestor")), "ancestor", "left_semi").filter("descendant <> ancestor")
-    return listed.join(other.select(F.col("descendant").alias("commit_id")), "commit_id", "left_anti")
+    graph = Graph([int(c) for c in pdf["child"]], [int(p) if pd.notna(p) else None for p in pdf["parent"]])
+    pieces = list(graph.pairs())
+    d, a = (np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, int) for k in (0, 1))
+    names = np.array(graph.names, np.int64)
+    return pd.DataFrame({"descendant": names[d], "ancestor": names[a]}).assign(project=pdf["project"].iloc[0] if len(pdf) else None)
 
 
 def roots(commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,12 +28,6 @@ def roots(commits: DataFrame, edges: DataFrame) -> DataFrame:
     return commits.join(edges.select(F.col("child").alias("commit_id")), "commit_id", "left_anti")
 
 
-def listed_ancestors(commits: DataFrame, listed: DataFrame, reach: DataFrame) -> DataFrame:
-    """AGG30: how many of the listed commits are ancestors of each commit, itself included."""
-    hits = reach.join(listed.select(F.col("commit_id").alias("ancestor")), "ancestor", "left_semi").groupBy(F.col("descendant").alias("commit_id")).agg(F.count(F.lit(1)).alias("n"))
-    return commits.select("commit_id").join(hits, "commit_id", "left").select("commit_id", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def walk_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Order of one project's commits: the earliest (ts, commit_id) of those whose parents are all done."""
     parents, children, ts = {}, {}, {}
@@ -151,13 +101,6 @@ def integer_keys(rows: DataFrame) -> DataFrame:
     return first.withColumn("key", (F.row_number().over(Window.partitionBy("project").orderBy("at")) - 1).cast("long")).drop("at")
 
 
-def nearest_changes(starts: DataFrame, changes: DataFrame, reach: DataFrame) -> DataFrame:
-    """JN10: the newest changing ancestors of each start commit: those that no other changing ancestor descends from."""
-    hits = starts.join(changes, "uid").join(reach.select(F.col("descendant").alias("start_commit"), F.col("ancestor").alias("commit_id")), ["start_commit", "commit_id"]).filter("commit_id <> start_commit").select("uid", "start_commit", "commit_id").distinct()
-    later = hits.select("uid", "start_commit", F.col("commit_id").alias("later")).join(reach.select(F.col("descendant").alias("later"), F.col("ancestor").alias("commit_id")), "later").filter("later <> commit_id")
-    return hits.join(later.select("uid", "start_commit", "commit_id"), ["uid", "start_commit", "commit_id"], "left_anti")
-
-
 def chains_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Linear branches of one project: a commit follows its first parent unless an earlier child took that place."""
     rows = pdf.sort_values("ord")

@@ -30,16 +30,16 @@ query("win5_window_commits", f"SELECT uid, start, commits FROM ({WIN4})")(lambda
 INDEX = "SELECT commit_id, project, row_number() OVER (PARTITION BY project ORDER BY ord) - 1 AS position, coalesce(sum(CAST(is_c AS INT)) OVER (PARTITION BY project ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_position FROM {dag}"
 REACH = "r AS (SELECT commit_id AS descendant, commit_id AS ancestor FROM {dag} UNION SELECT r.descendant, e.parent FROM r JOIN {edges} e ON e.child = r.ancestor)"
 query("win6_distances", f"""WITH RECURSIVE {REACH}, x AS ({INDEX}) SELECT descendant, ancestor, CAST(d.position - a.position AS BIGINT) AS distance, CAST(d.c_position - a.c_position AS BIGINT) AS c_distance
-  FROM r JOIN x d ON d.commit_id = descendant JOIN x a ON a.commit_id = ancestor""")(lambda v: W.distances(G.closure(v.dag, v.edges).drop("project"), W.c_index(v.dag)))
+  FROM r JOIN x d ON d.commit_id = descendant JOIN x a ON a.commit_id = ancestor""")(lambda v: G.distances(W.c_index(v.dag), v.edges))
 _HITS = f"""WITH RECURSIVE {REACH}, x AS ({INDEX}), s AS (SELECT commit_id AS start_commit, commit_id % 5 AS uid FROM {{dag}} WHERE ord % 4 = 0), c AS (SELECT commit_id, commit_id % 5 AS uid FROM {{dag}} WHERE ord % 3 = 0),
   h AS (SELECT s.uid, s.start_commit, d.c_position - a.c_position AS dist FROM s JOIN c ON s.uid = c.uid JOIN r ON r.descendant = s.start_commit AND r.ancestor = c.commit_id JOIN x d ON d.commit_id = s.start_commit JOIN x a ON a.commit_id = c.commit_id WHERE c.commit_id <> s.start_commit),
   g AS (SELECT s.uid, s.start_commit, CAST(coalesce(max(dist), CASE WHEN s.start_commit % 2 = 0 THEN NULL ELSE 0 END) AS BIGINT) AS age, CAST(coalesce(min(dist), CASE WHEN s.start_commit % 2 = 0 THEN NULL ELSE 0 END) AS BIGINT) AS last_edit FROM s LEFT JOIN h ON s.uid = h.uid AND s.start_commit = h.start_commit GROUP BY 1, 2) """
 
 
 def _ages(v):
-    starts = v.dag.filter("ord % 4 = 0").select(C("commit_id").alias("start_commit"), (C("commit_id") % 5).alias("uid"))
-    changes = v.dag.filter("ord % 3 = 0").select("commit_id", (C("commit_id") % 5).alias("uid"))
-    return W.ages(starts, changes, W.distances(G.closure(v.dag, v.edges).drop("project"), W.c_index(v.dag)), starts.filter("start_commit % 2 = 0"))
+    starts = v.dag.filter("ord % 4 = 0").select("project", C("commit_id").alias("start_commit"), (C("commit_id") % 5).alias("uid"), (C("commit_id") % 2 == 0).alias("older"))
+    changes = v.dag.filter("ord % 3 = 0").select("project", "commit_id", (C("commit_id") % 5).alias("uid"))
+    return G.ages_by_project(starts, changes, W.c_index(v.dag), v.edges)
 
 
 query("win7_age", _HITS + "SELECT uid, start_commit, age FROM g")(lambda v: _ages(v).select("uid", "start_commit", "age"))
@@ -78,9 +78,9 @@ def _place(by, order):
 query("gr1_closure", f"WITH RECURSIVE {REACH} SELECT descendant, ancestor FROM r")(lambda v: G.closure(v.dag, v.edges).select("descendant", "ancestor"))
 query("gr2_related", f"""WITH RECURSIVE {REACH}, p AS (SELECT x.commit_id AS a, y.commit_id AS b FROM {{dag}} x JOIN {{dag}} y ON x.project = y.project AND y.ord = x.ord + 2), q AS (SELECT a, b, EXISTS (SELECT 1 FROM r WHERE descendant = a AND ancestor = b) AS descends,
   EXISTS (SELECT 1 FROM r WHERE descendant = b AND ancestor = a) AS precedes FROM p) SELECT *, descends OR precedes AS related FROM q""")(
-    lambda v: G.related(v.dag.select("project", "ord", C("commit_id").alias("a")).join(v.dag.select("project", (C("ord") - 2).alias("ord"), C("commit_id").alias("b")), ["project", "ord"]).select("a", "b"), G.closure(v.dag, v.edges)))
+    lambda v: G.related(v.dag.select("project", "ord", C("commit_id").alias("a")).join(v.dag.select("project", (C("ord") - 2).alias("ord"), C("commit_id").alias("b")), ["project", "ord"]).select("project", "a", "b"), v.dag, v.edges))
 query("gr3_no_listed_ancestor", f"WITH RECURSIVE {REACH}, l AS (SELECT commit_id FROM {{dag}} WHERE commit_id % 7 < 3) SELECT commit_id FROM l WHERE NOT EXISTS (SELECT 1 FROM r JOIN l o ON r.ancestor = o.commit_id WHERE r.descendant = l.commit_id AND r.ancestor <> l.commit_id)")(
-    lambda v: G.without_listed_ancestor(v.dag.filter("commit_id % 7 < 3").select("commit_id"), G.closure(v.dag, v.edges)))
+    lambda v: G.without_listed_ancestor(v.dag.filter("commit_id % 7 < 3").select("project", "commit_id"), v.dag, v.edges))
 query("gr4_roots", "SELECT commit_id FROM {dag} WHERE commit_id NOT IN (SELECT child FROM {edges})")(lambda v: G.roots(v.dag.select("commit_id"), v.edges))
 query("gr5_topological_walk")(lambda v: G.walk(v.dag, v.edges))
 _BRANCH_KINDS = """k AS (SELECT parent, count(DISTINCT child) AS kids FROM {edges} GROUP BY parent), u AS (SELECT child, count(DISTINCT e.parent) AS n, max(kids) AS kids FROM {edges} e JOIN k ON e.parent = k.parent GROUP BY child),
@@ -95,11 +95,11 @@ query("agg10_degrees", """SELECT commit_id, array_to_string(p, ',') AS parents,
   LEFT JOIN (SELECT parent, list_sort(list(DISTINCT child)) AS c FROM {edges} GROUP BY parent) ON parent = commit_id""")(
     lambda v: G.degrees(v.dag, v.edges).select("commit_id", *[F.array_join(C(c).cast("array<string>"), ",").alias(c) for c in ("parents", "children")]))
 query("agg30_listed_ancestors", f"WITH RECURSIVE {REACH} SELECT commit_id, (SELECT count(*) FROM r WHERE descendant = commit_id AND ancestor % 7 < 3) AS n FROM {{dag}}")(
-    lambda v: G.listed_ancestors(v.dag, v.dag.filter("commit_id % 7 < 3").select("commit_id"), G.closure(v.dag, v.edges)))
+    lambda v: G.listed_ancestors(v.dag, v.dag.filter("commit_id % 7 < 3").select("project", "commit_id"), v.edges))
 query("jn10_nearest_changes", f"""WITH RECURSIVE {REACH}, s AS (SELECT commit_id AS start_commit, commit_id % 5 AS uid FROM {{dag}} WHERE ord % 4 = 0), c AS (SELECT commit_id, commit_id % 5 AS uid FROM {{dag}} WHERE ord % 3 = 0),
   h AS (SELECT DISTINCT s.uid, s.start_commit, c.commit_id FROM s JOIN c ON s.uid = c.uid JOIN r ON r.descendant = s.start_commit AND r.ancestor = c.commit_id WHERE c.commit_id <> s.start_commit)
   SELECT uid, start_commit, commit_id FROM h WHERE NOT EXISTS (SELECT 1 FROM h o JOIN r ON r.descendant = o.commit_id AND r.ancestor = h.commit_id WHERE o.uid = h.uid AND o.start_commit = h.start_commit AND o.commit_id <> h.commit_id)""")(
-    lambda v: G.nearest_changes(v.dag.filter("ord % 4 = 0").select(C("commit_id").alias("start_commit"), (C("commit_id") % 5).alias("uid")), v.dag.filter("ord % 3 = 0").select("commit_id", (C("commit_id") % 5).alias("uid")), G.closure(v.dag, v.edges)))
+    lambda v: G.nearest_changes(v.dag.filter("ord % 4 = 0").select("project", C("commit_id").alias("start_commit"), (C("commit_id") % 5).alias("uid")), v.dag.filter("ord % 3 = 0").select("project", "commit_id", (C("commit_id") % 5).alias("uid")), v.dag, v.edges))
 query("jn3_snapshot_changes", """WITH p AS (SELECT coalesce(o.snapshot_index, n.snapshot_index - 1) AS older, o.signature AS o, n.signature AS n, o.lch AS ol, n.lch AS nl FROM {joint} o FULL JOIN {joint} n ON n.snapshot_index = o.snapshot_index + 1 AND o.signature = n.signature AND o.file = n.file),
   c AS (SELECT older, count(o) AS func_before, count(n) AS func_now, count(*) FILTER (o IS NOT NULL AND n IS NOT NULL) AS func_identical, count(*) FILTER (o IS NULL) AS func_added, count(*) FILTER (n IS NULL) AS func_removed,
   round(median(CASE WHEN ol > 0 THEN abs(ol - nl) * 100.0::DOUBLE / ol END), 2) AS median_perc_change FROM p GROUP BY older) SELECT *, (func_added + func_removed) * 100 // func_before AS perc_add_rem FROM c WHERE func_before > 0 AND func_now > 0""")(
