@@ -59,13 +59,6 @@ def c_index(commits: DataFrame, by: str = "project", order: str = "ord") -> Data
     return commits.withColumn("position", (F.row_number().over(w) - 1).cast("long")).withColumn("c_position", before)
 
 
-def distances(closure: DataFrame, indexed: DataFrame) -> DataFrame:
-    """WIN6: traversal distance and C distance of every (descendant, ancestor) pair."""
-    d = indexed.select(F.col("commit_id").alias("descendant"), F.col("position").alias("dp"), F.col("c_position").alias("dc"))
-    a = indexed.select(F.col("commit_id").alias("ancestor"), F.col("position").alias("ap"), F.col("c_position").alias("ac"))
-    return closure.join(d, "descendant").join(a, "ancestor").select("descendant", "ancestor", (F.col("dp") - F.col("ap")).alias("distance"), (F.col("dc") - F.col("ac")).alias("c_distance"))
-
-
 def ages(starts: DataFrame, changes: DataFrame, distance: DataFrame, older: DataFrame) -> DataFrame:
     """WIN7, WIN8: AGE and LAST_EDIT of functions at start commits.
 
