@@ -73,3 +73,20 @@ def test_sinks(spark, tmp_path):
     sinks.write_by_snapshot(rows, str(tmp_path / "by"))
     sinks.write_by_snapshot(rows.filter("snapshot_index = 1").withColumn("n", rows.snapshot_index + 8), str(tmp_path / "by"))
     assert sorted(r.n for r in spark.read.option("header", True).schema("snapshot_index int, n int, snapshot_date string").csv(str(tmp_path / "by")).collect()) == [5, 9]
+
+
+def test_common_lines_of_long_texts_take_time_by_their_lines(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.derived import common_lines
+
+    long = "\n".join(f"line {i}" for i in range(40000))
+    rows = [(0, long, long + "\nmore\n"), (1, "a b\r\n\tc\n\n", "c\nab\nab"), (2, "", " \n"), (3, None, "a"), (4, "x\nx\ny", "x\ny\ny\nz")]
+    texts = spark.createDataFrame(rows, "id int, a string, b string")
+    texts.select(common_lines(F.col("b"), F.col("b"))).filter("false").collect()
+    began = time.time()
+    got = {r.id: r.s for r in texts.select("id", common_lines(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got == {0: 80000 / 80001, 1: 4 / 5, 2: 1.0, 3: None, 4: 4 / 7}
+    assert time.time() - began < 15

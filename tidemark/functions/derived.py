@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def line_delta(added: str, deleted: str) -> Column:
@@ -113,17 +117,32 @@ def rename_distance(a: Column, b: Column) -> Column:
     return F.when(d <= limit, d / limit).otherwise(F.lit(float("inf")))
 
 
+def bare_lines(text: Column) -> Column:
+    """A text without white space but for its newlines: what common_lines compares."""
+    return F.translate(text, " \t\x0b\f\r", "")
+
+
+@F.arrow_udf(T.DoubleType())
+def _shared(old: pa.Array, new: pa.Array) -> pa.Array:
+    """common_lines of bare texts; counts are kept by line, so the work grows with the lines and not with their square."""
+    out: list[float | None] = []
+    for i in range(len(old)):
+        a, b = old[i].as_py(), new[i].as_py()
+        if a is None or b is None:
+            out.append(None)
+            continue
+        a, b = [x for x in a.split("\n") if x], [x for x in b.split("\n") if x]
+        total = len(a) + len(b)
+        out.append(2.0 * (Counter(a) & Counter(b)).total() / total if total else 1.0)
+    return pa.array(out, pa.float64())
+
+
 def common_lines(old: Column, new: Column) -> Column:
     """FN3: the part of both texts' lines that they share, white space aside; lines are counted, their order isn't.
 
-    (total - deleted - added) / total, where total is the lines of both texts.
+    (total - deleted - added) / total, where total is the lines of both texts. Texts that are bare_lines already may be given as well.
     """
-    lines = lambda t: F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != "")
-    a, b = lines(old), lines(new)
-    times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
+    return _shared(bare_lines(old), bare_lines(new))
 
 
 def keywords_found(message: Column, keywords: list[str]) -> Column:

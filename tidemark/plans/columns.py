@@ -99,7 +99,7 @@ _LINES = "list_filter(list_transform(string_split({}, chr(10)), lambda x: regexp
 query("fn3_common_lines", f"""WITH t AS (SELECT a.doc_id, {_LINES.format('a.text')} AS a, {_LINES.format('b.text')} AS b FROM {{documents}} a JOIN {{documents}} b ON b.doc_id = a.doc_id + 1),
   x AS (SELECT doc_id, unnest(list_distinct(a)) AS line, a, b FROM t), c AS (SELECT doc_id, sum(least(len(list_filter(a, lambda l: l = line)), len(list_filter(b, lambda l: l = line)))) AS n FROM x GROUP BY doc_id)
   SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2.0::DOUBLE * coalesce(n, 0) / (len(a) + len(b)) END, 6) AS share FROM t LEFT JOIN c USING (doc_id)""")(
-    lambda v: v.documents.select("doc_id", C("text").alias("a")).join(v.documents.select((C("doc_id") - 1).alias("doc_id"), C("text").alias("b")), "doc_id").select("doc_id", F.round(D.common_lines(C("a"), C("b")), 6).alias("share")))
+    lambda v: v.documents.select("doc_id", D.bare_lines(C("text")).alias("a")).join(v.documents.select((C("doc_id") - 1).alias("doc_id"), D.bare_lines(C("text")).alias("b")), "doc_id").select("doc_id", F.round(D.common_lines(C("a"), C("b")), 6).alias("share")))
 derive("fn4_keywords", "conversations", "array_to_string(list_filter(['the', 'and', 'ing', 'tion'], lambda k: contains(lower(text), k)), ' ') AS found", ["conv_id", "turn"], lambda: dict(found=D.keywords_found(C("text"), ["the", "and", "ing", "tion"])))
 derive("fn5_hunk_headers", "documents", "array_to_string(regexp_extract_all('@@ -' || doc_id || ' +' || n_chars || ' @@' || chr(10) || '@@ x @@', '@@ (.*) @@', 1), '|') AS headers", ["doc_id"],
        lambda: dict(headers=F.array_join(D.hunk_headers(F.concat(F.lit("@@ -"), C("doc_id").cast("string"), F.lit(" +"), C("n_chars").cast("string"), F.lit(" @@\n@@ x @@"))), "|")))
