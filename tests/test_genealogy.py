@@ -73,3 +73,15 @@ def test_on_spark(spark):
     existing = spark.createDataFrame([(1, "z")], "commit_id long, id string")
     got = genealogy(commits, changes, existing).collect()
     assert len({r.uid for r in got}) == 1 and len(got) == 2
+
+
+def test_many_projects_share_a_batch(spark):
+    n = 300
+    commits = spark.createDataFrame([(p, 2 * p, 0, [], None) for p in range(n)] + [(p, 2 * p + 1, 1, [2 * p], 2 * p) for p in range(n)], "project long, commit_id long, ord long, parents array<long>, previous long")
+    changes = spark.createDataFrame([(2 * p, 0, "ADD", "f", None) for p in range(n)] + [(2 * p + 1, 0, "MOVE", "f", "g") for p in range(n)], "commit_id long, hunk int, mod_type string, id string, new_id string")
+    out = genealogy(commits, changes)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.project, []).append(r.uid)
+    assert len(got) == n and all(len(u) == 2 and len(set(u)) == 1 for u in got.values())
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()

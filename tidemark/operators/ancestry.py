@@ -97,10 +97,11 @@ class Graph:
             yield d + at, a
 
 
-def by_project(rows: DataFrame, answer: Callable[[dict[str, list]], Iterator[list]], schema: str) -> DataFrame:
-    """answer() of each project's rows (columns project, kind and others, as lists), without a group function's cost for each project.
+def by_project(rows: DataFrame, answer: Callable[[dict[str, list]], Iterator[list]], schema: str, order: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """answer() of each project's rows (their columns as lists, project the first), without a group function's cost for each project.
 
-    Rows of many projects come in one batch, those of a project next to each other and in order of kind; answer yields columns in the schema's order.
+    Rows of many projects come in one batch, those of a project next to each other and in order (by default of their column kind); answer yields columns in the
+    schema's order.
     """
     names = rows.columns
     types = [(n, {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[t]) for n, t in (c.split() for c in schema.split(", "))]
@@ -123,7 +124,7 @@ def by_project(rows: DataFrame, answer: Callable[[dict[str, list]], Iterator[lis
                 yield _batch(out, types)
                 out, size = [], 0
 
-    return rows.repartition("project").sortWithinPartitions("project", "kind").mapInArrow(run, schema)
+    return rows.repartition("project").sortWithinPartitions("project", *order).mapInArrow(run, schema)
 
 
 def _batch(parts: list[list], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ancestry import by_project
 from tidemark.operators.shared import kept as _kept
 
 
@@ -63,14 +64,14 @@ class Line:
 
     def copy(self) -> Line:
         other = Line(self.name, self.classes, self.log, self.parents)
-        other.living, other.notes = dict(self.living), {k: list(v) for k, v in self.notes.items()}
+        other.living, other.notes = dict(self.living), dict(self.notes)  # notes are replaced, never changed
         other.renamed = {k: list(v) for k, v in self.renamed.items()}
         return other
 
     def child(self, name: int) -> Line:
         """A new line that starts where this one ends."""
-        other = self.copy()
-        other.name, other.parents, other.renamed = name, (self,), {}
+        other = Line(name, self.classes, self.log, (self,))
+        other.living, other.notes = dict(self.living), dict(self.notes)
         return other
 
     def _note(self, key: str, f: int, commit: int, deleted: bool) -> None:
@@ -101,7 +102,7 @@ class Line:
         return None
 
     def apply(self, row: dict) -> None:
-        {"ADD": self.add, "MOD": self.mod, "MOVE": self.move, "DEL": self.delete}[row["mod_type"]](row)
+        _KINDS[row["mod_type"]](self, row)
 
     def _assign(self, row: dict, f: int) -> None:
         self.log.append((row["commit_id"], row["hunk"], row["mod_type"], row["id"], f))
@@ -174,6 +175,9 @@ class Line:
             self.living[key] = self.classes.new()
 
 
+_KINDS = {"ADD": Line.add, "MOD": Line.mod, "MOVE": Line.move, "DEL": Line.delete}
+
+
 def merged(name: int, before: list[Line], tips: list[int], rows: list[dict], older: Callable[[int, int], bool]) -> Line:
     """GR9, GR22: the line after a merge of lines that end at the commits `tips`.
 
@@ -194,10 +198,10 @@ def merged(name: int, before: list[Line], tips: list[int], rows: list[dict], old
     dead = set()
     for key, found in notes.items():
         commits = {n[1] for n in found}
-        last = [n for n in found if not any(c != n[1] and older(n[1], c) for c in commits)] or found
+        last = found if len(commits) == 1 else [n for n in found if not any(c != n[1] and older(n[1], c) for c in commits)] or found
         states = {n[3] for n in last}
         if len(states) == 1:
-            out.notes[key] = list(last[-1])
+            out.notes[key] = last[-1]
             if states == {True}:
                 dead.add(key)
     for s in sides:
@@ -213,6 +217,12 @@ def merged(name: int, before: list[Line], tips: list[int], rows: list[dict], old
 def genealogy_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Classes of one project's changes; rows: commits in `ord` with parents, and their changes or existing functions."""
     rows = pdf.sort_values(["ord", "hunk", "rank", "id"], kind="stable").to_dict("records")
+    out = [(pdf["project"].iloc[0], *r) for r in assigned(rows)]
+    return pd.DataFrame(out, columns=["project", "commit_id", "hunk", "mod_type", "id", "uid"])
+
+
+def assigned(rows: Iterable[dict]) -> list[tuple]:
+    """(commit_id, hunk, mod_type, id, uid) of one project's changes, from its rows in order."""
     parents: dict[int, list[int]] = {}
     changes: dict[int, list[dict]] = {}
     exists: dict[int, set[str]] = {}
@@ -249,8 +259,7 @@ def genealogy_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
         for r in own:
             line.apply(r)
         lines[c] = line
-    out = [(pdf["project"].iloc[0], c, h, m, i, classes.root(f)) for c, h, m, i, f in log]
-    return pd.DataFrame(out, columns=["project", "commit_id", "hunk", "mod_type", "id", "uid"])
+    return [(c, h, m, i, classes.root(f)) for c, h, m, i, f in log]
 
 
 def sum_bits(sets: Iterable[int]) -> int:
@@ -263,13 +272,22 @@ def sum_bits(sets: Iterable[int]) -> int:
 def genealogy(commits: DataFrame, changes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """GR8: (project, commit_id, hunk, mod_type, id, uid): every change with the function it belongs to, across renames and merges.
 
-    commits: (project, commit_id, ord, parents); changes: (commit_id, hunk, mod_type, id, new_id, previous); existing: functions
+    commits: (project, commit_id, ord, parents); changes: (commit_id, hunk, mod_type, id, new_id, previous; without it, commits have one for all their changes); existing: functions
     (commit_id, id) that exist at a snapshot's first commit. Within a commit rows go by hunk, kind (ADD, MOVE, MOD, DEL) and id. uid is a label
-    within the project. The state is sequential, so each project is one group.
+    within the project. The state is sequential, so a project is gone through by one task, many projects in a batch.
     """
     rank = F.array_position(F.array(*[F.lit(x) for x in ("ADD", "MOVE", "MOD", "DEL")]), F.col("mod_type"))
-    rows = changes.select("commit_id", "hunk", "mod_type", "id", "new_id", "previous")
+    whose = [] if "previous" in changes.columns else ["previous"]
+    rows = changes.select("commit_id", "hunk", "mod_type", "id", "new_id", *([] if whose else ["previous"]))
     if existing is not None:
-        rows = rows.unionByName(existing.select("commit_id", F.lit(-2).alias("hunk"), F.lit("EXISTS").alias("mod_type"), "id", F.lit(None).cast("string").alias("new_id"), F.lit(None).cast("long").alias("previous")))
-    joined = commits.select("project", "commit_id", "ord", "parents").join(rows, "commit_id", "left").withColumn("rank", rank)
-    return joined.groupBy("project").applyInPandas(genealogy_pandas, "project long, commit_id long, hunk int, mod_type string, id string, uid long")
+        rows = rows.unionByName(existing.select("commit_id", F.lit(-2).alias("hunk"), F.lit("EXISTS").alias("mod_type"), "id"), allowMissingColumns=True)
+    joined = commits.select("project", "commit_id", "ord", "parents", *whose).join(rows, "commit_id", "left").withColumn("rank", rank)
+    names = ["commit_id", "parents", "hunk", "mod_type", "id", "new_id", "previous"]
+
+    def answer(g: dict[str, list]) -> Iterator[list]:
+        out = assigned(dict(zip(names, r)) for r in zip(*(g[n] for n in names)))
+        if out:
+            yield [g["project"][: 1] * len(out), *zip(*out)]
+
+    out = "project long, commit_id long, hunk int, mod_type string, id string, uid long"
+    return by_project(joined.select("project", "ord", "rank", *names), answer, out, ("ord", "hunk", "rank", "id"))

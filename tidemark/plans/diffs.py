@@ -48,11 +48,12 @@ def _classes(v):
 
 
 def _genealogy(v):
-    from tidemark.operators.dag import degrees
     from tidemark.operators.genealogy import genealogy
 
-    commits = v.dag.select("project", "commit_id", "ord").join(degrees(v.dag, v.edges).select("commit_id", "parents"), "commit_id")
-    changes = v.moves.select("commit_id", "hunk", "mod_type", "id", "new_id").join(v.dag.select("commit_id", C("first_parent").alias("previous")), "commit_id")
+    # Both parents of a commit are columns of dag, so that its edges needn't be joined to it again.
+    parents = F.array_sort(F.array_distinct(F.array_compact(F.array("first_parent", "other_parent"))))
+    commits = v.dag.select("project", "commit_id", "ord", parents.alias("parents"), C("first_parent").alias("previous"))
+    changes = v.moves.select("commit_id", "hunk", "mod_type", "id", "new_id")
     return genealogy(commits, changes)
 
 
