@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.derived import similarity
 from tidemark.operators.rollups import numbered
+from tidemark.operators.shared import kept
 
 KEY = ["signature", "file"]
 #: Lines of a stretch of a file, while edits are joined with functions.
@@ -50,6 +51,13 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     return both.withColumn("perc_add_rem", F.expr("((func_added + func_removed) * 100) DIV func_before"))
 
 
+def added_functions(snapshots: DataFrame, parts: int) -> DataFrame:
+    """JN4: functions that the snapshot before didn't have; the snapshots' rows are worked out once and compared in so many partitions."""
+    rows, on = kept(snapshots.select("snapshot_index", *KEY)), ["snapshot_index", *KEY]
+    before = rows.withColumn("snapshot_index", F.col("snapshot_index") + 1)
+    return without(rows.filter("snapshot_index > 0").repartition(parts, *on), before.repartition(parts, *on), on)
+
+
 def changed_metric(snapshots: DataFrame, metric: str) -> DataFrame:
     """JN5: functions in two snapshots in a row whose metric differs though they were changed in the older one."""
     old = snapshots.select((F.col("snapshot_index") + 1).alias("snapshot_index"), *KEY, F.col(metric).alias("old"), F.col("commits").alias("old_commits"))

@@ -43,11 +43,21 @@ def window_measures(changes: DataFrame) -> DataFrame:
     )
 
 
-def change_stats(changes: DataFrame) -> DataFrame:
-    """AGG5: commits count all rows, line sums skip ADD and DEL."""
-    return changes.groupBy("uid").agg(
-        F.count_distinct("commit_id").alias("commits"), _sum(F.when(_mod(), F.col("added") + F.col("deleted")).otherwise(0)).alias("lines_changed")
-    )
+def change_stats(changes: DataFrame, parts: int | None = None) -> DataFrame:
+    """AGG5: commits count all rows, line sums skip ADD and DEL. A function's rows of one commit are summed first; parts: partitions after that."""
+    lines = changes.groupBy("commit_id", "uid").agg(_sum(F.when(_mod(), F.col("added") + F.col("deleted")).otherwise(0)).alias("lines"))
+    return (lines.repartition(parts, "uid") if parts else lines).groupBy("uid").agg(F.count("commit_id").alias("commits"), _sum("lines").alias("lines_changed"))
+
+
+def history(changes: DataFrame, parts: int | None = None) -> DataFrame:
+    """AGG6 before each snapshot in which a function was changed (history_before with those starts): changes are shuffled by function once."""
+    first = F.min(F.when(_mod(), F.col("snapshot_index"))).over(Window.partitionBy("commit_id", "uid"))
+    lines = changes.withColumn("new", _mod() & (F.col("snapshot_index") == first))
+    own = lines.groupBy("commit_id", "uid", "snapshot_index").agg(F.max(F.col("new").cast("int")).alias("new"), _sum(F.when(_mod(), F.col("added") + F.col("deleted"))).alias("lines"))
+    sums = (own.repartition(parts, "uid") if parts else own).groupBy("uid", F.col("snapshot_index").alias("start")).agg(_sum("new").alias("new"), _sum("lines").alias("lines"))
+    earlier = Window.partitionBy("uid").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    known = lambda c: F.coalesce(F.sum(F.when(F.col("start").isNotNull(), F.col(c))).over(earlier), F.lit(0))
+    return sums.select("uid", "start", known("new").alias("previous_commits"), known("lines").alias("previous_lines"))
 
 
 def history_before(changes: DataFrame, starts: DataFrame) -> DataFrame:

@@ -29,3 +29,16 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input files that a task of a wide step is meant for.
+TASK_BYTES = 8 << 20
+
+
+def task_count(*inputs: DataFrame) -> int:
+    """Partitions of a wide step over these inputs: they grow with the files, so that a task's memory doesn't."""
+    size = 0
+    for df in inputs:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size += sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import derived as D
 from tidemark.operators import joins as J
 from tidemark.operators import stats as S
+from tidemark.operators.shared import kept
 from tidemark.plans.registry import query
 from tidemark.plans.smells import SMELLS
 from tidemark.sources import tables as T
@@ -41,8 +42,14 @@ query("prj9_churn_prone", """SELECT uid, snapshot_index, lch / loc::DOUBLE > (SE
     lambda v: v.joint.crossJoin(v.joint.filter("commits > 0").agg(F.median(D.ratio("lch", "loc")).alias("m"))).select(*JOINT, (D.ratio("lch", "loc") > C("m")).alias("churn_prone")))
 query("prj10_whole_medians", """SELECT uid, snapshot_index, median_commits, median_lch, round(median_commits_ratio, 6) AS median_commits_ratio, round(median_lch_ratio, 6) AS median_lch_ratio FROM {joint},
   (SELECT median(commits) AS median_commits, median(lch) AS median_lch, median(commits / loc::DOUBLE) AS median_commits_ratio, median(lch / loc::DOUBLE) AS median_lch_ratio FROM {joint} WHERE commits > 0)""")(
-    lambda v: v.joint.crossJoin(v.joint.filter("commits > 0").agg(*[F.median(c).alias(f"median_{c}") for c in ("commits", "lch")], *[F.round(F.median(D.ratio(c, "loc")), 6).alias(f"median_{c}_ratio") for c in ("commits", "lch")]))
-    .select(*JOINT, "median_commits", "median_lch", "median_commits_ratio", "median_lch_ratio"))
+    lambda v: _whole_medians(kept(v.joint.select(*JOINT, "loc", "commits", "lch"))))
+
+
+def _whole_medians(rows):
+    medians = rows.filter("commits > 0").agg(*[F.median(c).alias(f"median_{c}") for c in ("commits", "lch")], *[F.round(F.median(D.ratio(c, "loc")), 6).alias(f"median_{c}_ratio") for c in ("commits", "lch")])
+    return rows.crossJoin(medians).select(*JOINT, "median_commits", "median_lch", "median_commits_ratio", "median_lch_ratio")
+
+
 derive("prj11_functions_per_snapshot", "joint", "count(*) OVER (PARTITION BY snapshot_index) AS tnf, round(log2(count(*) OVER (PARTITION BY snapshot_index) + 1), 6) AS log_tnf, round(log2(loac / loc::DOUBLE + 1), 6) AS log_loac_ratio", JOINT,
        lambda: dict(tnf=F.count("*").over(Window.partitionBy("snapshot_index")), log_tnf=F.round(F.log2(F.count("*").over(Window.partitionBy("snapshot_index")) + 1), 6), log_loac_ratio=F.round(F.log2(D.ratio("loac", "loc") + 1), 6)))
 query("prj12_z_scores", """SELECT uid, snapshot_index, round((lch - (SELECT avg(lch) FROM {joint})) / (SELECT stddev_samp(lch) FROM {joint}), 6) AS lch FROM {joint}""")(

@@ -8,8 +8,10 @@ from tidemark.functions import derived as D
 from tidemark.operators import joins as J
 from tidemark.operators import rollups as R
 from tidemark.operators import windows as W
+from tidemark.operators.shared import task_count
 from tidemark.plans.registry import query
 from tidemark.plans.smells import SMELLS
+from tidemark.sources import narrow as N
 
 C = F.col
 KEY = ["signature", "file"]
@@ -29,10 +31,10 @@ query("agg3_distinct_commits", f"SELECT uid, snapshot_index, commits FROM ({MEAS
 query("agg4_line_sums", f"SELECT uid, snapshot_index, lines_added, lines_deleted, lines_changed FROM ({MEASURES})")(
     lambda v: R.window_measures(v.changes).drop("commits"))
 query("agg5_change_stats", """SELECT uid, count(DISTINCT commit_id) AS commits, CAST(sum(CASE WHEN mod_type IN ('MOD', 'MOVE') THEN added + deleted ELSE 0 END) AS BIGINT) AS lines_changed FROM {changes} GROUP BY uid""")(
-    lambda v: R.change_stats(v.changes))
+    lambda v: N.change_stats(v.orders, v.lineitem, v.part))
 query("agg6_history_before", """SELECT s.uid, s.start, count(DISTINCT c.commit_id) AS previous_commits, CAST(coalesce(sum(c.added + c.deleted), 0) AS BIGINT) AS previous_lines
   FROM (SELECT DISTINCT uid, snapshot_index AS start FROM {changes}) s LEFT JOIN {changes} c ON c.uid = s.uid AND c.snapshot_index < s.start AND c.mod_type IN ('MOD', 'MOVE') GROUP BY s.uid, s.start""")(
-    lambda v: R.history_before(v.changes, v.changes.select("uid", C("snapshot_index").alias("start")).distinct()))
+    lambda v: N.history_before(v.orders, v.lineitem, v.part))
 WORDS = """list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9\\s]', '', 'g')), ' '), lambda w: w <> '')"""
 query("agg7_word_count", f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM {{conversations}}) GROUP BY word")(
     lambda v: R.word_counts(v.conversations, D.message_words(C("text"))))
@@ -105,7 +107,7 @@ query("jn2_full_coverage", """SELECT f.signature, f.file, coalesce(m.loc, f.loc)
 query("jn3_identical_functions", "SELECT o.snapshot_index AS older, count(*) AS n FROM {joint} o JOIN {joint} n ON n.snapshot_index = o.snapshot_index + 1 AND o.signature = n.signature AND o.file = n.file GROUP BY 1")(
     lambda v: J.snapshot_pairs(v.joint.select("snapshot_index", *KEY)).filter("old IS NOT NULL AND new IS NOT NULL").groupBy("older").agg(F.count(F.lit(1)).alias("n")))
 query("jn4_added_functions", "SELECT n.snapshot_index, n.signature, n.file FROM {joint} n LEFT JOIN {joint} o ON n.snapshot_index = o.snapshot_index + 1 AND o.signature = n.signature AND o.file = n.file WHERE o.signature IS NULL AND n.snapshot_index > 0")(
-    lambda v: J.without(v.joint.filter("snapshot_index > 0").select("snapshot_index", *KEY), v.joint.select((C("snapshot_index") + 1).alias("snapshot_index"), *KEY), ["snapshot_index", *KEY]))
+    lambda v: J.added_functions(v.joint, task_count(v.lineitem, v.orders)))
 query("jn5_changed_metric", """SELECT n.snapshot_index, n.signature, n.file, o.lch AS old, n.lch AS new FROM {joint} n JOIN {joint} o ON n.snapshot_index = o.snapshot_index + 1 AND o.signature = n.signature AND o.file = n.file
   WHERE o.lch <> n.lch AND o.commits > 0""")(lambda v: J.changed_metric(v.joint, "lch"))
 query("jn6_averages_to_detail", """SELECT m.system, m.d, m.i, m.formula, round(m.rho - a.mean, 4) AS off FROM {models} m JOIN (SELECT d, i, avg(rho) AS mean FROM {models} GROUP BY d, i) a ON m.d = a.d AND m.i = a.i""")(
