@@ -40,3 +40,34 @@ def test_spearman_of_a_monotone_pair(spark):
     rows = spark.createDataFrame([(i, i**3, -i) for i in range(20)], "a int, b int, c int")
     got = {r.i: r.rho for r in S.spearman(rows, ["a"], ["b", "c"]).collect()}
     assert got == {"b": 1.0, "c": -1.0}
+
+
+def test_ranks_are_the_same_whether_they_are_sent_or_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 2, i * 7 % 13, i * 5 % 11, i * i % 17) for i in range(200)], "g int, a int, b int, c int")
+    got = []
+    for sent in (S.SENT, 0):
+        monkeypatch.setattr(S, "SENT", sent)
+        got.append(sorted((r.g, r.i, r.n, r.rho) for r in S.spearman(rows, ["a"], ["b", "c"], ["g"]).collect()))
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
+def test_outcomes_counted_beforehand_give_the_same_model(spark, monkeypatch):
+    rows = spark.createDataFrame([(v * (1 + x), x) for v in [0, 0, 1, 1, 2, 3, 5, 9, 14, 0, 1, 22] for x in (0, 1)], "y int, x int")
+    got = []
+    for sent in (S.SENT, 0):
+        monkeypatch.setattr(S, "SENT", sent)
+        got.append([(t["coef"], t["theta"], t["aic"], t["p"]) for t in S.negative_binomial(rows, "y", ["x"])])
+    for a, b in zip(*got):
+        assert a == pytest.approx(b, rel=1e-7)
+
+
+def test_a_larger_class_is_not_numbered_by_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.rollups import balanced
+
+    rows = spark.createDataFrame([(i, None if i < 30 else i % 3 > 0) for i in range(330)], "i int, a boolean")
+    out = balanced(rows, F.col("a"), [F.col("i") * 7919 % 101, F.col("i")])
+    first = lambda a: sorted((i for i in range(30, 330) if (i % 3 > 0) == a), key=lambda i: (i * 7919 % 101, i))[:30]
+    assert sorted(r.i for r in out.collect()) == sorted([*range(30), *first(True), *first(False)])
+    assert "flag_" not in out._jdf.queryExecution().executedPlan().toString()

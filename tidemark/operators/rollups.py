@@ -218,10 +218,16 @@ def top_features(features: DataFrame, percents: dict[str, float]) -> DataFrame:
 
 
 def balanced(rows: DataFrame, flag: Column, order: list[Column]) -> DataFrame:
-    """SMP3: as many rows of either class as the smaller one has, first in the given order."""
-    w = Window.partitionBy("flag_").orderBy(*order)
-    counts = rows.groupBy(flag.alias("flag_")).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least_"))
-    return rows.withColumn("flag_", flag).withColumn("rank_", F.row_number().over(w)).crossJoin(counts).filter("rank_ <= least_").drop("flag_", "rank_", "least_")
+    """SMP3: as many rows of either class as the smaller one has, first in the given order. A larger class is numbered by ranges, not in one task."""
+    rows = _kept(rows)
+    counts = {r["flag_"]: r["c"] for r in rows.groupBy(flag.alias("flag_")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    out = rows.limit(0)
+    for value, c in counts.items():
+        own = rows.filter(flag.isNull() if value is None else flag == F.lit(value))
+        if c > min(counts.values()):
+            own = numbered(own, order, "rank_").filter(F.col("rank_") <= min(counts.values())).drop("rank_")
+        out = out.unionByName(own)
+    return out
 
 
 def folds(rows: DataFrame, size: int, order: list[Column]) -> DataFrame:

@@ -71,12 +71,18 @@ def ranks(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     return counts.withColumn("rank", before + (F.col("ties") + 1) / 2.0)
 
 
+#: Distinct values of a variable up to which their ranks are sent to all workers.
+SENT = 50_000
+
+
 def ranked(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:
-    """Rows with each variable's average rank in its place, by group."""
-    table = ranks(rows, values, by)
+    """Rows with each variable's average rank in its place, by group. Only variables of many distinct values are joined by a shuffle of the rows."""
+    table = kept(ranks(rows, values, by))
+    sizes = {r["variable"]: r["n"] for r in table.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = rows.select(*by, *[F.col(v).cast("double").alias(v) for v in values])
-    for v in values:
+    for v in sorted(values, key=lambda v: sizes.get(v, 0) > SENT):
         own = table.filter(F.col("variable") == v).select(*[F.col(g).alias(f"{g}_") for g in by], F.col("value").alias("value_"), F.col("rank").alias("rank_"))
+        own = F.broadcast(own) if sizes.get(v, 0) <= SENT else own
         on = F.col(v) == F.col("value_")
         for g in by:
             on = on & F.col(g).eqNullSafe(F.col(f"{g}_"))
@@ -97,7 +103,7 @@ def spearman(rows: DataFrame, dependents: list[str], independents: list[str], by
     by = by or []
     used = list(dict.fromkeys([*dependents, *independents]))
     pairs = [(d, i) for d in dependents for i in independents if d != i]
-    rank = ranked(rows.dropna(subset=used), used, by)
+    rank = ranked(kept(rows.dropna(subset=used).select(*by, *used)), used, by)
     wide = rank.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.corr(d, i).alias(f"r{k}") for k, (d, i) in enumerate(pairs)])
     each = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.col(f"r{k}").alias("rho")) for k, (d, i) in enumerate(pairs)])
     long = wide.select(*by, "n", F.explode(each).alias("x")).select(*by, "x.d", "x.i", "n", "x.rho")
@@ -196,9 +202,8 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*[c for c in rows.columns if c not in columns], *[F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")).alias(c) for c in columns])
 
 
-def _gamma_sums(y: np.ndarray, theta: float) -> tuple[float, float, float]:
-    """Over whole numbers y: sums of log gamma(y + theta) - log y!, and of the first two derivatives by theta."""
-    values, times = np.unique(y, return_counts=True)
+def _gamma_sums(values: np.ndarray, times: np.ndarray, theta: float) -> tuple[float, float, float]:
+    """Over whole numbers, each so many times: sums of log gamma(y + theta) - log y!, and of the first two derivatives by theta."""
     x = values + theta
     shift = [(x + k) for k in range(10)]
     z = x + 10
@@ -217,6 +222,8 @@ class Fit:
         self.beta = np.zeros(len(terms) + 1)
         self.theta, self.last, self.done, self.steps, self.gram = 1.0, None, False, 0, None
         self.sums = np.zeros(8)
+        #: Distinct outcomes and how often each occurs, where they are counted beforehand.
+        self.counts: tuple[np.ndarray, np.ndarray] | None = None
 
     def size(self) -> int:
         k = len(self.beta)
@@ -233,18 +240,24 @@ class Fit:
             fit = np.where(y > 0, np.log(np.maximum(p, 1e-300)), np.log(np.maximum(1 - p, 1e-300))).sum()
             more = [fit, len(y), y.sum(), float(((p < 1e-15) | (p > 1 - 1e-15)).sum()), 0, 0, 0, 0]
         else:
-            t, mu = self.theta, np.exp(np.minimum(eta, 30.0))
-            w, r = mu / (1 + mu / t), (y - mu) / (1 + mu / t)
-            g, g1, g2 = _gamma_sums(y, t)
-            fit = (y * np.log(mu / (mu + t)) + t * np.log(t / (mu + t))).sum() + g
-            first = g1 + (np.log(t / (mu + t)) + 1 - (y + t) / (mu + t)).sum()
-            second = g2 + (1 / t - 2 / (mu + t) + (y + t) / (mu + t) ** 2).sum()
-            more = [fit, len(y), y.sum(), 0, first, second, ((y - mu) ** 2 / (mu + mu * mu / t)).sum(), 0]
+            t, low = self.theta, np.minimum(eta, 30.0)
+            mu = np.exp(low)
+            whole = mu + t
+            log, share, off = np.log(whole), (y + t) / whole, y - mu
+            w, r = mu * t / whole, off * t / whole
+            g, g1, g2 = (0.0, 0.0, 0.0) if self.counts else _gamma_sums(*np.unique(y, return_counts=True), t)
+            fit = (y * (low - log) + t * (math.log(t) - log)).sum() + g
+            first = g1 + (math.log(t) - log + 1 - share).sum()
+            second = g2 + (1 / t - (2 - share) / whole).sum()
+            more = [fit, len(y), y.sum(), 0, first, second, (off * r / mu).sum(), 0]
         return np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ r, np.array(more, float)])
 
     def step(self, total: np.ndarray) -> None:
         k = len(self.beta)
-        gram, score, self.sums = total[: k * k].reshape(k, k), total[k * k : k * k + k], total[k * k + k :]
+        gram, score, self.sums = total[: k * k].reshape(k, k), total[k * k : k * k + k], total[k * k + k :].copy()
+        if self.counts:
+            g = _gamma_sums(*self.counts, self.theta)
+            self.sums[[0, 4, 5]] += g
         self.gram, n = gram, self.sums[1]
         if not n:
             self.done = True
@@ -285,6 +298,12 @@ def _passes(rows: DataFrame, fits: list[Fit], most: int) -> None:
     """Newton steps for all models at once: each is one pass over the rows, of which only sums come to the driver."""
     used = list(dict.fromkeys(c for f in fits for c in (f.outcome, *f.terms)))
     table = kept(rows.select(*used).dropna())
+    for y in {f.outcome for f in fits if f.family != "logit"}:  # gamma sums need no pass over the rows where there are few different outcomes
+        found = table.groupBy(F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).limit(SENT + 1).collect()
+        if len(found) <= SENT:
+            for f in fits:
+                if f.outcome == y:
+                    f.counts = np.array([r["y"] for r in found], float), np.array([r["n"] for r in found], float)
     for _ in range(most):
         if not (open_ := [f for f in fits if not f.done]):
             break

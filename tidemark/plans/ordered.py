@@ -12,6 +12,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import rollups as R
 from tidemark.operators import stats as S
 from tidemark.operators import windows as W
+from tidemark.operators.shared import kept
 from tidemark.plans.registry import query
 
 C = F.col
@@ -140,7 +141,7 @@ def _joint(v):
 
 
 def _st1(v):
-    rows = S.complete(_joint(v))
+    rows = kept(S.complete(_joint(v)).select("uid", "snapshot_index", "commits", "lch", *_VARS))
     even = R.balanced(rows, C("fl") > 0, [C("uid") * 7919 % 10007, C("uid"), C("snapshot_index")])
     parts = [S.spearman(x, ["loc", "commits", "lch"], _VARS).withColumn("balanced", F.lit(b)) for x, b in ((rows, "F"), (even, "T"))]
     return parts[0].unionByName(parts[1])
@@ -153,7 +154,7 @@ _SUBSETS = [(0, 0, "true"), (0, 1, "fl > 0"), (1, 0, "commits > 0"), (1, 1, "com
 
 
 def _st2(v):
-    rows = v.joint.fillna(0)
+    rows = kept(v.joint.select("commits", "lch", *_EXT).fillna(0))
     out = [S.spearman(rows.filter(w), ["commits", "lch"], _EXT).select(F.lit(a).alias("changed_only"), F.lit(b).alias("annotated_only"), "d", "i", "n", "rho") for a, b, w in _SUBSETS]
     return functools.reduce(lambda x, y: x.unionByName(y), out)
 
