@@ -21,3 +21,10 @@ def test_joint_data(spark):
     assert (r.commits, r.lines_changed, r.previous_commits, r.previous_lines_changed, r.age, r.last_edit) == (2, 5, 1, 5, 2, 1)
     r = got[2, 1]
     assert (r.commits, r.lines_changed, r.previous_commits, r.age) == (1, 8, 0, 0)  # the function doesn't exist at snapshot 2
+
+
+def test_the_joint_table_needs_no_table_of_pairs(spark):
+    from tidemark.plans.catalogue import QUERIES
+
+    plan = QUERIES["joint_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ancestor" not in plan and "InPandas" not in plan
